@@ -66,7 +66,7 @@ def test_mix_meets_targets(spark):
 
 
 def test_shards_are_even_and_keep_equal_texts_together(spark):
-    rows = [(i, f"text {i % 300} " * (1 + i % 5), ("en", "de", None)[i % 3], f"s{i % 6}") for i in range(900)] + [(5000, None, None, None), (5000, None, None, None), (None, "x", "en", "s")]
+    rows = [(i, f"text {i % 1000} " * (1 + i % 5), ("en", "de", None)[i % 3], f"s{i % 6}") for i in range(3000)] + [(9000, None, None, None), (9000, None, None, None), (None, "x", "en", "s")]
     df = docs(spark, rows)
     out = sharding.shard(df, 16).collect()
     assert len(out) == len(rows)
