@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets, sharding, token_store
+from . import exact_dedup, language_id, mixing, secrets, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -30,6 +30,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -42,6 +50,8 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
 }
