@@ -107,7 +107,7 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if lower:
-        texts = pc.ascii_lower(texts)
+        texts = pc.ascii_lower(texts if texts.offset == 0 else texts.take(pa.array(np.arange(len(texts)))))
     lists = pc.ascii_split_whitespace(texts)
     flat, ends = lists.flatten(), lists.offsets.to_numpy()
     ends = ends - ends[0]
@@ -120,14 +120,17 @@ def words_of(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]
 
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
-    """Slices of a batch with about `most` bytes of text each; one longer text comes alone."""
+    """Copies of slices of a batch with about `most` bytes of text each; one longer text comes alone.
+
+    Copies, since pyarrow's ascii_lower (23.0.1) garbles arrays that start inside their buffer.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
-        yield batch.slice(at, to - at)
+        yield batch.take(pa.array(np.arange(at, to)))
         at = to
 
 

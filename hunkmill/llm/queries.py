@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, secrets, sharding, token_store, toxicity
+from . import exact_dedup, language_id, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op8_language_id": op8_language_id,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,

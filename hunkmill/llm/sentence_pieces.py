@@ -14,6 +14,7 @@ unknown id where the model has no bytes; texts of any length are encoded whole;
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -181,8 +182,9 @@ class Backend:
         if len(self.known) > CACHE_RUNS:
             self.known.clear()
         if self.by_run:
-            full = pc.not_equal(pc.binary_length(texts), 0)
-            marked = pc.if_else(full, pc.binary_join_element_wise(pa.scalar(" " if self.model.dummy_prefix else "", pa.large_string()), texts, pa.scalar("", pa.large_string())), texts)
+            full = pc.not_equal(pc.binary_length(texts), 0).cast(pa.int8())
+            lead = pa.array(["", " " if self.model.dummy_prefix else ""], pa.large_string()).take(full)
+            marked = pc.binary_join_element_wise(lead, texts, pa.scalar("", pa.large_string()))
             ends = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset:marked.offset + len(marked) + 1]
             data = marked.buffers()[2]
             raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -240,6 +242,8 @@ def _decode(path: str):
 
 def _report(path: str):
     def run(batches):
+        # Threads of the library for each task; more than the cores of an executor only spin.
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")
         backend = Backend(path)
         for batch in batches:
             for part in pieces(batch, "text"):

@@ -21,10 +21,13 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,11 @@ from .common import bit_set, bits_for, discard, has_bit, pieces, scratch, words_
 
 WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 4096, 9
 #: Distinct words whose ids a worker remembers at most.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 ROWS_A_SEGMENT = 20_000
+#: Byte-level alphabet of the vocabulary: printable Latin-1 stands for itself, other bytes for 256 and on, in order.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def _gear(ids: np.ndarray) -> np.ndarray:
@@ -67,35 +73,74 @@ def proposals(ids: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """ids of whole texts. White space is dropped by the tokenizer, so words are encoded once and remembered."""
+    """ids of whole texts. White space is dropped by the tokenizer, so words are encoded once and remembered.
+
+    A word that ends in a letter or digit and then stops (.,;:!?) is the word and the stops, since the tokenizer
+    parts letters from marks; a word of lower-case letters is one unit of its model, which then is asked directly.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _rows(self, words: pa.Array) -> np.ndarray:
+        """Rows in the table of known words, which takes up new ones."""
+        known, listed = self.known, words.to_pylist()
+        fresh = [w for w in listed if w not in known]
+        if fresh:
+            plain, shown, rest = [], [], []
+            for w in fresh:
+                if w.isalpha() and w.islower():
+                    if w.isascii():
+                        plain.append(w)
+                        shown.append(w)
+                        continue
+                    if w.lower() == w and is_normalized("NFC", w):
+                        plain.append(w)
+                        shown.append(w.encode().decode("latin-1").translate(BYTE_CHARS))
+                        continue
+                rest.append(w)
+            tokenize = self.tokenizer.model.tokenize
+            ids = [[t.id for t in tokenize(w)] for w in shown]
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            known.update(zip(itertools.chain(plain, rest), range(len(known), len(known) + len(ids)), strict=True))
+        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts, each with the end id."""
-        ends, flat = words_of(texts, lower=False)
-        encoded = flat.dictionary_encode()
-        words = encoded.dictionary.to_pylist()
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = [w for w in words if w not in self.known]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = e.ids
-        each = [self.known[w] for w in words]
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        pool = np.fromiter(itertools.chain.from_iterable(each), np.uint32, int(size.sum()))
-        start = np.cumsum(size) - size
-        code = encoded.indices.to_numpy()
-        n = size[code]
+            self._forget()
+        # Special tokens are told by case, so texts that may hold one keep theirs.
+        special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
+        ends, flat = words_of(texts, lower=not special)
+        coded = flat.dictionary_encode()
+        words = coded.dictionary
+        core = pc.replace_substring_regex(words, r"([\pL\pN])[.,;:!?]+$", r"\1")
+        parts = pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
+        core = core.dictionary_encode()
+        stops = pc.replace_substring_regex(words, r"^.*[^.,;:!?]", "").dictionary_encode()
+        first = self._rows(core.dictionary)[core.indices.to_numpy()]
+        then = np.where(parts, self._rows(stops.dictionary)[stops.indices.to_numpy()], self._rows(pa.array([""])))
+        code = coded.indices.to_numpy()
+        pairs = np.stack([first, then], 1)[code].reshape(-1)
+        n = self.size[pairs]
         upto = np.concatenate([[0], np.cumsum(n)])
-        offsets = upto[ends] + np.arange(len(ends))
+        offsets = upto[2 * ends] + np.arange(len(ends))
         out = np.full(offsets[-1], end_id, np.uint32)
         place = np.ones(len(out), bool)
         place[offsets[1:] - 1] = False
-        out[place] = pool[np.repeat(start[code] - upto[:-1], n) + np.arange(upto[-1])]
+        out[place] = self.pool[np.repeat(self.start[pairs] - upto[:-1], n) + np.arange(upto[-1])]
         return offsets, out
 
 
@@ -166,7 +211,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     shared = spark.read.parquet(f"{path}/shared")
     bits = bits_for(staged.count())
     place = F.pmod(F.xxhash64("nth"), F.lit(bits))
-    sharing = uses.join(shared, "address").select("nth", "seq", "address", "owner")
+    sharing = uses.join(shared.hint("merge"), "address").select("nth", "seq", "address", "owner")
     sharing.write.parquet(f"{path}/sharing")
     sharing = spark.read.parquet(f"{path}/sharing")
     marked = bit_set(sharing.select(place.alias("at")).distinct(), "at")
@@ -175,7 +220,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     drop = sharing.groupBy("nth", "address").agg(F.min("seq").alias("first"), F.first("owner").alias("owner"), F.collect_list("seq").alias("seqs"))
     drop = drop.select("nth", F.explode(F.filter("seqs", lambda s: (F.col("owner") != F.col("nth")) | (s != F.col("first")))).alias("seq"))
     drop = drop.groupBy("nth").agg(F.collect_list("seq").alias("foreign"))
-    some = flagged.filter("shares").join(drop, "nth", "left").withColumn("foreign", F.coalesce("foreign", F.array().cast("array<int>")))
+    some = flagged.filter("shares").join(drop.hint("merge"), "nth", "left").withColumn("foreign", F.coalesce("foreign", F.array().cast("array<int>")))
     some = some.withColumn("payloads", F.transform("payloads", lambda p, i: F.when(~F.array_contains("foreign", i), p)))
     columns = ["nth", "doc_id", "n_tokens", "recipe", "payloads"]
     packs = flagged.filter("not shares").select(*columns).unionByName(some.select(*columns))
@@ -218,8 +263,8 @@ def read_store(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     bits = bits_for(packs.count())
     place = F.pmod(F.xxhash64("address"), F.lit(bits))
     owned = has_bit(owned.withColumn("at", place), "at", bit_set(wanted.select(place.alias("at")).distinct(), "at"), "maybe").filter("maybe")
-    lent = owned.join(wanted.select("address", F.col("nth").alias("o")), "address").filter("nth = o").select("address", F.col("payload").alias("lent"))
-    filled = parts.filter("payload is null").drop("payload").join(lent, "address").select("nth", "seq", "address", F.col("lent").alias("payload"))
+    lent = owned.join(wanted.select("address", F.col("nth").alias("o")).hint("merge"), "address").filter("nth = o").select("address", F.col("payload").alias("lent"))
+    filled = parts.filter("payload is null").drop("payload").join(lent.hint("merge"), "address").select("nth", "seq", "address", F.col("lent").alias("payload"))
     filled = parts.filter("payload is not null").select("nth", "seq", "address", "payload").unionByName(filled)
     filled = filled.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "payload"))).alias("c"))
     filled = filled.select("nth", F.col("c.address").alias("recipe"), F.col("c.payload").alias("payloads")).mapInArrow(_read(width), result)

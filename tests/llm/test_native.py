@@ -85,3 +85,16 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     assert len(hot) == 16 and max(r["count"] for r in hot) < 150
     assert sharding.shard(docs(spark, [])).count() == 0
     assert sharding.shard(awkward(spark), target_bytes=2000).count() == awkward(spark).count()
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from hunkmill.llm.common import words_of
+
+    texts = pa.array([f"ÄB{i} É Ünd\x85x  \t\n Ende " if i % 3 else None for i in range(50)])
+    for part in (texts, texts.slice(7), texts.slice(13, 20)):
+        ends, flat = words_of(part)
+        ascii_lower = {i: i + 32 for i in range(65, 91)}
+        want = [re.findall("[^\x20\x09-\x0D]+", (t or "").translate(ascii_lower)) for t in part.to_pylist()]
+        assert [flat.slice(a, b - a).to_pylist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
