@@ -46,32 +46,58 @@ def water_fill(sources: DataFrame, share: float, epochs: float, weights: tuple[f
     return out.select("source", "source_size", "weight", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, source, text)."""
+def _rows(docs: DataFrame, seed: int, *more: Column) -> DataFrame:
+    """doc_id, source, size, the seeded order and its slice of every row of docs."""
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    rows = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("order")), "mix")
-    rows = rows.withColumn("slice", F.pmod(F.shiftright("order", 32), F.lit(SLICES)).cast("int"))
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("order"), *more)
+    return rows.withColumn("slice", F.pmod(F.shiftright("order", 32), F.lit(SLICES)).cast("int"))
+
+
+def plan(rows: DataFrame, share: float, epochs: float, weights: tuple[float, ...]) -> DataFrame:
+    """For each source (s_source): source_size, target, whole repetitions, words of the fractional one (part), and
+    the slice (cut) in which it ends, with the words before that slice."""
     slices = materialise(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "mix-slices")
     sources = water_fill(slices.groupBy("source").agg(F.sum("words").alias("source_size")), share, epochs, weights)
-    # Where in the seeded order the fractional repetition of a source ends.
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     sources = sources.withColumn("whole", whole.cast("long")).withColumn("part", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     sources = materialise(sources.select(F.col("source").alias("s_source"), "source_size", "target", "whole", "part"), "mix-sources")
     upto = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
     cut = slices.join(sources, F.col("source").eqNullSafe(F.col("s_source"))).filter("before < part and part <= before + words")
-    sources = sources.join(cut.select(F.col("source").alias("c_source"), F.col("slice").alias("cut"), "before"), F.col("s_source").eqNullSafe(F.col("c_source")), "left").drop("c_source")
-    sources = materialise(sources, "mix-cuts")
+    cut = cut.select(F.col("source").alias("c_source"), F.col("slice").alias("cut"), "before")
+    return materialise(sources.join(cut, F.col("s_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "mix-cuts")
+
+
+def take(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """rows with their source's plan and `extra`, the words of the fractional repetition taken from each."""
     if sources.count() <= BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("s_source")))
     # Only the slice on the line of each source is ordered row by row.
-    on_line = F.col("slice") == F.col("cut")
-    sliced = rows.filter(on_line)
+    on_line = F.coalesce(F.col("slice") == F.col("cut"), F.lit(False))
     so_far = Window.partitionBy("source", "slice").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    sliced = sliced.withColumn("room", F.col("part") - F.col("before") - F.coalesce(F.sum("size").over(so_far), F.lit(0)))
+    sliced = rows.filter(on_line).withColumn("room", F.col("part") - F.col("before") - F.coalesce(F.sum("size").over(so_far), F.lit(0)))
     sliced = sliced.withColumn("extra", F.greatest(F.lit(0), F.least("size", "room"))).drop("room")
-    others = rows.filter(~F.coalesce(on_line, F.lit(False))).withColumn("extra", F.when(F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(0))
-    return sliced.unionByName(others).select(
+    others = rows.filter(~on_line).withColumn("extra", F.when(F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)), F.col("size")).otherwise(0))
+    return sliced.unionByName(others)
+
+
+def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row of docs (doc_id, source, text)."""
+    rows = materialise(_rows(docs, seed), "mix")
+    return take(rows, plan(rows, share, epochs, weights)).select(
         "doc_id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
+
+
+def repeat_documents(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with all its columns and its whole text.
+
+    The one document of a source that the line cuts is taken whole where at least half of it is; documents
+    without words, which no target asks for, stay once.
+    """
+    narrow = materialise(_rows(docs, seed), "mix")
+    rows = _rows(docs, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = take(rows, plan(narrow, share, epochs, weights))
+    times = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + F.when(F.col("extra") * 2 >= F.col("size"), 1).otherwise(0)).cast("int")
+    return taken.filter(times > 0).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")

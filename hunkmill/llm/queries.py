@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
+from . import exact_dedup, jaccard_join, language_id, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -26,6 +26,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -53,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_sentence_pieces": op6_sentence_pieces,
