@@ -4,7 +4,7 @@ Texts are encoded with a tokenizers file, each document ends with an end id. A r
 cuts a document's stream into chunks (64 to 4096 ids, 512 on average); a chunk is addressed by its 16-byte
 BLAKE2b. The files of a store:
 
-  packs/     one row a document: its recipe (chunk addresses in order) and the payloads of the chunks it owns,
+  packs/     one row a document: its recipe (chunk addresses in order), its root and the payloads it owns,
              little-endian, 2 bytes an id where the vocabulary allows, else 4; every chunk is owned once
   recipes/   doc_id, start, n_tokens, Merkle root over the chunk addresses, in ascending doc_id order by segment
   manifest/  a row for each segment: documents, ids, Merkle root over its documents' roots
@@ -72,6 +72,14 @@ def proposals(ids: np.ndarray) -> np.ndarray:
     return np.nonzero((h >> np.uint64(64 - MEAN_BITS)) == 0)[0] + 1
 
 
+def _ends_in_stop(words: pa.Array) -> np.ndarray:
+    """Does the word end in one of .,;:!? (words are LargeString and not empty)?"""
+    if not len(words):
+        return np.zeros(0, bool)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset + 1:words.offset + len(words) + 1]
+    return np.isin(np.frombuffer(words.buffers()[2], np.uint8)[ends - 1], np.frombuffer(b".,;:!?", np.uint8))
+
+
 class Encoder:
     """ids of whole texts. White space is dropped by the tokenizer, so words are encoded once and remembered.
 
@@ -93,8 +101,11 @@ class Encoder:
     def _rows(self, words: pa.Array) -> np.ndarray:
         """Rows in the table of known words, which takes up new ones."""
         known, listed = self.known, words.to_pylist()
-        fresh = [w for w in listed if w not in known]
-        if fresh:
+        get = known.get
+        rows = np.fromiter((get(w, -1) for w in listed), np.int64, len(listed))
+        missing = np.nonzero(rows < 0)[0]
+        if len(missing):
+            fresh = [listed[i] for i in missing.tolist()]
             plain, shown, rest = [], [], []
             for w in fresh:
                 if w.isalpha() and w.islower():
@@ -115,7 +126,8 @@ class Encoder:
             self.size = np.concatenate([self.size, size])
             self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(size.sum()))])
             known.update(zip(itertools.chain(plain, rest), range(len(known), len(known) + len(ids)), strict=True))
-        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))
+            rows[missing] = np.fromiter(map(known.__getitem__, fresh), np.int64, len(fresh))
+        return rows
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of all texts, each with the end id."""
@@ -126,12 +138,21 @@ class Encoder:
         ends, flat = words_of(texts, lower=not special)
         coded = flat.dictionary_encode()
         words = coded.dictionary
-        core = pc.replace_substring_regex(words, r"([\pL\pN])[.,;:!?]+$", r"\1")
-        parts = pc.not_equal(pc.binary_length(core), pc.binary_length(words)).to_numpy(zero_copy_only=False)
-        core = core.dictionary_encode()
-        stops = pc.replace_substring_regex(words, r"^.*[^.,;:!?]", "").dictionary_encode()
-        first = self._rows(core.dictionary)[core.indices.to_numpy()]
-        then = np.where(parts, self._rows(stops.dictionary)[stops.indices.to_numpy()], self._rows(pa.array([""])))
+        stopped = np.nonzero(_ends_in_stop(words))[0]
+        some = words.take(pa.array(stopped))
+        core = pc.replace_substring_regex(some, r"([\pL\pN])[.,;:!?]+$", r"\1")
+        parts = pc.not_equal(pc.binary_length(core), pc.binary_length(some)).to_numpy(zero_copy_only=False)
+        stopped = stopped[parts]
+        core = core.filter(pa.array(parts))
+        stops = pc.replace_substring_regex(some.filter(pa.array(parts)), r"^.*[^.,;:!?]", "").dictionary_encode()
+        # A word with stops is its core, looked up like any word, and the stops; another is itself and nothing.
+        plain = np.ones(len(words), bool)
+        plain[stopped] = False
+        units = pa.concat_arrays([words.filter(pa.array(plain)), core]).dictionary_encode()
+        row = self._rows(units.dictionary)[units.indices.to_numpy()]
+        first, then = np.empty(len(words), np.int64), np.full(len(words), self._rows(pa.array([""]))[0])
+        first[plain], first[stopped] = row[: len(words) - len(stopped)], row[len(words) - len(stopped):]
+        then[stopped] = self._rows(stops.dictionary)[stops.indices.to_numpy()]
         code = coded.indices.to_numpy()
         pairs = np.stack([first, then], 1)[code].reshape(-1)
         n = self.size[pairs]
@@ -144,7 +165,7 @@ class Encoder:
         return offsets, out
 
 
-STAGED = "doc_id {id}, n_tokens long, recipe array<binary>, payloads array<binary>"
+STAGED = "doc_id {id}, n_tokens long, recipe array<binary>, payloads array<binary>, root string"
 
 
 def _encode(path: str, end_id: int, width: str):
@@ -168,7 +189,7 @@ def _encode(path: str, end_id: int, width: str):
                     payloads.append(blobs)
                     recipe.append([hashlib.blake2b(x, digest_size=16).digest() for x in blobs])
                 many = pa.list_(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(recipe, many), pa.array(payloads, many)], names=["doc_id", "n_tokens", "recipe", "payloads"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(recipe, many), pa.array(payloads, many), pa.array(map(merkle, recipe), pa.string())], names=["doc_id", "n_tokens", "recipe", "payloads", "root"])
 
     return run
 
@@ -222,7 +243,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     drop = drop.groupBy("nth").agg(F.collect_list("seq").alias("foreign"))
     some = flagged.filter("shares").join(drop.hint("merge"), "nth", "left").withColumn("foreign", F.coalesce("foreign", F.array().cast("array<int>")))
     some = some.withColumn("payloads", F.transform("payloads", lambda p, i: F.when(~F.array_contains("foreign", i), p)))
-    columns = ["nth", "doc_id", "n_tokens", "recipe", "payloads"]
+    columns = ["nth", "doc_id", "n_tokens", "root", "recipe", "payloads"]
     packs = flagged.filter("not shares").select(*columns).unionByName(some.select(*columns))
     packs.write.option("compression", "zstd").parquet(f"{path}/packs")
     discard(spark, f"{path}/staged")
@@ -230,7 +251,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     # Recipes in ascending doc_id order; positions come from the files' own counts.
     packs = spark.read.parquet(f"{path}/packs")
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("nth")]
-    entries = packs.select("nth", "doc_id", "n_tokens", _root("recipe").alias("root"))
+    entries = packs.select("nth", "doc_id", "n_tokens", "root")
     entries = entries.repartitionByRange(max(1, packs.count() // ROWS_A_SEGMENT), *order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id())
     entries.write.parquet(f"{path}/recipes")
     entries = spark.read.parquet(f"{path}/recipes")
@@ -239,16 +260,6 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     sums.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
 
 
-def _root(column: str):
-    """merkle() as an expression would need a loop; documents have few chunks, so Python reads addresses only."""
-
-    @F.pandas_udf("string")
-    def root(recipes):
-        return recipes.map(lambda r: merkle([bytes(x) for x in r]))
-
-    return root(column)
-
-
 def read_store(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, chunks, owned, verified, from the files alone."""
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
