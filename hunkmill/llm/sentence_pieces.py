@@ -30,7 +30,7 @@ MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE_RUNS = 300_000
+CACHE_RUNS = 600_000
 
 
 def _fields(data: bytes):
@@ -154,33 +154,49 @@ class Backend:
         self.by_run = splits_at_marks(self.model)
         self.tokenizer = build(self.model, prefix=not self.by_run)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.known: dict[str, tuple[list[int], bool]] = {}
+        self._forget()
         bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k != CONTROL else b"" for p, _, k in self.model.pieces]
         self.sizes = np.array([*map(len, bytes_of)], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pool = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
 
-    def _ids(self, runs: list[str]) -> list[tuple[list[int], bool]]:
-        fresh = [r for r in runs if r not in self.known]
-        if fresh:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            # The library adds the dummy prefix itself; a run of spaces alone needs a text before it.
-            if self.by_run and self.model.dummy_prefix:
-                theirs = self.reference.encode([r[1:] if len(r) > 1 and r.strip(" ") else "" for r in fresh], num_threads=1)
-                for i, r in enumerate(fresh):
-                    if not r.strip(" "):
-                        theirs[i] = self.reference.encode("a" + r)[len(self.reference.encode("a")):]
-            else:
-                theirs = self.reference.encode(fresh, num_threads=1)
-            self.known.update((r, (x, x == y)) for r, x, y in zip(fresh, own, theirs, strict=True))
-        return [self.known[r] for r in runs]
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.count, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def _rows(self, runs: list[str]) -> np.ndarray:
+        """Rows in the table of known runs, which takes up new ones."""
+        get = self.known.get
+        rows = np.fromiter((get(r, -1) for r in runs), np.int64, len(runs))
+        missing = np.nonzero(rows < 0)[0]
+        if not len(missing):
+            return rows
+        fresh = [runs[i] for i in missing.tolist()]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+        # The library adds the dummy prefix itself; a run of spaces alone needs a text before it.
+        if self.by_run and self.model.dummy_prefix:
+            theirs = self.reference.encode([r[1:] if len(r) > 1 and r[-1] != " " else "" for r in fresh], num_threads=1)
+            for i in [i for i, r in enumerate(fresh) if r[-1] == " "]:
+                theirs[i] = self.reference.encode("a" + fresh[i])[len(self.reference.encode("a")):]
+        else:
+            theirs = self.reference.encode(fresh, num_threads=1)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
+        self.count = np.concatenate([self.count, size])
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(own), np.int32, int(size.sum()))])
+        self.same = np.concatenate([self.same, np.fromiter((x == y for x, y in zip(own, theirs, strict=True)), bool, len(own))])
+        # Runs come from a dictionary, so each is new once.
+        rows[missing] = np.arange(len(self.known), len(self.known) + len(fresh))
+        self.known.update(zip(fresh, rows[missing].tolist(), strict=True))
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offsets, ids, and for each text whether all its runs are encoded as by the sentencepiece library."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(self.known) > CACHE_RUNS:
-            self.known.clear()
+            self._forget()
         if self.by_run:
             full = pc.not_equal(pc.binary_length(texts), 0).cast(pa.int8())
             lead = pa.array(["", " " if self.model.dummy_prefix else ""], pa.large_string()).take(full)
@@ -191,20 +207,18 @@ class Backend:
             space = raw[ends[0]:ends[-1]] == 32
             begins = space.copy()
             begins[1:] &= ~space[:-1]
-            at = np.union1d(np.nonzero(begins)[0] + ends[0], ends)
+            begins[(ends[:-1] - ends[0])[ends[:-1] < ends[-1]]] = True  # every text begins a run
+            at = np.append(np.nonzero(begins)[0] + ends[0], ends[-1])
             runs = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int64)), data) if len(at) > 1 else pa.array([], pa.large_string())
             ends = np.searchsorted(at, ends)
         else:
             runs, ends = texts, np.arange(len(texts) + 1)
         coded = runs.dictionary_encode()
-        found = self._ids(coded.dictionary.to_pylist())
-        size = np.fromiter((len(x) for x, _ in found), np.int64, len(found))
-        pool = np.fromiter(itertools.chain.from_iterable(x for x, _ in found), np.int32, int(size.sum()))
-        start, code = np.cumsum(size) - size, coded.indices.to_numpy()
-        n = size[code]
+        row = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        n = self.count[row]
         upto = np.concatenate([[0], np.cumsum(n)])
-        ids = pool[np.repeat(start[code] - upto[:-1], n) + np.arange(upto[-1])]
-        bad = np.concatenate([[0], np.cumsum(~np.fromiter((ok for _, ok in found), bool, len(found))[code])])
+        ids = self.ids[np.repeat(self.first[row] - upto[:-1], n) + np.arange(upto[-1])]
+        bad = np.concatenate([[0], np.cumsum(~self.same[row])])
         return upto[ends], ids, bad[ends[1:]] == bad[ends[:-1]]
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
