@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -134,5 +135,11 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
         at = to
 
 
-def crc_mod(doc_ids, m: int = 3) -> np.ndarray:
-    return np.array([zlib.crc32(str(x).encode()) % m for x in doc_ids])
+@contextlib.contextmanager
+def without_gc():
+    """For loops that make many small lists and no cycles: the collector would only walk them again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

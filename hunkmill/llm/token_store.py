@@ -19,6 +19,7 @@ each other in the order of the rows; a text of any length is encoded whole; an e
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import os
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_set, bits_for, discard, has_bit, pieces, scratch, words_of
+from .common import bit_set, bits_for, discard, has_bit, pieces, scratch, without_gc, words_of
 
 WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 4096, 9
 #: Distinct words whose ids a worker remembers at most.
@@ -168,12 +169,19 @@ class Encoder:
 STAGED = "doc_id {id}, n_tokens long, recipe array<binary>, payloads array<binary>, root string"
 
 
+@functools.cache
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, so that its words outlast a task."""
+    return Encoder(path)
+
+
 def _encode(path: str, end_id: int, width: str):
     def run(batches):
-        encode = Encoder(path)
+        encode = _encoder(path)
         for batch in batches:
             for part in pieces(batch, "text"):
-                offsets, ids = encode(part.column("text"), end_id)
+                with without_gc():
+                    offsets, ids = encode(part.column("text"), end_id)
                 marks = proposals(ids)
                 at = np.searchsorted(marks, offsets)
                 raw = ids.astype(width)
