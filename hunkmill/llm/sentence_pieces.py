@@ -13,6 +13,7 @@ unknown id where the model has no bytes; texts of any length are encoded whole;
 
 from __future__ import annotations
 
+import functools
 import itertools
 import os
 import struct
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import pieces
+from .common import pieces, without_gc
 
 MARK = "▁"
 #: Piece types of the model format.
@@ -229,9 +230,15 @@ class Backend:
         return [raw[min(a + lead, b):b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+@functools.cache
+def _backend(path: str) -> Backend:
+    """One for each worker process, so that its runs outlast a task."""
+    return Backend(path)
+
+
 def _encode(path: str):
     def run(batches):
-        backend = Backend(path)
+        backend = _backend(path)
         for batch in batches:
             for part in pieces(batch, "text"):
                 offsets, ids, _ = backend.encode(part.column("text"))
@@ -243,7 +250,7 @@ def _encode(path: str):
 
 def _decode(path: str):
     def run(batches):
-        backend = Backend(path)
+        backend = _backend(path)
         for batch in batches:
             lists = batch.column("ids")
             offsets = lists.offsets.to_numpy().astype(np.int64)
@@ -258,11 +265,12 @@ def _report(path: str):
     def run(batches):
         # Threads of the library for each task; more than the cores of an executor only spin.
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        backend = Backend(path)
+        backend = _backend(path)
         for batch in batches:
             for part in pieces(batch, "text"):
                 text = pc.fill_null(part.column("text"), "")
-                offsets, ids, same = backend.encode(text)
+                with without_gc():
+                    offsets, ids, same = backend.encode(text)
                 back = backend.decode(offsets, ids)
                 raw, in_bytes = ids.astype("<u4"), np.concatenate([[0], np.cumsum(backend.is_byte[ids])])
                 crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
