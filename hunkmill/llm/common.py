@@ -73,6 +73,18 @@ def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     )
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Arrow batches of at most n rows for the jobs run inside: for rows of many kilobytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Bits of one bitmap row of bitmap_construct_agg.
 BITMAP_BITS = 32768
 
