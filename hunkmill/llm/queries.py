@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
+from . import exact_dedup, jaccard_join, language_id, media, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -42,6 +42,11 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.report(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so every embedding is drawn as one."""
+    return media.copies(media.drawn(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
     "op6_sentence_pieces": op6_sentence_pieces,
+    "op7_media_copies": op7_media_copies,
     "op8_language_id": op8_language_id,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
