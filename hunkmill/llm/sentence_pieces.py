@@ -31,7 +31,7 @@ MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE_RUNS = 300_000
+CACHE_RUNS = 150_000
 
 
 def _fields(data: bytes):
@@ -155,14 +155,14 @@ class Backend:
         self.by_run = splits_at_marks(self.model)
         self.tokenizer = build(self.model, prefix=not self.by_run)
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
-        self._forget()
+        self.forget()
         bytes_of = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() if k != CONTROL else b"" for p, _, k in self.model.pieces]
         self.sizes = np.array([*map(len, bytes_of)], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.pool = np.frombuffer(b"".join(bytes_of), np.uint8)
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.first = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.count, self.same = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -197,7 +197,7 @@ class Backend:
         """Offsets, ids, and for each text whether all its runs are encoded as by the sentencepiece library."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if len(self.known) > CACHE_RUNS:
-            self._forget()
+            self.forget()
         if self.by_run:
             full = pc.not_equal(pc.binary_length(texts), 0).cast(pa.int8())
             lead = pa.array(["", " " if self.model.dummy_prefix else ""], pa.large_string()).take(full)
@@ -232,7 +232,7 @@ class Backend:
 
 @functools.cache
 def _backend(path: str) -> Backend:
-    """One for each worker process, so that its runs outlast a task."""
+    """One for each worker process."""
     return Backend(path)
 
 
@@ -277,6 +277,7 @@ def _report(path: str):
                 whole = [x == y for x, y in zip(back, text.cast(pa.binary()).to_pylist(), strict=True)]
                 columns = [part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(crc, pa.int64()), pa.array(np.diff(in_bytes[offsets]), pa.int64()), pa.array(same), pa.array(whole, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_crc32", "n_bytes", "parity", "round_trip"])
+        backend.forget()  # an idle worker holds no memory that other stages need
 
     return run
 
