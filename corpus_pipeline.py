@@ -12,6 +12,18 @@ from hunkmill.llm.common import materialise, table
 from hunkmill.llm.queries import tokenizer_path
 
 
+#: Rows of an Arrow batch: whole texts are large, and a stage's memory grows with what is under way.
+BATCH_ROWS = 1000
+
+
+def small_batches(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
@@ -33,11 +45,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
+    ("toxicity", small_batches(drop_toxic)),
     ("exact dedup", drop_copies),
-    ("n-gram jaccard join", drop_near_copies),
+    ("n-gram jaccard join", small_batches(drop_near_copies)),
     ("mixing sources", mix_sources),
-    ("sentencepiece", encode),
+    ("sentencepiece", small_batches(encode)),
 ]
 
 #: The classifier's scores have no SQL form; the stages are tested against brute force.
