@@ -48,13 +48,18 @@ def symbol_groups(symbols: DataFrame) -> DataFrame:
     common = names.groupBy("split_id", "name").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
     rows = names.join(common, ["split_id", "name"], "left_semi").groupBy("split_id", "change_ord", "change_id").agg(F.collect_set("name").alias("names"))
 
-    def cluster(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("change_ord")
-        found = kernels.symbol_clusters({c: set(n) for c, n in zip(pdf.change_id, pdf.names, strict=True)})
-        place = dict(zip(pdf.change_id, pdf.change_ord, strict=True))
-        return pd.DataFrame([(key[0], c[0], place[c[0]], 0.8, c) for c in found], columns=["split_id", "key", "first", "score", "change_ids"])
+    packed = rows.groupBy("split_id").agg(F.array_sort(F.collect_list(F.struct("change_ord", "change_id", "names"))).alias("c"))
 
-    return rows.groupBy("split_id").applyInPandas(cluster, "split_id string, key string, first int, score double, change_ids array<string>")
+    def cluster(batches):
+        for pdf in batches:
+            out = []
+            for split, rows in zip(pdf.split_id, pdf.c, strict=True):
+                place = {r["change_id"]: r["change_ord"] for r in rows}
+                found = kernels.symbol_clusters({r["change_id"]: set(r["names"]) for r in rows})
+                out += [(split, c[0], place[c[0]], 0.8, c) for c in found]
+            yield pd.DataFrame(out, columns=["split_id", "key", "first", "score", "change_ids"])
+
+    return packed.mapInPandas(cluster, "split_id string, key string, first int, score double, change_ids array<string>")
 
 
 def members(changes: DataFrame, deps: DataFrame, groups: DataFrame, target: int = fixed.TARGET_LINES) -> DataFrame:

@@ -292,8 +292,8 @@ def split_patches(spark, sf_dir):
 
 
 def _plan(spark, sf_dir) -> engine.Plan:
-    changes = adapters.changes(spark, sf_dir).select("split_id", "change_ord", "change_id", "file", "hunk_id", "type", "line_start", "line_end", "content", "added_lines", "deleted_lines", "language")
-    symbols = adapters.symbols(spark, sf_dir)
+    changes = adapters.changes(spark, sf_dir).select("split_id", "change_ord", "change_id", "file", "hunk_id", "type", "line_start", "line_end", "content", "added_lines", "deleted_lines", "language").persist()
+    symbols = adapters.symbols(spark, sf_dir).persist()
     return engine.plan(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)))
 
 
