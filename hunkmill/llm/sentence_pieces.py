@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import pieces, without_gc
+from .common import lean, pieces, without_gc
 
 MARK = "▁"
 #: Piece types of the model format.
@@ -295,4 +295,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def report(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, n_bytes (ids of single bytes), parity, round_trip for every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_report(path), f"doc_id {kind}, n_tokens long, ids_crc32 long, n_bytes long, parity boolean, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(_report(path)), f"doc_id {kind}, n_tokens long, ids_crc32 long, n_bytes long, parity boolean, round_trip boolean")
