@@ -32,6 +32,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 CACHE_RUNS = 150_000
+#: Bytes of text encoded at a time: the library's results for new runs take many times their text.
+PIECE_BYTES = 1_000_000
 
 
 def _fields(data: bytes):
@@ -240,7 +242,7 @@ def _encode(path: str):
     def run(batches):
         backend = _backend(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 offsets, ids, _ = backend.encode(part.column("text"))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc_id", "ids"])
@@ -267,7 +269,7 @@ def _report(path: str):
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
         backend = _backend(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 text = pc.fill_null(part.column("text"), "")
                 with without_gc():
                     offsets, ids, same = backend.encode(text)
