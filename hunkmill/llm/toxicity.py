@@ -6,8 +6,8 @@ each embedding starts from the log odds of its bucket, the rest at random; all a
 maximum passes its gradient to one window only, a step touches few rows. Thresholds are calibrated by language:
 a guess from the text alone (never the lang column) picks the language, and its threshold becomes score 0.7.
 
-Learning takes at most `per_class` rows of each label, in hash order, outside the held-out third; scoring covers
-every word of every text. Defined cases: null and blank texts have no words and score below 0.7; labels of ids
+Learning takes at most `per_class` rows of each label, in hash order, outside the held-out third; thresholds come from
+all other labelled rows outside that third, in their own mix of labels; scoring covers every word of every text. Defined cases: null and blank texts have no words and score below 0.7; labels of ids
 without a document, null labels and repeated labels that disagree are left out; with one label only or none,
 every score is 0; repeated rows score alike.
 """
@@ -15,6 +15,7 @@ every score is 0; repeated rows score alike.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 CUT = 0.7
 #: Buckets of fewer training documents have no embedding; log odds are shrunk as by so many average documents.
 MIN_DOCS, SHRINK = 4, 6.0
+#: Logits are counted in steps of 1 / BINS from -FAR to FAR for the thresholds.
+BINS, FAR = 64, 64
 #: Buckets of the language guess.
 GUESS = 1 << 14
 
@@ -161,20 +164,21 @@ def guess_language(h: np.ndarray, code: np.ndarray, offsets: np.ndarray, model:
     return (total[offsets[1:]] - total[offsets[:-1]]).argmax(1)
 
 
-def calibrate(z: np.ndarray, label: np.ndarray, lang: np.ndarray, count: int) -> np.ndarray:
-    """For each language the logit with the best F1, midway between the two rows it parts; all rows' where a class is missing."""
+def calibrate(z: np.ndarray, lang: np.ndarray, clean: np.ndarray, toxic: np.ndarray, count: int) -> np.ndarray:
+    """For each language the logit with the best F1 over rows counted by logit, midway between the two logits it parts;
+    all rows' where a class is missing."""
 
-    def best(z, y):
-        order = np.argsort(-z, kind="stable")
-        hit = np.cumsum(y[order])
-        f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
+    def best(own):
+        value, back = np.unique(-z[own], return_inverse=True)
+        hit, rows = (np.cumsum(np.bincount(back, n[own])) for n in (toxic, clean + toxic))
+        f1 = 2 * hit / (rows + hit[-1])
         top = np.nonzero(f1 == f1.max())[0]
         at = top[len(top) // 2]
-        after = z[order[at + 1]] if at + 1 < len(z) else z[order[at]] - 1
-        return (z[order[at]] + after) / 2
+        after = -value[at + 1] if at + 1 < len(value) else -value[at] - 1
+        return (-value[at] + after) / 2
 
-    every = best(z, label)
-    return np.array([best(z[lang == k], label[lang == k]) if 0 < label[lang == k].sum() < (lang == k).sum() else every for k in range(count)])
+    every = best(np.ones(len(z), bool))
+    return np.array([best(lang == k) if clean[lang == k].sum() and toxic[lang == k].sum() else every for k in range(count)])
 
 
 def _features(batches):
@@ -210,18 +214,45 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> dict:
         if lang in langs:
             guess[:, langs.index(lang)] += np.bincount(r[:, 0] % GUESS, minlength=GUESS)
     model["guess"] = np.log(guess / guess.sum(0)).astype(np.float32)
-    z, lang = [], []
-    for r in rows:
-        code, offsets = np.arange(len(r)), np.array([0, len(r)])
-        z.append(logits(_embed(r, model["tables"]), code, offsets, model)[0])
-        lang.append(guess_language(r, code, offsets, model)[0])
-    z, lang, out = np.array(z), np.array(lang), ~inner
-    if len(set(label[out])) < 2:
-        out[:] = True
-    model["thresholds"] = calibrate(z[out], label[out], lang[out], model["guess"].shape[1])
+    fitted = found.doc_id[inner].tolist()
+    counts = histogram(docs, marks, model, fitted)
+    if min(counts.clean.sum(), counts.toxic.sum()) == 0:
+        counts = histogram(docs, marks, model, [])
+    if not counts.clean.sum() + counts.toxic.sum():
+        return {}
+    model["thresholds"] = calibrate((counts.bin.to_numpy() + 0.5) / BINS, counts.guess.to_numpy(), counts.clean.to_numpy(), counts.toxic.to_numpy(), model["guess"].shape[1])
     return model
 
 
+def _binned(model):
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            for part in pieces(batch, "text", 1_000_000):
+                offsets, code = tokens(part.column("text"))
+                h, at = hashes(code.dictionary.to_pylist()), code.indices.to_numpy()
+                z = logits(_embed(h, m["tables"]), at, offsets, m)
+                bins = np.floor(np.clip(z, -FAR, FAR) * BINS).astype(np.int32)
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(guess_language(h, at, offsets, m).astype(np.int32)), pa.array(bins)], names=["doc_id", "guess", "bin"])
+                yield out.filter(pa.array(np.diff(offsets) > 0))
+
+    return run
+
+
+def histogram(docs: DataFrame, marks: DataFrame, model: dict, fitted: list) -> pd.DataFrame:
+    """guess, bin, clean, toxic: how many documents of marks (doc_id, toxic), those fitted left out, by guessed language
+    and logit. Blank texts are left out, whose score is fixed."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.filter(~held_out()).select("doc_id", "text")
+    rows = rows.mapInArrow(lean(_binned(spark.sparkContext.broadcast(model))), f"doc_id {kind}, guess int, bin int")
+    own = marks.select(F.col("doc_id").cast(kind).alias("doc_id"), "toxic")
+    if fitted:
+        own = own.join(F.broadcast(spark.createDataFrame([(x,) for x in fitted], f"doc_id {kind}")), "doc_id", "left_anti")
+    # Documents repeated count once.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("guess", "bin")).alias("at")).join(own, "doc_id")
+    return rows.groupBy("at.guess", "at.bin").agg(F.sum((F.col("toxic") == 0).cast("long")).alias("clean"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).toPandas()
+
+
 def _score(model):
     def run(batches):
         m = model.value

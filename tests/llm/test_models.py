@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -97,3 +98,24 @@ def test_toxicity_of_held_out_documents(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(r.doc_id or -1 for r in out if not r.predicted)
     assert toxicity.score(docs(spark, []), marks).count() == 0
     assert toxicity.score(awkward(spark), marks.limit(0)).filter("score = 0").count() == awkward(spark).count()
+
+
+def test_toxicity_is_calibrated_on_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, words(rng, ["ka", "lo", "mi"], 12) + (" grubbish" if i % 10 == 0 else ""), "en", "s") for i in range(900)]
+    seen = []
+    monkeypatch.setattr(toxicity, "calibrate", lambda *a: seen.append(a) or np.zeros(a[-1]))
+    marks = spark.createDataFrame([(i, int(i % 10 == 0), None) for i in range(900)], LABELS)
+    toxicity.train(docs(spark, rows), marks, per_class=30)
+    outside = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1]
+    _, _, clean, toxic, _ = seen[0]
+    # All but the rows fitted, at most 30 of each label, in the mix of the labels.
+    assert len(outside) - 60 <= clean.sum() + toxic.sum() < len(outside)
+    assert clean.sum() > 5 * toxic.sum() > 0
+
+
+def test_thresholds_weigh_rows_by_their_number():
+    z, lang = np.array([2.0, 1.0, 0.0]), np.zeros(3, int)
+    few = toxicity.calibrate(z, lang, np.array([0, 10, 50]), np.array([10, 10, 0]), 1)
+    many = toxicity.calibrate(z, lang, np.array([0, 100, 500]), np.array([10, 10, 0]), 1)
+    assert (few[0], many[0]) == (0.5, 1.5)
