@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -30,17 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a local one where it is unset (tests)."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where it is unset, a folder of this machine
+    serves a local master (tests); on a cluster that is an error, since each executor would write to its own disk."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="hunkmill-")
         spark.sparkContext.setCheckpointDir(there)
         there = spark.sparkContext.getCheckpointDir() or there
     return there.rstrip("/")
 
 
+#: Folders of the operators under way, innermost last; see tidy().
+_open: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    base = _open[-1] if _open else f"{shared_dir(spark)}/llm"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +65,26 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def tidy(make):
+    """For a function that returns one narrow DataFrame: its result is written, the tables it wrote on the way are deleted."""
+
+    @functools.wraps(make)
+    def run(*args, **more):
+        spark = session()
+        work = scratch(spark, make.__name__)
+        _open.append(work)
+        try:
+            out = make(*args, **more)
+            _open.pop()
+            return materialise(out, f"{make.__name__}-result")
+        finally:
+            if work in _open:
+                del _open[_open.index(work):]
+            discard(spark, work)
+
+    return run
+
+
 def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """Joins each row to its group's one row of `groups` (inner, null keys match).
 
@@ -104,12 +133,14 @@ def lean(run):
 
 #: Bits of one bitmap row of bitmap_construct_agg.
 BITMAP_BITS = 32768
+#: Bit sets up to this size (32 MB) are broadcast; larger ones are joined by bucket in a shuffle.
+BROADCAST_BITS = 1 << 28
 
 
-def bits_for(rows: int, per_row: int = 16, least: int = 1 << 20, most: int = 1 << 28) -> int:
-    """Size of a bit set for so many rows: a power of two, at most `most` bits (2**28 bits are 32 MB)."""
-    want = max(least, min(most, rows * per_row))
-    return min(most, 1 << (want - 1).bit_length())
+def bits_for(rows: int, per_row: int = 16, least: int = 1 << 20) -> int:
+    """Size of a bit set for so many rows, a power of two: its share of set bits is the same at every size."""
+    want = max(least, rows * per_row)
+    return 1 << (want - 1).bit_length()
 
 
 def bit_set(df: DataFrame, position: str) -> DataFrame:
@@ -119,9 +150,11 @@ def bit_set(df: DataFrame, position: str) -> DataFrame:
     )
 
 
-def has_bit(df: DataFrame, position: str, bits: DataFrame, into: str) -> DataFrame:
-    """Adds the boolean column `into`: is the row's bit set? `bits` is a bit_set of bounded size and is broadcast."""
-    joined = df.join(F.broadcast(bits.select(F.col("bucket").alias("__b"), F.col("bitmap").alias("__m"))), F.expr(f"{position} div {BITMAP_BITS}") == F.col("__b"), "left")
+def has_bit(df: DataFrame, position: str, bits: DataFrame, size: int, into: str) -> DataFrame:
+    """Adds the boolean column `into`: is the row's bit set? `bits` is a bit_set of `size` bits."""
+    own = bits.select(F.col("bucket").alias("__b"), F.col("bitmap").alias("__m"))
+    own = F.broadcast(own) if size <= BROADCAST_BITS else own.hint("merge")
+    joined = df.join(own, F.expr(f"{position} div {BITMAP_BITS}") == F.col("__b"), "left")
     byte = F.expr(f"conv(hex(substring(__m, int(({position} % {BITMAP_BITS}) div 8) + 1, 1)), 16, 10)").cast("int")
     return joined.withColumn(into, F.coalesce(F.getbit(byte, (F.col(position) % 8).cast("int")) == 1, F.lit(False))).drop("__b", "__m")
 

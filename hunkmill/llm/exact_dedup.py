@@ -39,7 +39,7 @@ def possibly_repeated(df: DataFrame, filter_bits: DataFrame, bits: int) -> DataF
     """df with column h, plus the boolean column candidate."""
     one, two = positions(F.col("h"), bits)
     df = df.withColumn("__p1", one).withColumn("__p2", two)
-    df = has_bit(has_bit(df, "__p1", filter_bits, "__c1"), "__p2", filter_bits, "__c2")
+    df = has_bit(has_bit(df, "__p1", filter_bits, bits, "__c1"), "__p2", filter_bits, bits, "__c2")
     return df.withColumn("candidate", F.col("__c1") & F.col("__c2")).drop("__p1", "__p2", "__c1", "__c2")
 
 

@@ -244,7 +244,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     sharing.write.parquet(f"{path}/sharing")
     sharing = spark.read.parquet(f"{path}/sharing")
     marked = bit_set(sharing.select(place.alias("at")).distinct(), "at")
-    flagged = has_bit(staged.withColumn("at", place), "at", marked, "shares").drop("at")
+    flagged = has_bit(staged.withColumn("at", place), "at", marked, bits, "shares").drop("at")
     # A document keeps the payloads that it owns, a chunk repeated within it once; the others become null.
     drop = sharing.groupBy("nth", "address").agg(F.min("seq").alias("first"), F.first("owner").alias("owner"), F.collect_list("seq").alias("seqs"))
     drop = drop.select("nth", F.explode(F.filter("seqs", lambda s: (F.col("owner") != F.col("nth")) | (s != F.col("first")))).alias("seq"))
@@ -281,7 +281,7 @@ def read_store(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
     owned = packs.select("nth", F.explode(F.arrays_zip("recipe", "payloads")).alias("c")).select("nth", F.col("c.recipe").alias("address"), F.col("c.payloads").alias("payload")).filter("payload is not null")
     bits = bits_for(packs.count())
     place = F.pmod(F.xxhash64("address"), F.lit(bits))
-    owned = has_bit(owned.withColumn("at", place), "at", bit_set(wanted.select(place.alias("at")).distinct(), "at"), "maybe").filter("maybe")
+    owned = has_bit(owned.withColumn("at", place), "at", bit_set(wanted.select(place.alias("at")).distinct(), "at"), bits, "maybe").filter("maybe")
     lent = owned.join(wanted.select("address", F.col("nth").alias("o")).hint("merge"), "address").filter("nth = o").select("address", F.col("payload").alias("lent"))
     filled = parts.filter("payload is null").drop("payload").join(lent.hint("merge"), "address").select("nth", "seq", "address", F.col("lent").alias("payload"))
     filled = parts.filter("payload is not null").select("nth", "seq", "address", "payload").unionByName(filled)
