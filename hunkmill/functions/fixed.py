@@ -6,6 +6,12 @@ LANGUAGES = {
     ".go": "go", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".cc": "cpp", ".h": "c", ".hpp": "cpp",
 }
 
+#: Fixed: suffix to language for the main language of a repository or diff; it differs from the map above.
+MAIN_LANGUAGES = {
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".java": "java",
+    ".go": "go", ".rs": "rust", ".c": "c", ".cpp": "cpp", ".cc": "cpp", ".rb": "ruby", ".php": "php",
+}
+
 #: Fixed: substrings of lower-case paths that mark an interface file when an oversized group is split.
 SPLIT_INTERFACES = (
     "/model/", "/models/", "/types/", "/interfaces/", "interface.go", "types.go", "model.go", "models.go",
@@ -16,7 +22,7 @@ GROUP_INTERFACES = (
     "/model/", "/models/", "/types/", "/interfaces/", "/dto/", "interface.go", "types.go", "model.go", "models.go",
     "_interface.py", "_types.py", "_model.py", "_models.py", ".d.ts", "types.ts", "interfaces.ts",
 )
-#: Fixed: the same for packing by layer; result types come first there.
+#: Fixed: the same for packing by layer, with result types.
 PACK_INTERFACES = (*GROUP_INTERFACES, "result.go", "result.py")
 #: Fixed: utilities, for both.
 UTILITIES = (
@@ -106,3 +112,54 @@ UNBALANCED = "Patches are unbalanced in size. Consider redistributing changes."
 LARGE_LINES, SMALL_LINES, MANY_HUNKS = 500, 20, 20
 #: Fixed: lines up to which an atomic group stays whole, and the default size of a patch.
 ATOMIC_LINES, TARGET_LINES = 500, 200
+#: Fixed: symbols of a change that its patch's name may show.
+SHOWN_SYMBOLS = 3
+
+#: Fixed: definitions of the basic patterns by language, as (pattern, type); only the first line of a text can match.
+BASIC = {
+    "python": [
+        (r"^\s*def\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"^\s*class\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"),
+        (r"^\s*import\s+([a-zA-Z_][a-zA-Z0-9_.]*)", "import"), (r"^\s*from\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s+import", "import"),
+    ],
+    "javascript": [
+        (r"^\s*function\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"^\s*class\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"),
+        (r"^\s*const\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*function", "function"), (r"^\s*const\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*\(", "function"),
+        (r"""^\s*import\s+.*from\s+['"]([^'"]+)['"]""", "import"),
+    ],
+    "typescript": [
+        (r"^\s*function\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"^\s*class\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"),
+        (r"^\s*interface\s+([a-zA-Z_][a-zA-Z0-9_]*)", "interface"), (r"^\s*type\s+([a-zA-Z_][a-zA-Z0-9_]*)", "type"),
+        (r"^\s*const\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=", "variable"), (r"""^\s*import\s+.*from\s+['"]([^'"]+)['"]""", "import"),
+    ],
+    "java": [
+        (r"^\s*public\s+class\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"), (r"^\s*class\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"),
+        (r"^\s*interface\s+([a-zA-Z_][a-zA-Z0-9_]*)", "interface"), (r"^\s*public\s+\w+\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", "method"),
+        (r"^\s*private\s+\w+\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", "method"), (r"^\s*import\s+([a-zA-Z_][a-zA-Z0-9_.]*)", "import"),
+    ],
+    "go": [
+        (r"^\s*func\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"^\s*type\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+struct", "type"),
+        (r"^\s*type\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+interface", "interface"), (r"""^\s*import\s+['"]([^'"]+)['"]""", "import"),
+    ],
+    "rust": [
+        (r"^\s*fn\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"^\s*struct\s+([a-zA-Z_][a-zA-Z0-9_]*)", "type"), (r"^\s*enum\s+([a-zA-Z_][a-zA-Z0-9_]*)", "type"),
+        (r"^\s*trait\s+([a-zA-Z_][a-zA-Z0-9_]*)", "interface"), (r"^\s*use\s+([a-zA-Z_][a-zA-Z0-9_:]*)", "import"),
+    ],
+}
+
+#: Fixed: lines that are imports, by language, as patterns from the start of the line.
+IMPORT_LINES = {
+    "go": [
+        r'^\s*"[a-z][a-z0-9_.-]*/[^"]+"\s*$', r'^\s*"[a-z][a-z0-9_]+"\s*$', r'^\s*\w+\s+"[a-z][a-z0-9_.-]*/[^"]+"\s*$',
+        r'^\s*import\s+"[^"]+"', r'^\s*import\s+\w+\s+"[^"]+"', r"^\s*import\s+\(",
+    ],
+    "python": [r"^\s*import\s+\w+", r"^\s*from\s+\w+\s+import"],
+    "java": [r"^\s*import\s+[\w\.]+;"],
+    "javascript": [r"^\s*import\s+"],
+    "typescript": [r"^\s*import\s+"],
+    "rust": [r"^\s*use\s+[\w:]+"],
+    "c": [r'^\s*#include\s*[<"][^>"]+[>"]'],
+    "cpp": [r'^\s*#include\s*[<"][^>"]+[>"]'],
+}
+
+#: Fixed: rows of a summary for a prompt, ids shown of an atomic group.
+SUMMARY_ROWS, SUMMARY_IDS = 50, 5

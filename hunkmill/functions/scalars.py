@@ -30,6 +30,19 @@ def language_of(file: Column) -> Column:
     return out.otherwise("unknown")
 
 
+def main_language_of(ext: Column) -> Column:
+    """Language of a suffix for the main language, else unknown."""
+    return _choose(ext, fixed.MAIN_LANGUAGES, "unknown")
+
+
+def import_line(line: Column, language: Column) -> Column:
+    """Is the line an import of its language?"""
+    out = F.when(F.lit(False), F.lit(False))
+    for name, patterns in fixed.IMPORT_LINES.items():
+        out = out.when(language == name, line.rlike("|".join(f"(?:{p})" for p in patterns)))
+    return F.coalesce(out.otherwise(False), F.lit(False))
+
+
 def change_type(added: Column, deleted: Column) -> Column:
     return F.when((added > 0) & (deleted > 0), "modify").when(added > 0, "add").otherwise("delete")
 

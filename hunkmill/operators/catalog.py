@@ -111,9 +111,14 @@ def by_path(wanted: DataFrame, repos: DataFrame) -> DataFrame:
 
 
 def annotation_matches(annotations: DataFrame, hunks: DataFrame) -> DataFrame:
-    """annotations (file_path, hunk_header, start_line, end_line) with hunks (file, old_start, new_start, section) they
-    describe: equal starts, one path equal to or ending with the other, and the section within the header."""
-    pairs = annotations.join(hunks, (F.col("start_line") == F.col("old_start")) & (F.col("end_line") == F.col("new_start")))
+    """annotations (split_id, file_path, hunk_header, start_line, end_line) with hunks (split_id, file, old_start, new_start,
+    section) of their change set that they describe: equal starts, one path equal to or ending with the other, and the
+    section within the header. The join is on the change set, the last part of the path and both starts."""
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    notes = annotations.withColumn("__base", last("file_path"))
+    own = hunks.withColumn("__base", last("file")).withColumnsRenamed({"old_start": "__old", "new_start": "__new"})
+    on = [notes["split_id"] == own["split_id"], notes["__base"] == own["__base"], F.col("start_line") == F.col("__old"), F.col("end_line") == F.col("__new")]
+    pairs = notes.join(own, on).drop(own["split_id"]).drop("__base").withColumnsRenamed({"__old": "old_start", "__new": "new_start"})
     return pairs.filter(same_file(F.col("file_path"), F.col("file")) & F.contains(F.trim("hunk_header"), F.trim("section")))
 
 
@@ -138,3 +143,53 @@ def badge(status: Column) -> Column:
     """Staged, unstaged and untracked files together; 0 for no status."""
     n = lambda f: F.coalesce(F.when(status[f].isNotNull(), F.size(status[f])), F.lit(0))
     return n("staged") + n("unstaged") + n("untracked")
+
+
+def of_repository(pulls: DataFrame, repository: str | None = None) -> DataFrame:
+    """Pull requests of `owner/repo`, all where none is asked for."""
+    return pulls if not repository else pulls.filter(F.concat_ws("/", "owner", "repo") == repository)
+
+
+def all_pulls(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pull requests of all repositories, newest change first, and what went wrong, apart. answers: slug, error, pulls
+    (array of struct with updated_at), one row a repository asked."""
+    fine = F.col("slug").rlike("^[^/]+/[^/]+") & F.col("error").isNull()
+    pulls = answers.filter(fine).select("slug", F.explode("pulls").alias("p")).select("slug", "p.*").orderBy(F.desc("updated_at"), "slug", "number")
+    told = F.when(~F.col("slug").rlike("^[^/]+/[^/]+"), F.concat(F.lit("Invalid repo format: "), F.col("slug"))).otherwise(F.concat_ws(": ", "slug", "error"))
+    return pulls, answers.filter(~fine).select("slug", told.alias("error"))
+
+
+def find_file(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """split_id, wanted, and the first file (pos, old_path, new_path) of the diff whose path is the wanted one or ends with
+    it, or with which the wanted one ends."""
+    name = F.col("wanted")
+    ends = lambda a, b: F.endswith(a, F.concat(F.lit("/"), b))
+    new, old = F.col("new_path"), F.col("old_path")
+    hit = (new == name) | (old == name) | ends(new, name) | ends(old, name) | ends(name, F.coalesce(new, old))
+    return newest(wanted.join(files, "split_id").filter(hit), ["split_id", "wanted"], [F.col("pos")])
+
+
+def newest_folder(folders: DataFrame) -> DataFrame:
+    """repository, folder: the last by name of the result folders (commit_, patch_, pr_) of each repository."""
+    return folders.filter(F.col("folder").rlike("^(commit|patch|pr)_")).groupBy("repository").agg(F.max("folder").alias("folder"))
+
+
+def first_page(snapshot: DataFrame, live: DataFrame, keys: list[str], order: list[Column], skip: int = 0, limit: int = 20) -> DataFrame:
+    """A page of each key's rows: the first from the snapshot where it holds the key, all others from the live table;
+    with has_more and whether it was cached."""
+    cached = snapshot.withColumn("cached", F.lit(True)).limit(0 if skip else 1 << 30)
+    rows = cached.unionByName(live.join(cached.select(*keys).distinct(), keys, "left_anti").withColumn("cached", F.lit(False)))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = rows.withColumn("__nth", F.row_number().over(w)).withColumn("has_more", F.count(F.lit(1)).over(Window.partitionBy(*keys)) > skip + limit)
+    return rows.filter((F.col("__nth") > skip) & (F.col("__nth") <= skip + limit)).drop("__nth")
+
+
+def by_name(wanted: DataFrame, repos: DataFrame) -> DataFrame:
+    """Each wanted name's repository, the first in the configured order (pos)."""
+    return newest(wanted.join(repos, "name"), ["name"], [F.col("pos")])
+
+
+def badges(status: DataFrame) -> DataFrame:
+    """repository, badge: the number of states of its files (repository, file, state)."""
+    lists = status.groupBy("repository").agg(F.struct(*[F.collect_list(F.when(F.col("state") == x, F.col("file"))).alias(x) for x in ("staged", "unstaged", "untracked")]).alias("s"))
+    return lists.select("repository", badge(F.col("s")).alias("badge"))

@@ -88,13 +88,43 @@ def call_edges(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return calls.join(index, ["split_id", "name"]).filter("source <> target")
 
 
-def same_file_import_edges(imported: DataFrame, used: DataFrame) -> DataFrame:
-    """imported: split_id, file, target, package, kind; used: split_id, file, source, usage. An equal name, a usage below
-    the package, or a part of its path matches; a pair that rests on standard or on external imports alone is dropped."""
-    on = (F.col("usage") == F.col("package")) | F.startswith("package", F.concat("usage", F.lit("."))) | F.array_contains(F.split("package", r"\."), F.col("usage"))
-    pairs = used.join(imported, ["split_id", "file"]).filter(on & (F.col("source") != F.col("target")))
+def same_file_import_edges(imported: DataFrame, used: DataFrame, changes: DataFrame) -> DataFrame:
+    """split_id, source, target, strength: a hunk that uses a package another hunk of its file imports.
+
+    imported: split_id, file, target, package, kind, language; used: split_id, file, source, usage. In Go the last part of
+    the import path matches, in C and C++ the header's name, else the package itself, a package below the usage, or a part
+    of its path. A pair that rests on standard or on external imports alone is dropped; hunks that import are no users.
+    """
+    usage, package = F.col("usage"), F.col("package")
+    other = (usage == package) | F.startswith(package, F.concat(usage, F.lit("."))) | F.array_contains(F.split(package, r"\."), usage)
+    header = F.replace(F.replace(package, F.lit(".h"), F.lit("")), F.lit(".hpp"), F.lit(""))
+    on = F.when(F.col("language") == "go", F.element_at(F.split(package, "/"), -1) == usage).when(F.col("language").isin("c", "cpp"), header == usage).otherwise(other)
+    users = used.join(imported.select("split_id", F.col("target").alias("source")).distinct(), ["split_id", "source"], "left_anti")
+    pairs = users.join(imported, ["split_id", "file"]).filter(on)
     kinds = F.collect_set("kind")
-    return pairs.groupBy("split_id", "source", "target").agg(kinds.alias("kinds")).filter(~((F.size("kinds") == 1) & F.col("kinds")[0].isin("stdlib", "external")))
+    found = pairs.groupBy("split_id", "source", "target").agg(kinds.alias("kinds")).filter(~((F.size("kinds") == 1) & F.col("kinds")[0].isin("stdlib", "external")))
+    return _with_strength(found.select("split_id", "source", "target"), changes)
+
+
+def with_suggested(deps: DataFrame, suggested: DataFrame) -> DataFrame:
+    """deps and, after them, suggested edges (split_id, nth, source, target, strength, reason): a strength of 0.8 and a
+    standing reason where none is given; edges with a wildcard are left out."""
+    wild = F.contains("source", F.lit("*")) | F.contains("target", F.lit("*"))
+    top = deps.groupBy("split_id").agg(F.max("dep_ord").alias("__top"))
+    nth = F.row_number().over(Window.partitionBy("split_id").orderBy("nth"))
+    more = suggested.filter(~wild).withColumn("nth", nth).join(top, "split_id", "left")
+    more = more.select("split_id", (F.coalesce("__top", F.lit(-1)) + F.col("nth")).cast("int").alias("dep_ord"), "source", "target", F.lit("call_chain").alias("type"), F.coalesce("strength", F.lit(0.8)).alias("strength"), F.coalesce("reason", F.lit("Identified by LLM")).alias("reason"))
+    return deps.unionByName(more)
+
+
+def file_edges(symbols: DataFrame, common: bool = False) -> DataFrame:
+    """split_id, file_a, file_b: files of which a uses a name that b defines; with `common` any name that both hold
+    counts, both ways."""
+    names = symbols.select("split_id", "file", "name", "role").distinct()
+    left = names if common else names.filter("role = 'usage'")
+    right = names if common else names.filter("role = 'definition'")
+    pairs = left.select("split_id", "name", F.col("file").alias("file_a")).join(right.select("split_id", "name", F.col("file").alias("file_b")), ["split_id", "name"])
+    return pairs.filter("file_a <> file_b").select("split_id", "file_a", "file_b").distinct()
 
 
 def import_kind(package: Column, standard: tuple[str, ...], external: tuple[str, ...]) -> Column:

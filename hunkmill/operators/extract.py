@@ -119,3 +119,13 @@ def called_functions(code: Column) -> Column:
     """Names that a parenthesis follows, without control words."""
     words = F.regexp_extract_all(code, F.lit(r"\b([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1))
     return F.array_distinct(F.filter(words, lambda x: ~x.isin("if", "for", "while", "switch", "catch", "return")))
+
+
+def basic_symbols(texts: DataFrame) -> DataFrame:
+    """split_id, nth, name, type of the basic patterns over code (split_id, language, code): each pattern can match at the
+    start of the text alone, in the order of its language's list."""
+    out = F.when(F.lit(False), F.array().cast("array<struct<nth:int,name:string,type:string>>"))
+    for language, rules in fixed.BASIC.items():
+        each = F.array(*[F.struct(F.lit(i).alias("nth"), F.regexp_extract("code", p, 1).alias("name"), F.lit(t).alias("type")) for i, (p, t) in enumerate(rules)])
+        out = out.when(F.col("language") == language, F.filter(each, lambda x: x["name"] != ""))
+    return texts.select("split_id", F.explode(out).alias("d")).select("split_id", "d.*")

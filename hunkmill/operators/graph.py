@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections import defaultdict
 
 import pandas as pd
@@ -53,16 +55,30 @@ def reach(deps: DataFrame) -> DataFrame:
     return _kernel(_packed(deps), work, "split_id string, source string, target string")
 
 
-def reach_by_joins(deps: DataFrame, depth: int = 64) -> DataFrame:
-    """The relational twin of reach: paths of at most `depth` edges by doubling, log2(depth) joins, each checkpointed
-    by the caller's choice of caching. For tests and for change sets too large for a worker."""
-    pairs = deps.select("split_id", "source", "target").distinct()
-    steps = 1
-    while steps < depth:
+def reach_by_joins(deps: DataFrame, path: str | None = None) -> DataFrame:
+    """The relational twin of reach, for change sets too large for a worker: paths are doubled until no pair is new, so
+    the number of joins is the logarithm of the longest path. Each step's pairs are written below `path`, or below
+    spark.checkpoint.dir, so that a lost executor loses none."""
+    spark = deps.sparkSession
+    base = path or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise RuntimeError("reach_by_joins needs a path or spark.checkpoint.dir")
+    base = f"{base.rstrip('/')}/reach-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, step: int) -> DataFrame:
+        rows.write.parquet(f"{base}/{step}")
+        return spark.read.parquet(f"{base}/{step}")
+
+    pairs, step = written(deps.select("split_id", "source", "target").distinct(), 0), 0
+    known = pairs.count()
+    while True:
         onward = pairs.select("split_id", F.col("source").alias("target"), F.col("target").alias("next"))
-        pairs = pairs.unionByName(pairs.join(onward, ["split_id", "target"]).select("split_id", "source", F.col("next").alias("target"))).distinct().persist()
-        steps *= 2
-    return pairs
+        step += 1
+        pairs = written(pairs.unionByName(pairs.join(onward, ["split_id", "target"]).select("split_id", "source", F.col("next").alias("target"))).distinct(), step)
+        now = pairs.count()
+        if now == known:
+            return pairs
+        known = now
 
 
 def cycles(deps: DataFrame, least_strength: float | None = None) -> DataFrame:
@@ -110,11 +126,51 @@ def group_sizes(groups: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def inseparable(deps: DataFrame, found: DataFrame) -> DataFrame:
-    """split_id, a, b: pairs that must stay together, both ways: the same cycle, or an edge of strength 1."""
-    left, right = found.select("split_id", "scc", F.col("change_id").alias("a")), found.select("split_id", "scc", F.col("change_id").alias("b"))
-    same = left.join(right, ["split_id", "scc"]).select("split_id", "a", "b")
+    """split_id, a, b: pairs that must stay together, both ways: each member of a cycle with the cycle's least (all others
+    of the cycle follow through it), or an edge of strength 1."""
+    same = found.filter("change_id <> scc").select("split_id", F.col("scc").alias("a"), F.col("change_id").alias("b"))
+    strong = deps.filter("strength >= 1").select("split_id", F.col("source").alias("a"), F.col("target").alias("b"))
+    once = same.unionByName(strong)
+    return once.unionByName(once.select("split_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+
+
+def separable(found: DataFrame, deps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (split_id, a, b) with the boolean separable: not on one cycle, and no edge of strength 1 either way."""
+    ring = lambda c: found.select("split_id", F.col("change_id").alias(c), F.col("scc").alias(f"__{c}"))
     strong = deps.filter("strength >= 1").select("split_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    return same.unionByName(strong).unionByName(strong.select("split_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    strong = strong.unionByName(strong.select("split_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct().withColumn("__strong", F.lit(True))
+    rows = pairs.join(ring("a"), ["split_id", "a"], "left").join(ring("b"), ["split_id", "b"], "left").join(strong, ["split_id", "a", "b"], "left")
+    return rows.select("split_id", "a", "b", (F.col("__strong").isNull() & ~F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))).alias("separable"))
+
+
+def critical_paths(nodes: DataFrame, deps: DataFrame) -> DataFrame:
+    """split_id, path: every simple path of over two changes from one that nothing leads to, to one that leads nowhere.
+    Paths are made one at a time; their number may be exponential in a change set's edges."""
+    packed = nodes.groupBy("split_id").agg(F.array_sort(F.collect_list(F.struct("change_ord", "change_id"))).alias("nodes")).join(_packed(deps), "split_id")
+
+    def run(batches):
+        for pdf in batches:
+            for split, names, edges in zip(pdf.split_id, pdf.nodes, pdf.edges, strict=True):
+                found = kernels.critical_paths([n["change_id"] for n in names], sorted((e["source"], e["target"]) for e in edges))
+                while part := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame({"split_id": split, "path": part})
+
+    return packed.mapInPandas(run, "split_id string, path array<string>")
+
+
+def file_order(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """split_id, patch_id, file, place: the files of each patch (split_id, patch_id, file), those first that others depend
+    on (edges: split_id, file_a depends on file_b); of a cycle the last edge is cut; ties go by name."""
+    rows = files.groupBy("split_id", "patch_id").agg(F.array_sort(F.collect_set("file")).alias("files"))
+    own = edges.groupBy("split_id").agg(F.collect_set(F.struct("file_a", "file_b")).alias("edges"))
+
+    def work(split, patch, names, pairs):
+        here = set(names)
+        links = [] if pairs is None else sorted((e["file_a"], e["file_b"]) for e in pairs if e["file_a"] in here and e["file_b"] in here)
+        order, _ = kernels.prerequisite_order(list(names), links)
+        yield from ((split, patch, f, i) for i, f in enumerate(order))
+
+    return _kernel(rows.join(own, "split_id", "left").select("split_id", "patch_id", "files", "edges"), work, "split_id string, patch_id int, file string, place int")
 
 
 def levels(nodes: DataFrame, deps: DataFrame) -> DataFrame:

@@ -52,6 +52,27 @@ def components(nodes: list[str], edges: list[tuple[str, str]]) -> list[list[str]
     return sorted(found, key=lambda c: place.get(c[0], len(place)))
 
 
+def levels_of(nodes: list, edges: list[tuple]) -> dict:
+    """Level of each node, prerequisites at lower ones, for edges (dependent, prerequisite); nodes behind a cycle have none."""
+    waiting = dict.fromkeys(nodes, 0)
+    users = defaultdict(list)
+    for a, b in edges:
+        waiting[a] += 1
+        users[b].append(a)
+    level, depth = {}, 0
+    ready = [n for n, k in waiting.items() if not k]
+    while ready:
+        after = []
+        for n in ready:
+            level[n] = depth
+            for a in users[n]:
+                waiting[a] -= 1
+                if not waiting[a]:
+                    after.append(a)
+        ready, depth = after, depth + 1
+    return level
+
+
 def prerequisite_order(nodes: list, edges: list[tuple]) -> tuple[list, list[tuple]]:
     """Nodes by (level, place), prerequisites first, for edges (dependent, prerequisite); and the edges that were cut.
 
@@ -61,19 +82,10 @@ def prerequisite_order(nodes: list, edges: list[tuple]) -> tuple[list, list[tupl
     live = sorted({e for e in edges if e[0] in place and e[1] in place and e[0] != e[1]}, key=lambda e: (place[e[0]], place[e[1]]))
     cut = []
     while True:
-        needs = defaultdict(set)
-        for a, b in live:
-            needs[a].add(b)
-        level: dict = {}
-        waiting = set(nodes)
-        depth = 0
-        while ready := [n for n in waiting if all(b in level for b in needs[n])]:
-            level.update({n: depth for n in ready})
-            waiting -= set(ready)
-            depth += 1
-        if not waiting:
+        level = levels_of(nodes, live)
+        if len(level) == len(nodes):
             return sorted(nodes, key=lambda n: (level[n], place[n])), cut
-        inner = components([n for n in nodes if n in waiting], [e for e in live if e[0] in waiting and e[1] in waiting])
+        inner = components([n for n in nodes if n not in level], [e for e in live if e[0] not in level and e[1] not in level])
         for ring in inner:
             own = set(ring)
             back = max((e for e in live if e[0] in own and e[1] in own), key=lambda e: (place[e[0]], place[e[1]]))
@@ -101,32 +113,32 @@ def longest_chain(depends_on: dict[int, list[int]]) -> int:
     return max(best.values(), default=0)
 
 
-def critical_paths(nodes: list[str], edges: list[tuple[str, str]], most: int = 10_000) -> list[list[str]]:
-    """Simple paths of three nodes or more from nodes nothing leads to, to nodes that lead nowhere; at most `most`,
-    since their number may be exponential."""
+def critical_paths(nodes: list[str], edges: list[tuple[str, str]]):
+    """Every simple path of three nodes or more from nodes nothing leads to, to nodes that lead nowhere, one at a time:
+    their number may be exponential."""
     after, before = defaultdict(list), defaultdict(list)
     for a, b in dict.fromkeys(edges):
         after[a].append(b)
         before[b].append(a)
-    out, stack = [], [[n] for n in reversed(nodes) if not before[n] and after[n]]
-    while stack and len(out) < most:
+    stack = [[n] for n in reversed(nodes) if not before[n] and after[n]]
+    while stack:
         path = stack.pop()
         if not after[path[-1]]:
             if len(path) > 2:
-                out.append(path)
+                yield path
             continue
         stack.extend([*path, n] for n in reversed(after[path[-1]]) if n not in path)
-    return out
 
 
-def keep_uncovered(groups: list[tuple[str, float, list[str]]]) -> list[str]:
-    """Ids of the groups kept by descending score: those with under half of their members covered already."""
+def keep_uncovered(groups: list[tuple[str, float, list[str]]]) -> list[int]:
+    """Places of the groups (id, score, members) kept by descending score: those with under half of their members
+    covered already."""
     covered: set[str] = set()
     kept = []
-    for gid, _, members in sorted(groups, key=lambda g: -g[1]):
-        own = set(members)
+    for i in sorted(range(len(groups)), key=lambda i: -groups[i][1]):
+        own = set(groups[i][2])
         if own and len(own & covered) / len(own) < 0.5:
-            kept.append(gid)
+            kept.append(i)
             covered |= own
     return kept
 
@@ -156,31 +168,28 @@ def symbol_clusters(names: dict[str, set[str]]) -> list[list[str]]:
 
 
 def pack_layers(ids: list[str], files: dict[str, str], sizes: dict[str, int], layers: dict[str, str], target: int) -> list[list[str]]:
-    """Candidates by layer in order, within it by directory: large directories alone, others together up to 1.5 targets."""
-    out: list[list[str]] = []
-    for layer in fixed.LAYERS:
-        by_dir = defaultdict(list)
-        for i in ids:
-            if layers[i] == layer:
-                by_dir[files[i].rpartition("/")[0] or "root"].append(i)
-        held, size = [], 0
-        for name in sorted(by_dir):
-            own = by_dir[name]
-            n = sum(sizes[i] for i in own)
-            if n >= 0.5 * target:
-                if held:
-                    out.append(held)
-                    held, size = [], 0
-                out.append(own)
-            else:
-                if held and size + n > 1.5 * target:
-                    out.append(held)
-                    held, size = [], 0
-                held = held + own
-                size += n
-        if held:
-            out.append(held)
-    return out
+    """Candidates in the order in which layers build on each other: all interfaces, all utilities, the implementation by
+    directory (one of half a target alone, others together up to 1.5 targets), all controllers."""
+    of = lambda layer: [i for i in ids if layers[i] == layer]
+    by_dir = defaultdict(list)
+    for i in of("impl"):
+        by_dir[files[i].rpartition("/")[0] or "root"].append(i)
+    packed: list[list[str]] = []
+    held, size = [], 0
+    for name in sorted(by_dir):
+        own = by_dir[name]
+        n = sum(sizes[i] for i in own)
+        if n >= 0.5 * target or size + n > 1.5 * target:
+            if held:
+                packed.append(held)
+            held, size = [], 0
+        if n >= 0.5 * target:
+            packed.append(own)
+        else:
+            held, size = held + own, size + n
+    if held:
+        packed.append(held)
+    return [x for x in (of("interface"), of("util"), *packed, of("controller")) if x]
 
 
 def merge_candidates(candidates: list[list[str]], sizes: dict[str, int], ring: dict[str, int], strong: set[tuple[str, str]], groups: dict[str, set[str]], target: int) -> list[list[str]]:
@@ -189,32 +198,77 @@ def merge_candidates(candidates: list[list[str]], sizes: dict[str, int], ring: d
     Two merge when a change of one cannot be parted from one of the other (the same cycle, or a strong edge), whatever
     their size; else when both fit in 1.5 targets and over half of their groups are common.
     """
-    def inseparable(a: set[str], b: set[str]) -> bool:
-        if a & b or {ring[x] for x in a if x in ring} & {ring[x] for x in b if x in ring}:
-            return True
-        few, many = (a, b) if len(a) <= len(b) else (b, a)
-        return any(y in many for x in few for y in linked.get(x, ()))
-
     linked = defaultdict(set)
     for a, b in strong:
         linked[a].add(b)
         linked[b].add(a)
+    none: set = set()
+    # Of each candidate its members, lines, groups, cycles and the changes it cannot be parted from.
+    facts = [[set(own), sum(sizes[x] for x in own), none.union(*(groups.get(x, none) for x in own)), {ring[x] for x in own if x in ring}, none.union(*(linked.get(x, none) for x in own))] for own in candidates]
+    place = {x: i for i, x in enumerate(sizes)}
     used, out = set(), []
-    for i, own in enumerate(candidates):
+    for i, own in enumerate(facts):
         if i in used:
             continue
-        current = set(own)
-        for j in range(i + 1, len(candidates)):
+        for j in range(i + 1, len(facts)):
             if j in used:
                 continue
-            other = set(candidates[j])
-            join = inseparable(current, other)
-            if not join and sum(sizes[x] for x in current | other) <= 1.5 * target:
-                a = set().union(*(groups.get(x, set()) for x in current))
-                b = set().union(*(groups.get(x, set()) for x in other))
-                join = bool(a and b) and len(a & b) / len(a | b) > 0.5
+            other = facts[j]
+            join = not own[3].isdisjoint(other[3]) or not own[4].isdisjoint(other[0])
+            if not join and own[1] + other[1] <= 1.5 * target and own[2] and other[2]:
+                both = len(own[2] & other[2])
+                join = both / (len(own[2]) + len(other[2]) - both) > 0.5
             if join:
-                current |= other
+                own = [own[0] | other[0], own[1] + other[1], own[2] | other[2], own[3] | other[3], own[4] | other[4]]
                 used.add(j)
-        out.append([x for x in sizes if x in current])
+        out.append(sorted(own[0], key=place.get))
     return out
+
+
+def families(changes: list[dict], symbols: list[dict]) -> list[tuple[str, float, list[str]]]:
+    """(id, score, change ids) of all groups of one change set, in their fixed order. changes: ordered, with change_id,
+    change_ord, file, type, line_start, line_end, dir, parent (null at the root), stem, group_layer; symbols: ordered, with
+    change_id, name, type."""
+    order = {c["change_id"]: c["change_ord"] for c in changes}
+    in_order = lambda ids: sorted(ids, key=order.get)
+    by = {k: defaultdict(list) for k in ("file", "dir", "group_layer")}
+    for c in changes:
+        for k, held in by.items():
+            held[c[k]].append(c)
+    ids = lambda rows: [c["change_id"] for c in rows]
+    out = []
+    for i, rows in enumerate(by["file"].values()):
+        if len(rows) > 1:
+            lines = sorted(rows, key=lambda c: (c["line_start"], c["change_ord"]))
+            gaps = [max(0, b["line_start"] - a["line_end"]) for a, b in zip(lines, lines[1:], strict=False)]
+            out.append((f"file_{i}", max(0.5, 1 - sum(gaps) / len(gaps) / 100), ids(rows)))
+    out += [(f"subpkg_{i}", 0.85 if len(rows) > 1 else 0.7, ids(rows)) for i, rows in enumerate(by["dir"].values())]
+    out += [(f"filetype_{layer}", fixed.LAYERS[layer], ids(rows)) for layer, rows in by["group_layer"].items()]
+    held, times, kinds = defaultdict(dict), defaultdict(int), defaultdict(set)
+    for x in symbols:
+        held[x["name"]][x["change_id"]] = None
+        times[x["name"]] += 1
+        kinds[x["change_id"]].add(x["type"])
+    first = lambda name: (min(order.get(c, 0) for c in held[name]), name)
+    out += [(f"rename_{i}", 0.95, in_order(held[name])) for i, name in enumerate(sorted((n for n, k in times.items() if k >= 3), key=first))]
+    gone = [c for c in changes if c["type"] == "delete"]
+    found = []
+    for c in changes:
+        if c["type"] == "add" and kinds[c["change_id"]] & {"function", "class"}:
+            own = [d["change_id"] for d in gone if d["parent"] == c["parent"] or d["stem"] in c["stem"] or c["stem"] in d["stem"]]
+            if own:
+                found.append([c["change_id"], *own])
+    out += [(f"extract_{i}", 0.9, own) for i, own in enumerate(found)]
+    names = defaultdict(dict)
+    for x in symbols:
+        names[x["change_id"]][x["name"]] = None
+    found = []
+    for c in changes:
+        if c["type"] == "modify" and kinds[c["change_id"]] & {"function", "method"}:
+            users = {u for name in names[c["change_id"]] for u in held[name]} - {c["change_id"]}
+            if users:
+                found.append([c["change_id"], *in_order(users)])
+    out += [(f"api_{i}", 0.9, own) for i, own in enumerate(found)]
+    shared = {c: {n for n in names[c] if len(held[n]) > 1} for c in in_order(names)}
+    clusters = symbol_clusters({c: own for c, own in shared.items() if own})
+    return out + [(f"symbol_{i}", 0.8, own) for i, own in enumerate(clusters)]

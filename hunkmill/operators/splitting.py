@@ -1,14 +1,16 @@
 """Change sets into disjoint, bounded, ordered patches.
 
-Cycles, groups and the merge depend on order within one change set, so they run as one grouped kernel on a change
-set; change sets run in parallel and are shuffled once, by split_id.
+Cycles, groups and the merge depend on order within one change set, so they run as one kernel on a change set; change
+sets run in parallel, many to an Arrow batch, and are shuffled once, by split_id.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,23 @@ from ..functions import fixed
 from ..functions import scalars as S
 from . import grouping, kernels
 
-MEMBERS = "split_id string, patch_id int, change_id string, change_ord int, depends_on array<int>"
+MEMBERS = "split_id string, patch_id int, change_id string, change_ord int, depends_on array<int>, file string, type string, lines int, names array<string>"
 GROUPERS: list = []
+SUMMARIZERS: list = []
+
+
+def register_summarizer(make) -> None:
+    """make(patches) returns names and descriptions (split_id, patch_id, name, description) for patch rows; null, or no
+    row, leaves the rule's own. None is registered at first; later ones win."""
+    SUMMARIZERS.append(make)
+
+
+def summarised(patches: DataFrame) -> DataFrame:
+    for make in SUMMARIZERS:
+        own = make(patches).select("split_id", "patch_id", F.col("name").alias("__name"), F.col("description").alias("__text"))
+        rows = patches.join(own, ["split_id", "patch_id"], "left")
+        patches = rows.withColumn("name", F.coalesce("__name", "name")).withColumn("description", F.coalesce("__text", "description")).drop("__name", "__text")
+    return patches
 
 
 def register_grouper(make) -> None:
@@ -34,10 +51,11 @@ def semantic_groups(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     ]
     out = None
     for i, (name, rows, text) in enumerate(families):
-        rows = rows.select("split_id", F.lit(i).alias("family"), F.lit(name).alias("kind"), "key", "first", F.col("score").cast("double").alias("score"), "change_ids", F.concat(F.lit(text), F.col("key")).alias("name"))
+        own = F.col("idx").cast("string") if "idx" in rows.columns else F.lit(None).cast("string")
+        rows = rows.select("split_id", F.lit(i).alias("family"), F.lit(name).alias("kind"), own.alias("idx"), "key", "first", F.col("score").cast("double").alias("score"), "change_ids", F.concat(F.lit(text), F.col("key")).alias("name"))
         out = rows if out is None else out.unionByName(rows)
     nth = F.row_number().over(Window.partitionBy("split_id", "family").orderBy("first", "key")) - 1
-    out = out.withColumn("group_id", F.when(F.col("kind") == "filetype", F.concat(F.lit("filetype_"), F.col("key"))).otherwise(F.concat("kind", F.lit("_"), nth.cast("string"))))
+    out = out.withColumn("group_id", F.when(F.col("kind") == "filetype", F.concat(F.lit("filetype_"), F.col("key"))).otherwise(F.concat("kind", F.lit("_"), F.coalesce("idx", nth.cast("string")))))
     order = F.row_number().over(Window.partitionBy("split_id").orderBy("family", "first", "key")) - 1
     return out.select("split_id", order.cast("int").alias("group_ord"), "group_id", "name", F.col("name").alias("description"), "score", "change_ids")
 
@@ -62,50 +80,95 @@ def symbol_groups(symbols: DataFrame) -> DataFrame:
     return packed.mapInPandas(cluster, "split_id string, key string, first int, score double, change_ids array<string>")
 
 
-def members(changes: DataFrame, deps: DataFrame, groups: DataFrame, target: int = fixed.TARGET_LINES) -> DataFrame:
-    """split_id, patch_id, change_id, change_ord, depends_on: every change in exactly one patch; patches are numbered
-    in order, each after those it depends on."""
-    rows = changes.select("split_id", "change_ord", "change_id", "file", "type", (F.col("added_lines") + F.col("deleted_lines")).alias("lines"), S.pack_layer(F.col("file")).alias("layer"))
-    per = F.struct("change_ord", "change_id", "file", "type", "lines", "layer")
-    packed = rows.groupBy("split_id").agg(F.array_sort(F.collect_list(per)).alias("changes"))
-    edges = deps.groupBy("split_id").agg(F.array_sort(F.collect_list(F.struct("source", "target", "strength"))).alias("deps"))
-    sets = groups.groupBy("split_id").agg(F.collect_list(F.struct("group_id", "change_ids")).alias("groups"))
-    packed = packed.join(edges, "split_id", "left").join(sets, "split_id", "left")
+def pack(changes: DataFrame, symbols: DataFrame, deps: DataFrame, suggested: DataFrame | None = None) -> DataFrame:
+    """split_id, changes, symbols, deps, more, late: all that a change set's plan needs, in one row.
+
+    more: groups of the registered groupers, which take part in the cover rule; late: suggested groups (split_id,
+    group_id, change_ids), which join after it and may overlap.
+    """
+    file = F.col("file")
+    parent = S.directory(file)
+    per = F.struct(
+        "change_ord", "change_id", "file", "type", "line_start", "line_end", (F.col("added_lines") + F.col("deleted_lines")).alias("lines"), F.coalesce(parent, F.lit("root")).alias("dir"),
+        parent.alias("parent"), F.element_at(F.split(S.base_name(file), r"\."), 1).alias("stem"), S.group_layer(file).alias("group_layer"), S.pack_layer(file).alias("pack_layer"),
+    )
+    listed = lambda rows, columns, name: rows.groupBy("split_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+    out = changes.groupBy("split_id").agg(F.array_sort(F.collect_list(per)).alias("changes"))
+    out = out.join(listed(symbols, ["change_ord", "sym_ord", "change_id", "name", "type"], "symbols"), "split_id", "left")
+    out = out.join(listed(deps, ["source", "target", "strength"], "deps"), "split_id", "left")
+    own = [make(changes, symbols).select("split_id", F.lit(i).alias("family"), "first", "key", F.col("score").cast("double").alias("score"), "change_ids") for i, make in enumerate(GROUPERS)]
+    for rows, name, columns in ((own, "more", ["family", "first", "key", "score", "change_ids"]), ([suggested] if suggested is not None else [], "late", ["group_id", "change_ids"])):
+        if rows:
+            every = rows[0]
+            for r in rows[1:]:
+                every = every.unionByName(r)
+            out = out.join(listed(every, columns, name), "split_id", "left")
+        else:
+            out = out.withColumn(name, F.lit(None).cast("array<struct<key:string>>"))
+    return out
+
+
+def members(packed: DataFrame, target: int = fixed.TARGET_LINES) -> DataFrame:
+    """Rows of MEMBERS: every change in exactly one patch; patches are numbered in order, each after those it depends on."""
 
     def plan(batches):
-        for pdf in batches:
-            out = []
-            for split, rows, links, own in zip(pdf.split_id, pdf.changes, pdf.deps, pdf.groups, strict=True):
-                rows = [x.asDict() if hasattr(x, "asDict") else x for x in rows]
-                links = [] if links is None else [(e["source"], e["target"], e["strength"]) for e in links]
-                member_of = defaultdict(set)
-                for g in [] if own is None else own:
-                    for c in g["change_ids"]:
-                        member_of[c].add(g["group_id"])
-                out += [(split, *x) for x in _split(rows, links, member_of, target)]
-            yield pd.DataFrame(out, columns=["split_id", "patch_id", "change_id", "change_ord", "depends_on"])
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())]
+        names = [x.split()[0] for x in MEMBERS.split(", ")]
+        for batch in batches:
+            out = [(row["split_id"], *x) for row in batch.to_pylist() for x in _split(row, target)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * len(names), kinds, strict=True)], names=names)
+
+    return packed.mapInArrow(plan, MEMBERS)
+
 
-    return packed.mapInPandas(plan, MEMBERS)
+def groups_of(row: dict) -> list[tuple[str, float, list[str]]]:
+    """The groups of one packed change set that the cover rule keeps, in their fixed order, then the suggested ones."""
+    groups = kernels.families(row["changes"], row["symbols"] or [])
+    nth: dict[int, int] = defaultdict(int)
+    for g in row["more"] or ():
+        groups.append((f"own{g['family']}_{nth[g['family']]}", g["score"], g["change_ids"]))
+        nth[g["family"]] += 1
+    kept = [groups[i] for i in sorted(kernels.keep_uncovered(groups))]
+    return kept + [(g["group_id"], 0.0, g["change_ids"]) for g in row["late"] or ()]
 
 
-def _split(rows: list[dict], links: list[tuple[str, str, float]], member_of: dict[str, set[str]], target: int):
+def candidates_of(row: dict, target: int) -> tuple[list[list[str]], list[list[str]]]:
+    """The cycles of one packed change set, and its candidates: cycles, packed layers of a large new feature, single changes."""
+    rows = row["changes"]
     ids = [r["change_id"] for r in rows]
-    place = {r["change_id"]: r["change_ord"] for r in rows}
-    sizes, files, layers = ({r["change_id"]: r[k] for r in rows} for k in ("lines", "file", "layer"))
-    edges = [(a, b) for a, b, _ in links]
-    rings = kernels.components(ids, edges)
+    sizes, files, layers = ({r["change_id"]: r[k] for r in rows} for k in ("lines", "file", "pack_layer"))
+    rings = kernels.components(ids, [(e["source"], e["target"]) for e in row["deps"] or ()])
     new_feature = sum(r["type"] == "add" for r in rows) > 0.7 * len(rows)
-    candidates = []
+    found = []
     for ring in rings:
         large = new_feature and sum(sizes[i] for i in ring) > 2 * target
-        candidates += kernels.pack_layers(ring, files, sizes, layers, target) if large else [ring]
-    taken = {i for c in candidates for i in c}
+        found += kernels.pack_layers(ring, files, sizes, layers, target) if large else [ring]
+    taken = {i for c in found for i in c}
     rest = [i for i in ids if i not in taken]
-    candidates += kernels.pack_layers(rest, files, sizes, layers, target) if new_feature and len(rest) > 5 else [[i] for i in rest]
+    return rings, found + (kernels.pack_layers(rest, files, sizes, layers, target) if new_feature and len(rest) > 5 else [[i] for i in rest])
+
+
+def merged_of(row: dict, target: int) -> list[list[str]]:
+    """The candidates of one packed change set, merged."""
+    rings, candidates = candidates_of(row, target)
+    member_of = defaultdict(set)
+    for gid, _, own in groups_of(row):
+        for c in own:
+            member_of[c].add(gid)
     ring_of = {i: k for k, ring in enumerate(rings) for i in ring}
-    strong = {(a, b) for a, b, s in links if s >= 1.0}
-    merged = kernels.merge_candidates(candidates, sizes, ring_of, strong, member_of, target)
+    strong = {(e["source"], e["target"]) for e in row["deps"] or () if e["strength"] >= 1.0}
+    return kernels.merge_candidates(candidates, {r["change_id"]: r["lines"] for r in row["changes"]}, ring_of, strong, member_of, target)
+
+
+def _split(row: dict, target: int):
+    merged = merged_of(row, target)
+    at = {r["change_id"]: r for r in row["changes"]}
+    names = defaultdict(list)
+    for x in row["symbols"] or ():
+        if len(names[x["change_id"]]) < fixed.SHOWN_SYMBOLS:
+            names[x["change_id"]].append(x["name"])
     patch_of = {i: k for k, own in enumerate(merged) for i in own}
+    edges = [(e["source"], e["target"]) for e in row["deps"] or ()]
     needs = sorted({(patch_of[a], patch_of[b]) for a, b in edges if a in patch_of and b in patch_of and patch_of[a] != patch_of[b]})
     order, cut = kernels.prerequisite_order(list(range(len(merged))), needs)
     number = {k: n for n, k in enumerate(order)}
@@ -113,8 +176,89 @@ def _split(rows: list[dict], links: list[tuple[str, str, float]], member_of: dic
     for a, b in set(needs) - set(cut):
         wanted[a].add(number[b])
     for k in order:
-        for i in sorted(merged[k], key=place.get):
-            yield number[k], i, place[i], sorted(wanted[k])
+        for i in merged[k]:
+            r = at[i]
+            yield number[k], i, r["change_ord"], sorted(wanted[k]), r["file"], r["type"], r["lines"], names[i]
+
+
+def kernel_rows(packed: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """split_id and the rows that work(packed row) gives, as a table: the kernel's steps one by one."""
+
+    def run(batches):
+        names = ["split_id", *(x.split()[0] for x in schema.split(", "))]
+        for batch in batches:
+            yield pd.DataFrame([(row["split_id"], *x) for row in batch.to_pylist() for x in work(row)], columns=names)
+
+    def arrow(batches):
+        for pdf in run(batches):
+            yield pa.RecordBatch.from_pandas(pdf, schema=KERNEL_SCHEMAS[schema], preserve_index=False)
+
+    return packed.mapInArrow(arrow, f"split_id string, {schema}")
+
+
+GROUP_ROWS, SET_ROWS = "group_ord int, group_id string, score double, change_ids array<string>", "nth int, change_ids array<string>"
+KERNEL_SCHEMAS = {
+    GROUP_ROWS: pa.schema([("split_id", pa.string()), ("group_ord", pa.int32()), ("group_id", pa.string()), ("score", pa.float64()), ("change_ids", pa.list_(pa.string()))]),
+    SET_ROWS: pa.schema([("split_id", pa.string()), ("nth", pa.int32()), ("change_ids", pa.list_(pa.string()))]),
+}
+
+
+def kept_groups(packed: DataFrame) -> DataFrame:
+    """split_id, group_ord, group_id, score, change_ids of the groups that guide the merge."""
+    return kernel_rows(packed, lambda row: ((i, *g) for i, g in enumerate(groups_of(row))), GROUP_ROWS)
+
+
+def candidates(packed: DataFrame, target: int = fixed.TARGET_LINES) -> DataFrame:
+    """split_id, nth, change_ids of the candidates before the merge."""
+    return kernel_rows(packed, lambda row: enumerate(candidates_of(row, target)[1]), SET_ROWS)
+
+
+def merged(packed: DataFrame, target: int = fixed.TARGET_LINES) -> DataFrame:
+    """split_id, nth, change_ids of the candidates after the merge."""
+    return kernel_rows(packed, lambda row: enumerate(merged_of(row, target)), SET_ROWS)
+
+
+def _summary(rows: DataFrame, order: str, line: Column, what: str) -> DataFrame:
+    """split_id, text: the first SUMMARY_ROWS lines in order, and how many more there are."""
+    nth = F.row_number().over(Window.partitionBy("split_id").orderBy(order))
+    rows = rows.withColumn("__line", line).withColumn("__nth", nth)
+    shown = F.array_sort(F.collect_list(F.when(F.col("__nth") <= fixed.SUMMARY_ROWS, F.struct("__nth", "__line"))))
+    text = F.array_join(F.transform(shown, lambda x: x["__line"]), "\n")
+    more = F.count(F.lit(1)) - fixed.SUMMARY_ROWS
+    return rows.groupBy("split_id").agg(F.concat(text, F.when(more > 0, F.format_string(f"\n... and %d more {what}", more)).otherwise("")).alias("text"))
+
+
+def change_summaries(changes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """split_id, text: a line a change, for a prompt."""
+    names = symbols.groupBy("split_id", "change_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("sym_ord", "name"))), lambda x: x["name"]), 1, fixed.SHOWN_SYMBOLS).alias("names"))
+    rows = changes.join(names, ["split_id", "change_id"], "left")
+    line = F.format_string("- %s: %s in %s, symbols: [%s], %d+ %d-", "change_id", "type", "file", F.coalesce(F.array_join("names", ", "), F.lit("")), "added_lines", "deleted_lines")
+    return _summary(rows, "change_ord", line, "changes")
+
+
+def dependency_summaries(deps: DataFrame) -> DataFrame:
+    line = F.format_string("- %s -> %s (%s, strength=%.1f): %s", "source", "target", "type", "strength", "reason")
+    return _summary(deps, "dep_ord", line, "dependencies")
+
+
+def atomic_summaries(groups: DataFrame) -> DataFrame:
+    """split_id, text: a line a group, with its first SUMMARY_IDS changes."""
+    ids = F.concat(F.array_join(F.slice("change_ids", 1, fixed.SUMMARY_IDS), ", "), F.when(F.size("change_ids") > fixed.SUMMARY_IDS, "...").otherwise(""))
+    packed = F.array_sort(F.collect_list(F.struct("group_ord", F.format_string("- %s: [%s] - %s", "group_id", ids, "reason").alias("line"))))
+    return groups.groupBy("split_id").agg(F.array_join(F.transform(packed, lambda x: x["line"]), "\n").alias("text"))
+
+
+def semantic_summaries(groups: DataFrame) -> DataFrame:
+    line = F.format_string("- %s (cohesion=%.2f): %s [%d changes]", "name", "score", "description", F.size("change_ids"))
+    packed = F.array_sort(F.collect_list(F.struct("group_ord", line.alias("line"))))
+    return groups.groupBy("split_id").agg(F.array_join(F.transform(packed, lambda x: x["line"]), "\n").alias("text"))
+
+
+def patch_summaries(patches: DataFrame) -> DataFrame:
+    needs = F.when(F.size("depends_on") > 0, F.concat(F.lit("depends on ["), F.array_join(F.transform("depends_on", lambda d: d.cast("string")), ", "), F.lit("]"))).otherwise("no dependencies")
+    line = F.format_string("- Patch %d: %s (%d changes, %d lines, %s)", "patch_id", "name", F.size("changes"), "size_lines", needs)
+    packed = F.array_sort(F.collect_list(F.struct("patch_id", line.alias("line"))))
+    return patches.groupBy("split_id").agg(F.array_join(F.transform(packed, lambda x: x["line"]), "\n").alias("text"))
 
 
 def type_counts(kind: str = "type") -> Column:
@@ -122,11 +266,8 @@ def type_counts(kind: str = "type") -> Column:
     return S.type_counts(n("add"), n("modify"), n("delete"))
 
 
-def patches(parts: DataFrame, changes: DataFrame, symbols: DataFrame) -> DataFrame:
+def patches(rows: DataFrame) -> DataFrame:
     """Patch rows of members(): name, description, size and warnings."""
-    names = symbols.groupBy("split_id", "change_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("sym_ord", "name"))), 1, 3), lambda x: x["name"]).alias("names"))
-    info = changes.select("split_id", "change_id", "file", "type", (F.col("added_lines") + F.col("deleted_lines")).alias("lines"))
-    rows = parts.join(info, ["split_id", "change_id"]).join(names, ["split_id", "change_id"], "left")
     out = rows.groupBy("split_id", "patch_id").agg(
         grouping.ordered_ids().alias("changes"), F.first("depends_on").alias("depends_on"), F.sum("lines").cast("int").alias("size_lines"), F.array_sort(F.collect_set("file")).alias("files"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.concat(F.lit("no_llm_"), type_counts()).alias("description"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 
 
+_SPLIT = ",".join(x.strip().replace(" ", ":", 1) for x in ("goal_summary string", "patches array<struct<id:int,name:string,filename:string,state:string>>"))
+
+
 def split_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row for each folder below path: its first metadata_*.json; unreadable files are left out."""
     raw = spark.read.schema(f"{schemas.SPLIT_METADATA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata_*.json").json(path)
@@ -85,3 +90,56 @@ def snapshot(commits: DataFrame, path: str, n: int = 50) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("repo", "branch").orderBy(F.desc("at"), "sha"))
     commits.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth").write.mode("overwrite").partitionBy("repo").parquet(path)
     return commits.sparkSession.read.parquet(path)
+
+
+def read_config(path: str) -> dict:
+    """A configuration file: JSON, or YAML where its reader is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("reading YAML needs the yaml package") from error
+    return yaml.safe_load(text) or {}
+
+
+def current_branch(lines: DataFrame) -> DataFrame:
+    """repository, branch of rows (repository, value, failed) of the command that tells it: HEAD where it failed."""
+    return lines.select("repository", F.when(F.coalesce("failed", F.lit(False)) | (F.trim(F.coalesce("value", F.lit(""))) == ""), "HEAD").otherwise(F.trim("value")).alias("branch"))
+
+
+def untracked_files(lines: DataFrame) -> DataFrame:
+    """Files listed one a line (value); blank lines are none."""
+    return lines.filter(F.trim("value") != "").select(F.col("value").alias("file"))
+
+
+def bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """commits and patches (commit_id, filename, content) of a bundled file that stands for the service: JSON with a list
+    `commits` and a map `patches` keyed by commit/filename."""
+    rows = spark.read.schema(f"commits array<struct<id:string,message:string,metadata:struct<{_SPLIT}>>>, patches map<string,string>").option("multiLine", "true").json(path)
+    commits = rows.select(F.explode("commits").alias("c")).select("c.*")
+    each = rows.select(F.explode("patches").alias("key", "content"))
+    cut = F.length("key") - F.length(F.substring_index("key", "/", -1))
+    return commits, each.select(F.substring("key", F.lit(1), (cut - 1).cast("int")).alias("commit_id"), F.substring_index("key", "/", -1).alias("filename"), "content")
+
+
+def commit_rows(commits: DataFrame) -> DataFrame:
+    """The columns of a listed commit, with their defaults."""
+    return commits.select(F.col("id"), F.coalesce("message", F.lit("")).alias("message"), F.coalesce(F.col("metadata.goal_summary"), F.lit("")).alias("goal"), F.coalesce(F.size(F.filter(F.col("metadata.patches"), lambda p: ~p["state"].eqNullSafe("deleted"))), F.lit(0)).alias("patches"))
+
+
+def repository_rows(repos: DataFrame) -> DataFrame:
+    return repos.select("name", F.coalesce("path", F.lit("")).alias("path"), F.coalesce("description", F.lit("")).alias("description"))
+
+
+def pull_rows(pulls: DataFrame) -> DataFrame:
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("additions", "deletions", "changed_files")]
+    return pulls.select("owner", "repo", "number", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author", F.lit("unknown")).alias("author"), F.coalesce("state", F.lit("open")).alias("state"), "updated_at", *zero)
+
+
+def write_progress(rows: DataFrame, path: str, repository: str) -> None:
+    """Writes one repository's rows of a snapshot by folders, replacing what it had there and nothing else: a run that is
+    repeated, or ends half-way, leaves whole repositories."""
+    rows.filter(F.col("repo") == repository).drop("repo").write.mode("overwrite").parquet(f"{path}/repo={repository}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +102,74 @@ def main_language(files: DataFrame) -> DataFrame:
     ext = F.regexp_extract("file", r"(\.[^./]+)$", 1)
     counts = files.withColumn("ext", ext).filter("ext <> ''").groupBy("split_id", "ext").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
     best = F.max_by("ext", F.struct("n", -F.col("first")))
-    return counts.groupBy("split_id").agg(best.alias("ext")).select("split_id", S.language_of(F.col("ext")).alias("language"))
+    return counts.groupBy("split_id").agg(best.alias("ext")).select("split_id", S.main_language_of(F.col("ext")).alias("language"))
+
+
+def from_text(spark: SparkSession, text: str, split_id: str = "stdin") -> DataFrame:
+    """split_id, value of a diff that is at hand, such as one read from standard input; nothing where it is blank."""
+    return spark.createDataFrame([(split_id, text)] if text.strip() else [], "split_id string, value string")
+
+
+def between(spark: SparkSession, repository: str, base: str, head: str | None = None, paths: tuple[str, ...] = ()) -> DataFrame:
+    """split_id, value: the diff of two refs of a repository on the driver's disk, by plain git; without head, of the
+    working directory against base. A driver-side step before the engine, for one change set."""
+    command = ["git", "-C", repository, "diff", *([f"{base}..{head}"] if head else [base]), *(["--", *paths] if paths else [])]
+    done = subprocess.run(command, capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise ValueError(f"no diff between {base} and {head}: {done.stderr.strip()}")
+    return from_text(spark, done.stdout, f"{base}..{head}" if head else base)
+
+
+MODES = ("patch", "commit", "branch", "working directory")
+
+
+def generated(requests: DataFrame, commits: DataFrame, branches: DataFrame, working: DataFrame, untracked: DataFrame) -> DataFrame:
+    """split_id, mode, value of patch requests (split_id, patch, commit_id, branch, base_branch, with_untracked).
+
+    The first that is given counts: a ready patch, a commit's diff, the diff of a branch from its base, else the working
+    directory, to which the new files' diffs are added where with_untracked is set. Diffs are looked up in commits
+    (commit_id, value), branches (branch, base_branch, value) and working (split_id, value); untracked has split_id, file
+    and text, folders already listed file by file. Requests without a diff have value null; base_branch without branch
+    is an error told by mode `invalid`.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    mode = F.when(given("patch"), MODES[0]).when(given("base_branch") & ~given("branch"), "invalid").when(given("commit_id"), MODES[1]).when(given("branch") & given("base_branch"), MODES[2]).otherwise(MODES[3])
+    rows = requests.withColumn("mode", mode)
+    mine = lambda m: F.col("mode") == m
+    made = rows.filter(mine(MODES[0])).select("split_id", "mode", F.col("patch").alias("value"))
+    made = made.unionByName(rows.filter(mine(MODES[1])).join(commits, "commit_id", "left").select("split_id", "mode", "value"))
+    made = made.unionByName(rows.filter(mine(MODES[2])).join(branches, ["branch", "base_branch"], "left").select("split_id", "mode", "value"))
+    own = rows.filter(mine(MODES[3])).select("split_id", "mode", "with_untracked").join(working, "split_id", "left")
+    added = new_file_diffs(untracked).groupBy("split_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file", "value"))), lambda x: x.value), "").alias("added"))
+    blank = F.trim(F.coalesce("value", F.lit(""))) == ""
+    whole = F.concat("value", F.when(F.endswith("value", F.lit("\n")), "").otherwise("\n"), "added")
+    own = own.join(added, "split_id", "left").select("split_id", "mode", F.when(blank, F.lit(None)).when(F.col("with_untracked") & F.col("added").isNotNull(), whole).otherwise(F.col("value")).alias("value"))
+    made = made.unionByName(own).unionByName(rows.filter(mine("invalid")).select("split_id", "mode", F.lit(None).cast("string").alias("value")))
+    return made.withColumn("value", F.when(F.trim("value") != "", F.col("value")))
+
+
+def commit_view(infos: DataFrame, commits: DataFrame) -> DataFrame:
+    """Commits (infos: sha and further fields) with their diff (commits: commit_id, value) and the files it changes; a
+    commit without a diff is left out."""
+    rows = infos.join(commits.select(F.col("commit_id").alias("sha"), F.col("value").alias("diff")), "sha").filter("diff is not null")
+    sections = file_sections(rows.select(F.col("sha").alias("split_id"), F.col("diff").alias("value")))
+    files = sections.groupBy(F.col("split_id").alias("sha")).agg(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "file_name"))), lambda x: x.file_name).alias("files"))
+    return rows.join(files, "sha", "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+
+
+def working_view(diffs: DataFrame, status: DataFrame, prefix: str | None = None) -> DataFrame:
+    """split_id, diff, files, staged, unstaged, untracked of working directories: diffs (split_id, value) and status rows
+    (split_id, file, state), all below prefix and given from there where one is set."""
+    text = strip_prefix_in_text(F.col("value"), prefix) if prefix else F.col("value")
+    sections = file_sections(diffs)
+    if prefix:
+        sections = sections.filter(S.under(F.col("file_name"), prefix)).withColumn("file_name", S.without_prefix(F.col("file_name"), prefix))
+        status = status.filter(S.under(F.col("file"), prefix)).withColumn("file", S.without_prefix(F.col("file"), prefix))
+    files = sections.groupBy("split_id").agg(F.array_sort(F.collect_set("file_name")).alias("files"))
+    states = status.groupBy("split_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("state") == x, F.col("file")))).alias(x) for x in ("staged", "unstaged", "untracked")])
+    none = F.array().cast("array<string>")
+    out = diffs.select("split_id", text.alias("diff")).join(files, "split_id", "left").join(states, "split_id", "left")
+    return out.select("split_id", "diff", *[F.coalesce(c, none).alias(c) for c in ("files", "staged", "unstaged", "untracked")])
 
 
 def filter_paths(changes: DataFrame, prefix: str, strip: bool = False) -> DataFrame:

@@ -25,8 +25,7 @@ def start(diffs: DataFrame, out: str, checkpoint: str, target: int = fixed.TARGE
         p = engine.split(batch, target)
         for name, table in (("patches", p.patches), ("metrics", p.metrics)):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
-        for table in (p.changes, p.symbols, p.members, p.patches):
-            table.unpersist()
+        p.close()
 
     return diffs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

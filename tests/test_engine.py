@@ -134,12 +134,18 @@ def test_kernels():
     order, cut = kernels.prerequisite_order([0, 1, 2], [(0, 1), (1, 2), (2, 0)])
     assert len(cut) == 1 and sorted(order) == [0, 1, 2]
     assert kernels.longest_chain({0: [], 1: [0], 2: [1], 3: [0]}) == 3 and kernels.longest_chain({}) == 0
-    assert kernels.critical_paths(list("abcd"), [("a", "b"), ("b", "c"), ("a", "d")]) == [["a", "b", "c"]]
-    assert kernels.keep_uncovered([("g", 0.9, ["a", "b"]), ("h", 0.8, ["b", "c"]), ("i", 0.7, ["c", "d", "b"])]) == ["g", "i"]
+    assert list(kernels.critical_paths(list("abcd"), [("a", "b"), ("b", "c"), ("a", "d")])) == [["a", "b", "c"]]
+    assert kernels.keep_uncovered([("g", 0.9, ["a", "b"]), ("h", 0.8, ["b", "c"]), ("i", 0.7, ["c", "d", "b"])]) == [0, 2]
     assert kernels.symbol_clusters({"a": {"x", "y", "z"}, "b": {"x", "p", "q"}, "c": {"x", "y", "q"}}) == [["a", "c"]]
     layers = {"1": "interface", "2": "impl", "3": "impl", "4": "impl"}
     files = {"1": "m/a", "2": "p/a", "3": "q/a", "4": "r/a"}
     assert kernels.pack_layers(list("1234"), files, {"1": 5, "2": 10, "3": 100, "4": 20}, layers, 200) == [["1"], ["2"], ["3"], ["4"]]
+    # All interfaces are one candidate, whatever their directories and size; controllers come last.
+    two = {"1": "a/models/x.py", "2": "b/models/y.py", "3": "a/api/z.py", "4": "a/core/w.py", "5": "b/core/v.py", "6": "c/core/u.py"}
+    kinds = dict(zip("123456", ("interface", "interface", "controller", "impl", "impl", "impl"), strict=True))
+    assert kernels.pack_layers(list("312456"), two, dict.fromkeys("123", 150) | {"4": 40, "5": 120, "6": 30}, kinds, 200) == [["1", "2"], ["4"], ["5"], ["6"], ["3"]]
+    assert kernels.pack_layers(list("456"), two, {"4": 99, "5": 99, "6": 99}, kinds, 200) == [["4", "5", "6"]]
+    assert kernels.pack_layers(list("456"), two, {"4": 19, "5": 14, "6": 19}, kinds, 30) == [["4"], ["5"], ["6"]]
     assert kernels.merge_candidates([["a"], ["b"], ["c"]], {"a": 500, "b": 500, "c": 1}, {"a": 0, "b": 0}, set(), {}, 10) == [["a", "b"], ["c"]]
 
 
@@ -150,7 +156,7 @@ def test_kernels_agree_with_relations(spark):
         n = rng.randint(2, 13)
         rows += [(f"s{s}", i, f"{a}", f"{b}", "defines_uses", 1.0, "") for i, (a, b) in enumerate({(rng.randrange(n), rng.randrange(n)) for _ in range(n + 3)}) if a != b]
     edges = frame(spark, schemas.DEPS, rows)
-    twin = {(r.split_id, r.source, r.target) for r in graph.reach_by_joins(edges, 16).collect()}
+    twin = {(r.split_id, r.source, r.target) for r in graph.reach_by_joins(edges).collect()}
     assert {(r.split_id, r.source, r.target) for r in graph.reach(edges).collect()} == twin
     rings = {(r.split_id, r.change_id, r.scc) for r in graph.cycles(edges).collect()}
     want = {}
@@ -183,12 +189,14 @@ def test_plan_of_example(spark):
     assert told == ["1 patches are very small (<20 lines). Consider merging related patches."]
     assert quality.validate(p.patches, p.changes).count() == 0
     before = diffs.hunk_digests(p.changes)
-    written = sinks.patch_texts(p.patches, p.changes)
+    cats = splitting.categories(p.members, p.symbols)
+    written = sinks.patch_texts(p.patches, p.changes, cats, "20260101")
+    head = written.filter("split_id = 's0'").first().text.split("\n")[:7]
+    assert head == ["# Update test.py: greet, main", "# Category: feature", "# Priority: 1", "# Generated: 20260101", "# Files: test.py", "# Description: no_llm_1 modifications", ""]
     each = written.select(F.concat_ws("#", "split_id", "patch_id").alias("split_id"), F.col("text").alias("value"))
     after = diffs.hunk_digests(diffs.parse_diffs(each)).withColumn("split_id", F.element_at(F.split("split_id", "#"), 1))
     found = quality.reconcile(before, after).collect()
     assert all(r.input_only == r.output_only == 0 for r in found) and sum(r.common for r in found) == 4
-    cats = splitting.categories(p.members, p.symbols)
     assert json.loads(sinks.metadata(p.patches, cats, 5).filter("split_id = 's0'").first().json)["total_patches"] == 1
     assert "## " in sinks.markdown(p.patches, cats).first().text and "git apply" in sinks.apply_script(p.patches).first().text
     assert sinks.comment(p.patches).first().text.startswith("| # |")
@@ -280,7 +288,7 @@ def test_stream_of_files(spark, tmp_path):
 def test_patch_files_on_disk(spark, tmp_path):
     assert diffs.scan_patches(spark, str(tmp_path)).count() == 0 if any(tmp_path.iterdir()) else True
     p = engine.split(texts(spark, MIXED))
-    sinks.write_patches(sinks.patch_texts(p.patches, p.changes), str(tmp_path / "out"))
+    sinks.write_patches(sinks.patch_texts(p.patches, p.changes, splitting.categories(p.members, p.symbols), "now"), str(tmp_path / "out"))
     back = diffs.scan_patches(spark, str(tmp_path / "out"))
     assert back.count() == p.patches.count()
 
