@@ -1,6 +1,12 @@
 """A training-data pipeline over the documents table, in stages that are written and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Defined cases, stage by stage: a null text is empty; it is not toxic, one of several empty texts stays, it resembles
+nothing, is mixed in once and encodes to no ids. A null doc_id is kept by the first stage, last among equal texts, and
+never dropped as a near copy. Repeated rows are equal texts, so one stays. Texts of any length are read whole. An empty
+table, or labels that teach nothing, pass through every stage. Further columns, whatever their names, are kept by all
+but the last stage.
 """
 
 from __future__ import annotations
@@ -8,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from hunkmill.llm import exact_dedup, jaccard_join, mixing, sentence_pieces, toxicity
-from hunkmill.llm.common import materialise, table
+from hunkmill.llm.common import arrow_rows, materialise, table, tidy
 from hunkmill.llm.queries import tokenizer_path
 
 
@@ -17,6 +23,8 @@ BATCH_ROWS = 1000
 
 
 def small_batches(stage):
+    """The stage with small Arrow batches; they hold for the job that writes its result, and run() restores them."""
+
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         return stage(spark, docs, sf_dir)
@@ -56,8 +64,15 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+@tidy
+def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows, written; the tables between the stages are deleted."""
+    with arrow_rows(spark, BATCH_ROWS):
+        return _run(spark, sf_dir)
