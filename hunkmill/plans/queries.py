@@ -10,7 +10,7 @@ from ..functions import scalars as S
 from ..operators import catalog, deps, extract, graph, grouping, quality, splitting
 from ..sources import catalog as scans
 from ..sources import diffs, sinks
-from . import adapters, engine
+from . import adapters, engine, plan_sql
 from .adapters import cte, table
 
 QUERIES: dict = {}
@@ -130,10 +130,10 @@ def similar_changes(spark, sf_dir):
     return grouping.similar_pairs(adapters.symbols(spark, sf_dir)).withColumn("similarity", r9(F.col("similarity")))
 
 
-@query()
+@query(plan_sql.clusters())
 def symbol_clusters(spark, sf_dir):
     """A10: greedy, order-dependent."""
-    return splitting.symbol_groups(adapters.symbols(spark, sf_dir)).select("split_id", "key", "score", joined(F.col("change_ids")).alias("change_ids"))
+    return splitting.symbol_groups(adapters.symbols(spark, sf_dir)).select("split_id", joined(F.col("change_ids")).alias("change_ids"))
 
 
 @query(cte("""
@@ -295,24 +295,52 @@ def patch_descriptions(spark, sf_dir):
     return _layer_parts(spark, sf_dir).groupBy("split_id", "layer").agg(splitting.type_counts().alias("description"))
 
 
-@query()
-def split_patches(spark, sf_dir):
-    """The whole plan: A11-A16, G11-G12, J8, M4, U2, U3."""
-    p = _plan(spark, sf_dir)
-    return p.patches.select("split_id", "patch_id", "name", "description", joined(F.col("changes")).alias("changes"), joined(F.transform("depends_on", lambda d: d.cast("string"))).alias("depends_on"), "size_lines", joined(F.col("warnings")).alias("warnings"))
+#: Lines of a patch in the plans of the test tables, whose change sets are small.
+TARGET = 40
+
+
+def _packed(spark, sf_dir) -> DataFrame:
+    """Every change set of the table, packed for its plan."""
+    changes, symbols = adapters.changes(spark, sf_dir), adapters.symbols(spark, sf_dir)
+    return splitting.pack(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)))
+
+
+@query(plan_sql.kept_groups())
+def kept_groups(spark, sf_dir):
+    """All families of groups, and those that the cover rule keeps."""
+    return splitting.kept_groups(_packed(spark, sf_dir)).select("split_id", "group_ord", "group_id", r9(F.col("score")).alias("score"), joined(F.array_sort("change_ids")).alias("change_ids"))
+
+
+@query(plan_sql.candidates(TARGET))
+def split_candidates(spark, sf_dir):
+    """Cycles, packed layers, single changes."""
+    return splitting.candidates(_packed(spark, sf_dir), TARGET).select("split_id", "nth", joined(F.col("change_ids")).alias("change_ids"))
+
+
+@query(plan_sql.merged(TARGET))
+def merged_candidates(spark, sf_dir):
+    """A13, J8, M4."""
+    return splitting.merged(_packed(spark, sf_dir), TARGET).select("split_id", "nth", joined(F.col("change_ids")).alias("change_ids"))
 
 
 def _plan(spark, sf_dir) -> engine.Plan:
-    changes = adapters.changes(spark, sf_dir).select("split_id", "change_ord", "change_id", "file", "hunk_id", "type", "line_start", "line_end", "content", "added_lines", "deleted_lines", "language").persist()
-    symbols = adapters.symbols(spark, sf_dir).persist()
-    return engine.plan(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)))
+    changes, symbols = adapters.changes(spark, sf_dir), adapters.symbols(spark, sf_dir)
+    return engine.plan(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)), TARGET)
 
 
-@query()
+@query(plan_sql.patches(TARGET))
+def split_patches(spark, sf_dir):
+    """The whole plan: A11-A16, G11-G12, J8, L2, M4, N6, U2, U3."""
+    p = _plan(spark, sf_dir)
+    return p.patches.select("split_id", "patch_id", "name", "description", joined(F.col("changes")).alias("changes"), joined(F.transform("depends_on", lambda d: d.cast("string"))).alias("depends_on"), "size_lines", joined(F.col("warnings")).alias("warnings"))
+
+
+@query(plan_sql.metrics(TARGET, _SIZE_SCORE))
 def split_metrics(spark, sf_dir):
     """A17, A19, G14 of the whole plan."""
     p = _plan(spark, sf_dir)
-    return p.metrics.join(p.suggestions, "split_id").withColumn("suggestions", F.array_join("suggestions", "; "))
+    out = p.metrics.join(p.suggestions, "split_id")
+    return out.select("split_id", "num_patches", "total_lines", r9(F.col("avg_patch_size")).alias("avg_patch_size"), "max_patch_size", "min_patch_size", "max_dependency_depth", r9(F.col("balance_score")).alias("balance_score"), r9(F.col("reviewability_score")).alias("reviewability_score"), F.array_join("suggestions", "; ").alias("suggestions"))
 
 
 @query("SELECT 'valid' AS status, count(DISTINCT l_orderkey) AS splits FROM lineitem")
