@@ -314,7 +314,7 @@ def kept_groups(spark, sf_dir):
 @query(plan_sql.candidates(TARGET))
 def split_candidates(spark, sf_dir):
     """Cycles, packed layers, single changes."""
-    return splitting.candidates(_packed(spark, sf_dir), TARGET).select("split_id", "nth", joined(F.col("change_ids")).alias("change_ids"))
+    return splitting.candidates(_packed(spark, sf_dir), TARGET).select("split_id", "nth", joined(F.array_sort("change_ids")).alias("change_ids"))
 
 
 @query(plan_sql.merged(TARGET))
