@@ -645,15 +645,6 @@ def parsed_diffs(spark, sf_dir):
     return rows.groupBy("split_id").agg(F.count(F.lit(1)).cast("int").alias("hunks"), F.sum("added_lines").alias("added"), F.sum("deleted_lines").cast("int").alias("deleted"), F.first("type").alias("type"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS split_id, '00_One.patch' AS filename FROM documents")
-def patch_files(spark, sf_dir):
-    """K1, O1 over diffs made from documents."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("split_id"), F.lit("f.txt").alias("file"), "text")
-    changes = diffs.parse_diffs(diffs.new_file_diffs(docs).select("split_id", "value"))
-    patches = changes.groupBy("split_id").agg(grouping.ordered_ids().alias("changes"), F.sum("added_lines").cast("int").alias("size_lines")).select("split_id", F.lit(0).alias("patch_id"), F.lit("One").alias("name"), F.lit("1 additions").alias("description"), "changes", F.array().cast("array<int>").alias("depends_on"), "size_lines")
-    return sinks.patch_texts(patches, changes).filter(F.char_length("text") > 0).select("split_id", "filename")
-
-
 @query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) || '|short' AS head, 'fix | ' || c_name AS message FROM customer")
 def commit_log(spark, sf_dir):
     """A | in the message stays."""

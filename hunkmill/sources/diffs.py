@@ -33,7 +33,7 @@ def body_lines(rows: DataFrame) -> DataFrame:
     """lines() with hunk_no, header, in_body, old_path, new_path.
 
     A line belongs to a hunk's body until the lengths in its header are used up, so a removed line that starts
-    with "-- " is not taken for a file header.
+    with "-- " is not taken for a file header; the mark of a missing newline belongs to the hunk before it.
     """
     whole = Window.partitionBy("split_id").orderBy("pos")
     upto = whole.rowsBetween(Window.unboundedPreceding, 0)
@@ -45,7 +45,7 @@ def body_lines(rows: DataFrame) -> DataFrame:
     used = lambda marks: F.coalesce(F.sum((body & first.isin(*marks)).cast("int")).over(hunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("header", F.first(F.when(is_header, F.col("line")), ignorenulls=True).over(hunk.rowsBetween(Window.unboundedPreceding, 0)))
     inside = (used((" ", "-", "")) < S.hunk_field(F.col("header"), 2)) | (used((" ", "+", "")) < S.hunk_field(F.col("header"), 4))
-    rows = rows.withColumn("in_body", F.coalesce((F.col("hunk_no") > 0) & body & inside & (first.isin(" ", "+", "-", "") | F.startswith("line", F.lit("\\"))), F.lit(False)))
+    rows = rows.withColumn("in_body", F.coalesce((F.col("hunk_no") > 0) & body & ((inside & first.isin(" ", "+", "-", "")) | F.startswith("line", F.lit("\\"))), F.lit(False)))
     mark = lambda text: F.last(F.when(~F.col("in_body") & F.startswith("line", F.lit(text)), F.substring("line", 5, 1 << 30)), ignorenulls=True).over(upto)
     return rows.withColumn("old_path", _strip(mark("--- "), "a/")).withColumn("new_path", _strip(mark("+++ "), "b/")).withColumn("is_header", is_header)
 
