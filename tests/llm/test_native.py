@@ -87,6 +87,62 @@ def test_shards_are_even_and_keep_equal_texts_together(spark):
     assert sharding.shard(awkward(spark), target_bytes=2000).count() == awkward(spark).count()
 
 
+def test_the_widest_dimension_is_cut_first(spark):
+    """Sizes alike, sources far apart: the first cut parts the sources in their order."""
+    df = docs(spark, [(i, f"{i:06d} text", "en", "a" if i < 500 else "z") for i in range(1000)])
+    out = sharding.shard(df, 2).collect()
+    assert {r.shard for r in out if r.doc_id < 500} == {0} and {r.shard for r in out if r.doc_id >= 500} == {1}
+
+
+def test_copies_are_spread_only_where_they_hold_much_of_a_shard(spark):
+    rows = [(i, f"text number {i} " * 10, "en", f"s{i % 5}") for i in range(4000)] + [(10000 + i, "some copies " * 10, "en", "s1") for i in range(40)]
+    out = sharding.shard(docs(spark, rows), 16).collect()
+    load = Counter()
+    for r in out:
+        load[r.shard] += r.size
+    assert len({r.shard for r in out if r.doc_id >= 10000}) == 1 and max(load.values()) < 1.3 * min(load.values())
+
+
+def test_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LITERALS", 4)  # tables of nodes instead of literals
+    rows = [(i, f"text number {i} " * (1 + i % 7), "en", f"s{i % 9}") for i in range(3000)]
+    out = sharding.shard(docs(spark, rows), target_bytes=2000).collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in out:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    total = sum(load.values())
+    assert len(out) == 3000 and len(load) >= 0.95 * (total // 2000) and max(load.values()) < 2 * total / len(load)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_dedup_of_text_ids(spark):
+    df = spark.createDataFrame([("b", "same text"), ("a", "same  text"), ("c", "sametext"), (None, "x"), ("d", "x"), ("d", "x")], "doc_id string, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup_report(df).collect()}
+    assert got == {("b", "a", 3, False), ("a", "a", 3, True), ("c", "a", 3, False), (None, "d", 3, False), ("d", "d", 3, True), ("d", "d", 3, False)}
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == ["a", "d"]
+
+
+def test_sets_of_bits_beyond_the_broadcast_bound(spark, monkeypatch):
+    """Larger bit sets are joined in a shuffle, with the same result."""
+    from hunkmill.llm import common
+
+    df = awkward(spark)
+    want = Counter(map(str, exact_dedup.dedup_report(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BITS", 1)
+    assert Counter(map(str, exact_dedup.dedup_report(df).collect())) == want
+    assert common.bits_for(10**9) >= 16 * 10**9
+
+
+def test_mix_does_not_depend_on_slices(spark, monkeypatch):
+    df = awkward(spark)
+    want = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 4)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    assert sorted(map(str, mixing.mix(df).collect())) == want
+    assert mixing.repeat_documents(df).columns == df.columns
+
+
 def test_words_of_slices():
     import pyarrow as pa
 
