@@ -6,10 +6,16 @@ each embedding starts from the log odds of its bucket, the rest at random; all a
 maximum passes its gradient to one window only, a step touches few rows. Thresholds are calibrated by language:
 a guess from the text alone (never the lang column) picks the language, and its threshold becomes score 0.7.
 
-Learning takes at most `per_class` rows of each label, in hash order, outside the held-out third; thresholds come from
-all other labelled rows outside that third, in their own mix of labels; scoring covers every word of every text. Defined cases: null and blank texts have no words and score below 0.7; labels of ids
-without a document, null labels and repeated labels that disagree are left out; with one label only or none,
-every score is 0; repeated rows score alike.
+Learning takes at most `per_class` rows of each label, in hash order, outside the held-out third, and of these the first
+whose texts come to `class_bytes` bytes, so what the driver holds is bounded; thresholds come from all other labelled
+rows outside that third, in their own mix of labels; scoring covers every word of every text, so a document's score
+depends on its text and the model alone.
+
+Defined cases: null and blank texts have no words and score below 0.7; a text of any length is scored whole, alone in
+its piece; labels of ids without a document, null labels and repeated labels that disagree are left out; where an id
+has several texts, the one of least hash is learned from and each is scored by itself; with one label only or none,
+and with an empty table, there is no model and every score is 0; repeated rows score alike; equal responses go to the
+first word; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, lean, pieces
@@ -190,16 +196,20 @@ def _features(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), part.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "lang", "h"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> dict:
-    """Learns from at most per_class rows of each label whose id is not held out."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, class_bytes: int = 16 << 20) -> dict:
+    """Learns from at most per_class rows and class_bytes of text of each label, of ids that are not held out."""
     marks = labels.select("doc_id", "toxic").filter(~held_out() & F.col("toxic").isin(0, 1))
     marks = marks.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     some = marks.filter("toxic = 0").orderBy(*order).limit(per_class).unionByName(marks.filter("toxic = 1").orderBy(*order).limit(per_class))
     some = some.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
     own = docs.select("doc_id", "text", "lang").join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    # One text of each id, the same whatever the partitioning; at most 2 * per_class rows go on.
+    own = own.groupBy("doc_id", "toxic").agg(F.min_by(F.struct("text", "lang"), F.struct(F.xxhash64("text"), F.col("lang"))).alias("t")).select("doc_id", "toxic", "t.*")
+    before = Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("__before", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before)).filter(F.coalesce("__before", F.lit(0)) < class_bytes)
     found = own.select("doc_id", "toxic", "lang", "text").mapInArrow(lean(_features), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, lang string, h binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
+    found = found.sort_values("doc_id").reset_index(drop=True)
     rows = [np.frombuffer(x, "<i4").reshape(-1, 3).astype(np.int64) for x in found.h]
     label = found.toxic.to_numpy()
     if len(set(label)) < 2:
