@@ -2,13 +2,16 @@
 
 Every language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over
 all its segmentations into pieces, found by the forward algorithm; a text's is the product over its words. The
-piece probabilities come from expectation maximisation (forward-backward) over the word counts of at most
-`sample` training rows, in hash order; scoring covers every word of every text.
+piece probabilities come from expectation maximisation (forward-backward) over the word counts of at most `sample`
+training rows, in hash order, and of these the first whose texts come to `sample_bytes`, so what the driver holds is
+bounded; scoring covers every word of every text.
 
 Defined cases: null text and text without a letter get `und` and score 0; a character outside the vocabulary is a
-piece of fixed small probability; words are lower-cased and stripped of marks at their ends, and words over
-64 characters are scored in runs of 64; the score is the winner's share of the languages' posterior for the mean
-word count 40; equal scores go to the first language by name; with nothing to learn from, all are `und`.
+piece of fixed small probability; words are lower-cased and stripped of marks at their ends; a word of any length is
+summed over all its segmentations (to learn from, those over 64 characters are cut in runs of 64), and a text of any
+length is scored whole; the score is the winner's share of the languages' posterior for the mean word count 40; equal
+scores go to the first language by name; with nothing to learn from, as in an empty table, all are `und`; repeated rows
+score alike and count each time in learning; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -16,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, words_of
+from .common import held_out, lean, pieces, words_of
 
 MARK, LONGEST = "▁", 64
 #: Marks cut from both ends of a word.
@@ -28,6 +31,8 @@ MARKS = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*_/\\|#=+~`"
 SCALE = float(np.exp(2.0))
 OTHER = 1e-6
 CACHE_WORDS = 400_000
+#: Words whose segmentations are summed together.
+BLOCK = 4096
 
 
 def vocabulary(path: str) -> list[str]:
@@ -61,7 +66,7 @@ class Lattice:
                 if len(w) == one or e[one] > a + 1:
                     w.append(i), s.append(a), e.append(a + 1), p.append(len(index))
         self.n = np.fromiter(map(len, words), np.int64, len(words))
-        self.w, self.s, self.e, self.p = (np.array(x, np.int64) for x in (w, s, e, p))
+        self.w, self.s, self.e, self.p = (np.array(x, np.int32) for x in (w, s, e, p))
         self.longest = int(self.n.max(initial=0))
 
     def _sweep(self, prob: np.ndarray, at: np.ndarray, to: np.ndarray, steps, first: np.ndarray) -> np.ndarray:
@@ -99,6 +104,29 @@ def _runs(word: str) -> list[str]:
     return [word[i:i + LONGEST] for i in range(0, len(word), LONGEST)]
 
 
+def long_word(word: str, model: dict) -> np.ndarray:
+    """log_probability of one word, the forward sums held for the last characters only and scaled back as they go."""
+    word, index, prob = MARK + word, model["index"], model["prob"]
+    reach = model["reach"]
+    kept = [np.ones(prob.shape[1])]
+    scaled = np.zeros(prob.shape[1])
+    for end in range(1, len(word) + 1):
+        total, one = 0.0, False
+        for n in range(1, min(reach, end) + 1):
+            k = index.get(word[end - n:end])
+            if k is not None:
+                total = total + kept[-n] * prob[k]
+                one |= n == 1
+        if not one:
+            total = total + kept[-1] * prob[len(index)]
+        kept = [*kept[-reach:], total]
+        if end % LONGEST == 0:
+            by = np.maximum(total, 1e-300)
+            kept = [x / by for x in kept]
+            scaled += np.log(by)
+    return np.log(np.maximum(kept[-1], 1e-300)) + scaled - len(word) * np.log(SCALE)
+
+
 def fit(counts: list[tuple[str, str, int]], names: list[str], rounds: int = 3) -> dict:
     """counts: (lang, word, n). Returns the languages, pieces and the scaled probabilities (pieces + 1, languages)."""
     langs = sorted({c[0] for c in counts})
@@ -112,25 +140,24 @@ def fit(counts: list[tuple[str, str, int]], names: list[str], rounds: int = 3) -
     prob = np.full((len(names) + 1, len(langs)), 1 / len(names))
     prob[-1] = OTHER
     words, weight = list(runs), np.array(list(runs.values())).reshape(len(runs), len(langs))
-    blocks = [(Lattice(words[i:i + 20_000], index), weight[i:i + 20_000]) for i in range(0, len(words), 20_000)]
+    blocks = [(Lattice(words[i:i + BLOCK], index), weight[i:i + BLOCK]) for i in range(0, len(words), BLOCK)]
     for _ in range(rounds):
         use = sum((lattice.expected(prob * scale, w) for lattice, w in blocks), np.zeros_like(prob))[:-1] + 0.05
         prob[:-1] = use / use.sum(0) * (1 - OTHER)
-    return {"langs": langs, "index": index, "prob": prob * scale}
+    return {"langs": langs, "index": index, "prob": prob * scale, "reach": max(map(len, names), default=1)}
 
 
 def score_words(words: list[str], model: dict) -> np.ndarray:
-    runs = [_runs(w) for w in words]
-    flat = [r for x in runs for r in x]
-    if not flat:
-        return np.zeros((0, len(model["langs"])))
-    order = np.argsort(np.fromiter(map(len, flat), np.int64, len(flat)), kind="stable")
-    out = np.empty((len(flat), len(model["langs"])))
-    for i in range(0, len(flat), 4096):
-        own = order[i:i + 4096]
-        out[own] = Lattice([flat[k] for k in own], model["index"]).log_probability(model["prob"])
-    heads = np.cumsum([0, *map(len, runs)])[:-1]
-    return np.add.reduceat(out, heads)
+    out = np.zeros((len(words), len(model["langs"])))
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    short = order[size[order] < LONGEST]
+    for i in range(0, len(short), BLOCK):
+        own = short[i:i + BLOCK]
+        out[own] = Lattice([MARK + words[k] for k in own], model["index"]).log_probability(model["prob"])
+    for k in order[len(short):]:
+        out[k] = long_word(words[k], model)
+    return out
 
 
 def _predict(model):
@@ -169,15 +196,19 @@ def _count(batches):
             yield from counted.select(["lang", "word", "count_all"]).rename_columns(["lang", "word", "n"]).cast(pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])).combine_chunks().to_batches()
 
 
-def train(docs: DataFrame, pieces_path: str, sample: int = 6000) -> dict:
-    """Learns from text and non-null lang of at most `sample` rows outside the held-out third."""
-    own = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+def train(docs: DataFrame, pieces_path: str, sample: int = 6000, sample_bytes: int = 64 << 20) -> dict:
+    """Learns from text and non-null lang of at most `sample` rows and sample_bytes of text outside the held-out third."""
+    own = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     n = own.count()
     # A seeded share of the rows, a little over the bound, then cut to it.
     share = min(1.0, 1.2 * sample / max(n, 1))
-    own = own.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    ids = own.select("doc_id").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
-    own = own.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "text")
+    order = [F.xxhash64(F.lit(7), "doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("lang")]
+    own = own.filter(F.pmod(order[0], F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    first = own.select("doc_id", order[0].alias("h"), order[2].alias("t"), "lang", F.octet_length("text").alias("bytes")).orderBy("h", "doc_id", "t", "lang").limit(sample)
+    before = Window.partitionBy(F.lit(1)).orderBy("h", "doc_id", "t", "lang").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.withColumn("before", F.sum("bytes").over(before)).filter(F.coalesce("before", F.lit(0)) < sample_bytes)
+    chosen = first.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    own = own.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("__id")) & (order[2] == F.col("__t")), "left_semi").select("lang", "text")
     counts = own.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rows = counts.toPandas() if n else None
     found = [] if rows is None else list(zip(rows.lang, rows.word, rows.n, strict=True))

@@ -33,6 +33,12 @@ def test_forward_sums_all_segmentations():
     for i, w in enumerate(some):
         for k in range(2):
             assert got[i, k] == pytest.approx(np.log(brute(w, k)) - len(w) * np.log(language_id.SCALE))
+    # A long word's sums are held for its last characters only, and scaled back as they go.
+    model = {"index": index, "prob": prob, "reach": 3, "langs": ["a", "b"]}
+    for word in ("ab" * 90, "abxba" * 40 + "q", "b" * 64, "a" * 63):
+        whole = language_id.Lattice(["▁" + word], index).log_probability(prob)[0]
+        assert language_id.long_word(word, model) == pytest.approx(whole, rel=1e-9)
+        assert language_id.score_words(["ab", word, "x"], model)[1] == pytest.approx(whole, rel=1e-9)
     # Expected uses, weighted by length, add up to the characters of the words.
     use = lattice.expected(prob, np.ones((len(some), 2)))
     lengths = np.array([*map(len, index), 1])
@@ -100,6 +106,28 @@ def test_toxicity_of_held_out_documents(spark):
     assert toxicity.score(awkward(spark), marks.limit(0)).filter("score = 0").count() == awkward(spark).count()
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    """Ids with two texts each, dealt in several ways: the same model, so the same scores."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(300):
+        for bad in (False, True):
+            rows.append((i, words(rng, ["ka", "lo", "mi", "ter"], 20) + (" grubbish vileness" if bad and i % 2 else ""), "en", "s"))
+    marks = spark.createDataFrame([(i, i % 2, None) for i in range(300)], LABELS)
+    got = []
+    for n in (1, 3, 7):
+        out = toxicity.score(docs(spark, rows).repartition(n), marks).collect()
+        got.append(sorted((r.doc_id, round(r.score, 9), r.predicted) for r in out))
+    assert got[0] == got[1] == got[2]
+
+
+def test_what_is_learned_from_is_bounded_in_bytes(spark):
+    rows = [(i, "kalo miter " * (2000 if i % 2 else 3) + ("grubbish" if i % 4 == 0 else ""), "en", "s") for i in range(200)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0), None) for i in range(200)], LABELS)
+    assert toxicity.train(docs(spark, rows), marks, class_bytes=100_000)["tables"].shape[0] == 3
+    assert language_id.train(docs(spark, rows), tokenizer_path("piece_bpe_32k.model"), sample_bytes=50_000)["langs"] == ["en"]
+
+
 def test_toxicity_is_calibrated_on_all_labelled_rows(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(i, words(rng, ["ka", "lo", "mi"], 12) + (" grubbish" if i % 10 == 0 else ""), "en", "s") for i in range(900)]
