@@ -90,11 +90,15 @@ def parse(path: str) -> Model:
                     score = struct.unpack("<f", v)[0]
                 elif n == 3:
                     kind = v
+            if kind == USER:
+                raise ValueError(f"{path}: user-defined symbol {piece!r} is not supported")
             out.pieces.append((piece, score, kind))
         elif number == 2:
             for n, v in _fields(value):
                 if n == 3:
                     out.kind = v
+                elif n == 24 and v:
+                    raise ValueError(f"{path}: white space as a suffix is not supported")
                 elif n == 35:
                     out.byte_fallback = bool(v)
         elif number == 3:
@@ -105,6 +109,8 @@ def parse(path: str) -> Model:
                     out.dummy_prefix = bool(v)
                 elif n == 4:
                     out.squeeze = bool(v)
+                elif n == 5 and not v:
+                    raise ValueError(f"{path}: white space that is not escaped is not supported")
     return out
 
 

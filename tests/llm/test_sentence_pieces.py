@@ -70,3 +70,7 @@ def test_unigram_model_with_squeezed_spaces(tmp_path):
     tokens = sp.build(model).encode("  ab   ba ", add_special_tokens=False).tokens
     assert tokens == ["▁", "ab", "▁", "b", "a"]
     assert sp.build(model).encode("é", add_special_tokens=False).tokens == ["▁", "<0xC3>", "<0xA9>"]
+    for more in (piece("<user>", 0, 4), field(2, 2, field(24, 0, b"\x01")), field(3, 2, field(5, 0, b"\x00"))):
+        (tmp_path / "odd.model").write_bytes(data + more)
+        with pytest.raises(ValueError, match="not supported"):
+            sp.parse(str(tmp_path / "odd.model"))
