@@ -16,10 +16,7 @@ def _has_any(text: Column, parts: tuple[str, ...]) -> Column:
 
 
 def _choose(key: Column, table: dict[str, str], otherwise: str) -> Column:
-    out = F.when(F.lit(False), F.lit(otherwise))
-    for k, v in table.items():
-        out = out.when(key == k, v)
-    return out.otherwise(otherwise)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(otherwise))
 
 
 def language_of(file: Column) -> Column:
@@ -174,7 +171,7 @@ def short_hash(sha: Column) -> Column:
 
 
 def scopes(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def change_description(kind: Column, symbols: Column, file: Column, added: Column, deleted: Column) -> Column:

@@ -70,13 +70,19 @@ def diff_stats(spark, sf_dir):
     return diffs.stats(adapters.changes(spark, sf_dir)).withColumn("files", joined(F.col("files")))
 
 
-@query("""
-WITH e AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1, 2)
-SELECT CAST(user_id AS VARCHAR) AS split_id, arg_max(event_type, n * 1000000000000 - first) AS top FROM e GROUP BY user_id""")
+_SUFFIXES = [".py", ".rb", ".php", ".go", ".h", ".tsx"]
+
+
+@query(f"""
+WITH f AS (SELECT user_id, event_id, ({_SUFFIXES!r})[(event_id * 7 + user_id) % {len(_SUFFIXES)} + 1] AS ext FROM events),
+e AS (SELECT user_id, ext, count(*) AS n, min(event_id) AS first FROM f GROUP BY 1, 2),
+t AS (SELECT user_id, arg_max(ext, n * 1000000000000 - first) AS ext FROM e GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS split_id, CASE ext {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.MAIN_LANGUAGES.items())} ELSE 'unknown' END AS language FROM t""")
 def mode_first_seen(spark, sf_dir):
-    """A3: the most frequent value, ties to the first seen."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
-    return rows.groupBy(F.col("user_id").cast("string").alias("split_id")).agg(F.max_by("event_type", F.struct("n", -F.col("first"))).alias("top"))
+    """A3: the language of the most frequent suffix, ties to the first seen."""
+    ext = F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(len(_SUFFIXES))) + 1).cast("int"))
+    files = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("split_id"), F.col("event_id").alias("pos"), F.concat(F.lit("a/f"), ext).alias("file"))
+    return diffs.main_language(files)
 
 
 @query(cte("SELECT split_id, dir AS key, count(*) AS n, CASE WHEN count(*) > 1 THEN 0.85 ELSE 0.7 END AS score, string_agg(change_id, ',' ORDER BY change_ord) AS change_ids FROM changes GROUP BY split_id, dir"))
@@ -227,7 +233,7 @@ def graph_statistics(spark, sf_dir):
 
 @query(_recursive(_REACH_SQL + """
 , s AS (SELECT a.split_id, a.source AS change_id, least(a.source, min(a.target)) AS scc FROM reach a JOIN reach b ON a.split_id = b.split_id AND a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.split_id, a.source)
-SELECT DISTINCT split_id, a, b FROM (SELECT x.split_id, x.change_id AS a, y.change_id AS b FROM s x JOIN s y ON x.split_id = y.split_id AND x.scc = y.scc
+SELECT DISTINCT split_id, a, b FROM (SELECT split_id, scc AS a, change_id AS b FROM s WHERE scc <> change_id UNION ALL SELECT split_id, change_id, scc FROM s WHERE scc <> change_id
  UNION ALL SELECT split_id, source, target FROM deps WHERE strength >= 1 UNION ALL SELECT split_id, target, source FROM deps WHERE strength >= 1)"""))
 def inseparable_changes(spark, sf_dir):
     """G7."""
@@ -246,9 +252,21 @@ def atomic_cycles(spark, sf_dir):
     return groups.join(graph.group_sizes(groups, rows), ["split_id", "group_id"]).select("split_id", joined(F.col("change_ids")).alias("change_ids"), "size")
 
 
-@query()
+_RINGS_SQL = """
+, s{n} AS (SELECT a.split_id, a.source AS change_id, least(a.source, min(a.target)) AS scc FROM {r} a JOIN {r} b ON a.split_id = b.split_id AND a.source = b.target AND a.target = b.source WHERE a.source <> a.target GROUP BY a.split_id, a.source)"""
+
+
+@query(_recursive(_REACH_SQL + _REACH_SQL.replace(", reach AS", ", firm AS").replace("FROM deps UNION", "FROM deps WHERE strength >= 1 UNION").replace("FROM reach r JOIN deps d ON", "FROM firm r JOIN (SELECT * FROM deps WHERE strength >= 1) d ON") + _RINGS_SQL.format(n=0, r="reach") + _RINGS_SQL.format(n=1, r="firm") + """
+, rings AS (SELECT 0 AS family, 'scc' AS kind, * FROM s0 UNION ALL SELECT 1, 'strong', * FROM s1),
+rows AS (SELECT r.*, c.change_ord, c.lines, c.dir, c.file LIKE '%/models/%' AS face, sum(c.lines) OVER w AS total, count(*) OVER w AS n, min(c.change_ord) OVER w AS first FROM rings r JOIN changes c USING (split_id, change_id) WINDOW w AS (PARTITION BY r.split_id, r.family, r.scc)),
+spread AS (SELECT split_id, family, scc, count(DISTINCT dir) AS dirs, count(DISTINCT face) AS faces FROM rows GROUP BY 1, 2, 3),
+parts AS (SELECT *, CASE WHEN total > 60 AND n > 2 AND dirs > 1 THEN dir WHEN total > 60 AND n > 2 AND faces > 1 THEN CASE WHEN face THEN 'interface' ELSE 'impl' END ELSE '' END AS part,
+                 dense_rank() OVER (PARTITION BY split_id, family ORDER BY first) - 1 AS nth FROM rows JOIN spread USING (split_id, family, scc)),
+made AS (SELECT split_id, family, nth, part, kind || '_' || nth || CASE WHEN part <> '' THEN '_' || part ELSE '' END AS group_id, CASE family WHEN 0 THEN 'Circular dependency' ELSE 'Strong dependencies' END AS reason,
+                string_agg(change_id, ',' ORDER BY change_ord) AS change_ids, CAST(sum(lines) AS BIGINT) AS size FROM parts GROUP BY split_id, family, nth, part, kind)
+SELECT split_id, row_number() OVER (PARTITION BY split_id ORDER BY family, nth, part) - 1 AS group_ord, group_id, reason, change_ids, size FROM made"""))
 def atomic_groups(spark, sf_dir):
-    """G4, G5, A4."""
+    """Cycles and strong cycles, large ones cut by directory or by interface."""
     edges = _usage_deps(spark, sf_dir)
     rows = adapters.changes(spark, sf_dir)
     groups = graph.atomic_groups(graph.cycles(edges), graph.cycles(edges, 1.0), rows, 60)
@@ -345,13 +363,31 @@ def split_metrics(spark, sf_dir):
 
 @query("SELECT 'valid' AS status, count(DISTINCT l_orderkey) AS splits FROM lineitem")
 def plan_is_valid(spark, sf_dir):
-    """A change set without a finding is valid; all are."""
+    """A18 on the engine's own plans, which have no finding; spoilt_plans has plans with findings."""
     p = _plan(spark, sf_dir)
     bad = quality.validate(p.patches, p.changes).select("split_id").distinct().withColumn("bad", F.lit(True))
     rows = p.changes.select("split_id").distinct().join(bad, "split_id", "left")
     return rows.groupBy(F.when(F.col("bad"), "invalid").otherwise("valid").alias("status")).agg(F.count(F.lit(1)).alias("splits"))
 
 
+@query(cte("""
+, p AS (SELECT split_id, CAST(change_ord % 3 AS INT) AS patch_id, change_id FROM changes WHERE change_ord % 5 <> 4 UNION ALL SELECT split_id, CAST((change_ord + 1) % 3 AS INT), change_id FROM changes WHERE change_ord % 7 = 2),
+n AS (SELECT split_id, patch_id, count(*) AS k FROM p GROUP BY 1, 2),
+found AS (
+  SELECT split_id, 'missing change' AS problem, change_id AS what FROM changes c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.split_id = c.split_id AND p.change_id = c.change_id)
+  UNION ALL SELECT split_id, 'repeated change', change_id FROM (SELECT split_id, change_id, count(*) AS k FROM p GROUP BY 1, 2), LATERAL (SELECT unnest(range(k - 1)))
+  UNION ALL SELECT split_id, 'depends on later', CAST(patch_id AS VARCHAR) FROM n WHERE k % 2 = patch_id % 2)
+SELECT split_id, problem, what, count(*) AS times FROM found GROUP BY 1, 2, 3"""))
+def spoilt_plans(spark, sf_dir):
+    """Patches that leave out every fifth change, repeat others and depend on later ones."""
+    rows = adapters.changes(spark, sf_dir)
+    own = rows.filter("change_ord % 5 <> 4").select("split_id", (F.col("change_ord") % 3).cast("int").alias("patch_id"), "change_id")
+    own = own.unionByName(rows.filter("change_ord % 7 = 2").select("split_id", ((F.col("change_ord") + 1) % 3).cast("int").alias("patch_id"), "change_id"))
+    patches = own.groupBy("split_id", "patch_id").agg(F.collect_list("change_id").alias("changes"))
+    patches = patches.withColumn("depends_on", F.when(F.size("changes") % 2 == F.col("patch_id") % 2, F.array(F.col("patch_id") + 1)).otherwise(F.array().cast("array<int>")))
+    return quality.validate(patches, rows).groupBy("split_id", "problem", "what").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(cte("""
 , k AS (SELECT DISTINCT split_id, change_id FROM changes WHERE type <> 'delete'), m AS (SELECT split_id, change_id FROM changes)
 SELECT split_id, change_id FROM m EXCEPT SELECT split_id, change_id FROM k"""))
@@ -370,13 +406,17 @@ def repeated_changes(spark, sf_dir):
     return quality.repeated(rows).groupBy("split_id", "change_id").agg(F.count(F.lit(1)).alias("again"))
 
 
-@query(cte("SELECT split_id, layer, bool_or(d % 2 = 0) OR bool_or(d % 2 = 1) AS any_definition, CASE WHEN count(*) > 0 THEN 'feature' ELSE 'other' END AS category FROM layered GROUP BY split_id, layer"))
+@query(cte("""
+, s AS (SELECT l.split_id, l.layer, CASE WHEN l.u = 3 THEN 'import' WHEN l.layer = 'util' THEN 'variable' WHEN l.d % 2 = 0 THEN 'function' ELSE 'class' END AS kind FROM layered l WHERE l.layer <> 'impl' OR l.d < 3)
+SELECT l.split_id, l.layer, CASE WHEN bool_or(coalesce(kind = 'import', false)) THEN 'refactor' WHEN bool_or(coalesce(kind IN ('function', 'class'), false)) THEN 'feature' ELSE 'other' END AS category
+FROM (SELECT DISTINCT split_id, layer FROM layered) l LEFT JOIN s ON s.split_id = l.split_id AND s.layer = l.layer GROUP BY 1, 2"""))
 def patch_categories(spark, sf_dir):
-    """A22."""
+    """A change with u = 3 imports; utilities define nothing, implementations only some."""
     parts = _layer_parts(spark, sf_dir)
-    out = splitting.categories(parts, adapters.symbols(spark, sf_dir))
+    kind = F.when(F.col("u") == 3, "import").when(F.col("layer") == "util", "variable").when(F.col("d") % 2 == 0, "function").otherwise("class")
+    symbols = parts.filter("layer <> 'impl' or d < 3").select("split_id", "change_id", kind.alias("type"))
     names = parts.select("split_id", "patch_id", "layer").distinct()
-    return out.join(names, ["split_id", "patch_id"]).select("split_id", "layer", F.lit(True).alias("any_definition"), "category")
+    return splitting.categories(parts, symbols).join(names, ["split_id", "patch_id"]).select("split_id", "layer", "category")
 
 
 @query(cte("""
@@ -402,10 +442,7 @@ def change_descriptions(spark, sf_dir):
 SELECT DISTINCT a.split_id, a.file AS file_a, b.file AS file_b FROM n a JOIN n b ON a.split_id = b.split_id AND a.name = b.name AND a.file <> b.file AND a.role = 'usage' AND b.role = 'definition'"""))
 def file_dependencies(spark, sf_dir):
     """A file that uses what another defines."""
-    rows = adapters.symbols(spark, sf_dir).select("split_id", "file", "name", "role").distinct()
-    use = rows.filter("role = 'usage'").select("split_id", "name", F.col("file").alias("file_a"))
-    define = rows.filter("role = 'definition'").select("split_id", "name", F.col("file").alias("file_b"))
-    return use.join(define, ["split_id", "name"]).filter("file_a <> file_b").select("split_id", "file_a", "file_b").distinct()
+    return deps.file_edges(adapters.symbols(spark, sf_dir))
 
 
 @query(cte("""
@@ -422,12 +459,13 @@ def group_cohesion(spark, sf_dir):
     return grouping.score_cohesion(rows, adapters.symbols(spark, sf_dir), groups).withColumn("cohesion", r9(F.col("cohesion")))
 
 
-@query(cte("SELECT split_id, dir AS group_id, CASE WHEN count(*) > 1 THEN 0.85 ELSE 0.7 END AS score, string_agg(change_id, ',' ORDER BY change_ord) AS change_ids FROM changes GROUP BY split_id, dir"))
+@query(plan_sql.kept_groups())
 def uncovered_groups(spark, sf_dir):
-    """Directories do not overlap, so all are kept."""
-    rows = grouping.by_directory(adapters.changes(spark, sf_dir))
-    nth = F.row_number().over(Window.partitionBy("split_id").orderBy("first")) - 1
-    return grouping.keep_uncovered(rows.withColumn("group_ord", nth).withColumn("group_id", F.col("key"))).select("split_id", "group_id", "score", joined(F.col("change_ids")).alias("change_ids"))
+    """The relational form of the groups and of the cover rule."""
+    every = splitting.semantic_groups(adapters.changes(spark, sf_dir), adapters.symbols(spark, sf_dir))
+    kept = grouping.keep_uncovered(every)
+    nth = F.row_number().over(Window.partitionBy("split_id").orderBy("group_ord")) - 1
+    return kept.select("split_id", nth.alias("group_ord"), "group_id", r9(F.col("score")).alias("score"), joined(F.array_sort("change_ids")).alias("change_ids"))
 
 
 @query(cte("SELECT split_id, change_id, file LIKE '%/models/%' AS interface FROM changes"))
@@ -442,12 +480,25 @@ def path_filter(spark, sf_dir):
     return diffs.filter_paths(adapters.changes(spark, sf_dir), "pkg1", strip=True).select("split_id", "change_id", "file")
 
 
-@query(cte("SELECT file, dir AS directory, split_part(file, '/', 2) AS package, 'python' AS language, 'python' AS highlight, 'Python' AS type_name, replace(file, '/', '_') AS safe_name, 'root' || substr(file, 5) AS moved FROM (SELECT DISTINCT file, dir FROM changes) WHERE file LIKE 'pkg1/%'"))
+_PATH = "'pkg' || p_partkey % 5 || '/Sub ' || p_size % 4 || '/f' || p_partkey || CASE WHEN p_partkey % 17 = 0 THEN '' ELSE '.' || (" + repr([x.lstrip(".") for x in fixed.LANGUAGES] + list(fixed.HIGHLIGHT)) + ")[p_partkey % " + str(len(fixed.LANGUAGES) + len(fixed.HIGHLIGHT)) + " + 1] END"
+_choice = lambda key, table, other: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+_HIGHLIGHT = _choice("lower(regexp_extract(file, '[^.]*$'))", fixed.HIGHLIGHT, "text")
+
+
+@query(f"""
+WITH f AS (SELECT p_partkey, {_PATH} AS file FROM part)
+SELECT p_partkey, regexp_extract(file, '^(.*)/[^/]*$', 1) AS directory, split_part(file, '/', 2) AS package, CASE {" ".join(f"WHEN ends_with(file, '{k}') THEN '{v}'" for k, v in fixed.LANGUAGES.items())} ELSE 'unknown' END AS language,
+       {_HIGHLIGHT} AS highlight, {_choice(_HIGHLIGHT, fixed.TYPE_NAMES, "Unknown")} AS type_name, CASE WHEN contains(regexp_extract(file, '[^/]*$'), '.') THEN {_choice("lower(regexp_extract(file, '[^.]*$'))", fixed.HIGHLIGHT, "default")} ELSE 'default' END AS icon,
+       substr(replace(replace(file || file || file, ' ', '_'), '/', '_'), 1, 50) AS safe_name, CASE WHEN file LIKE 'pkg1/%' THEN 'root' || substr(file, 5) ELSE file END AS moved FROM f""")
 def path_functions(spark, sf_dir):
-    """P1, P5, P6, P14, P15, P18, F18."""
+    """P1, P5, P6, P14, P15, P18, P28, F18, over paths with all suffixes, and without one."""
+    suffixes = [x.lstrip(".") for x in fixed.LANGUAGES] + list(fixed.HIGHLIGHT)
+    key = F.col("p_partkey")
+    suffix = F.when(key % 17 == 0, "").otherwise(F.concat(F.lit("."), F.element_at(F.array(*map(F.lit, suffixes)), (key % len(suffixes) + 1).cast("int"))))
+    file = F.concat(F.lit("pkg"), (key % 5).cast("string"), F.lit("/Sub "), (F.col("p_size") % 4).cast("string"), F.lit("/f"), key.cast("string"), suffix)
     f = F.col("file")
-    rows = adapters.changes(spark, sf_dir).select("file").distinct().filter("file like 'pkg1/%'")
-    return rows.select("file", S.directory(f).alias("directory"), S.package_of(f).alias("package"), S.language_of(f).alias("language"), S.highlight_language(f).alias("highlight"), S.type_name(f).alias("type_name"), S.safe_file_name(f).alias("safe_name"), S.swap_root(f, "pkg1", "root").alias("moved"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", file.alias("file"))
+    return rows.select("p_partkey", S.directory(f).alias("directory"), S.package_of(f).alias("package"), S.language_of(f).alias("language"), S.highlight_language(f).alias("highlight"), S.type_name(f).alias("type_name"), S.icon_kind(f).alias("icon"), S.safe_file_name(F.concat(f, f, f)).alias("safe_name"), S.swap_root(f, "pkg1", "root").alias("moved"))
 
 
 @query("""
@@ -519,12 +570,12 @@ def preceding_turns(spark, sf_dir):
 
 
 @query("""
-SELECT o_custkey AS custkey, count(*) AS patches, count(DISTINCT o_orderpriority) AS categories FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
+SELECT o_custkey AS custkey, count(*) AS patches, CAST(sum(o_orderkey % 4) AS BIGINT) AS files, count(DISTINCT o_orderpriority) AS categories FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""")
 def active_totals(spark, sf_dir):
     """A25, A26, A28 over orders as patches of a customer; status F plays deleted."""
-    one = F.struct(F.when(F.col("o_orderstatus") == "F", "deleted").alias("state"), F.array().cast("array<string>").alias("files"), F.col("o_orderpriority").alias("category"))
+    one = F.struct(F.when(F.col("o_orderstatus") == "F", "deleted").alias("state"), F.array_repeat(F.lit("f"), (F.col("o_orderkey") % 4).cast("int")).alias("files"), F.col("o_orderpriority").alias("category"))
     rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("split_id")).agg(F.collect_list(one).alias("patches"))
-    return catalog.patch_totals(rows).filter("patches > 0").select(F.col("split_id").alias("custkey"), F.col("patches").cast("long").alias("patches"), F.size("categories").cast("long").alias("categories"))
+    return catalog.patch_totals(rows).filter("patches > 0").select(F.col("split_id").alias("custkey"), F.col("patches").cast("long").alias("patches"), F.col("files").cast("long").alias("files"), F.size("categories").cast("long").alias("categories"))
 
 
 @query("""
@@ -538,11 +589,11 @@ def pull_request_splits(spark, sf_dir):
     return out.select(F.col("number").alias("c_custkey"), F.coalesce(joined(F.col("splits")), F.lit("")).alias("splits"), F.coalesce("latest", F.lit("")).alias("latest"))
 
 
-@query("SELECT s_suppkey, s_name, coalesce(n, 0) AS additions FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1) ON l_suppkey = s_suppkey")
+@query("SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 1 THEN coalesce(n, 0) ELSE 0 END AS additions FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey")
 def pull_request_details(spark, sf_dir):
-    """Details that were not read count 0."""
+    """Details that were not read, those of even numbers, count 0."""
     pulls = table(spark, sf_dir, "supplier").select(F.lit("o").alias("owner"), F.lit("r").alias("repo"), F.col("s_suppkey").alias("number"), "s_name")
-    details = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A' and l_quantity > 45").groupBy(F.col("l_suppkey").alias("number")).agg(F.count(F.lit(1)).alias("additions"))
+    details = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("number")).agg(F.count(F.lit(1)).alias("additions")).filter("number % 2 = 1")
     details = details.select(F.lit("o").alias("owner"), F.lit("r").alias("repo"), "number", "additions", F.lit(0).alias("deletions"), F.lit(0).alias("changed_files"))
     return catalog.with_details(pulls, details).select(F.col("number").alias("s_suppkey"), "s_name", "additions")
 
@@ -596,20 +647,23 @@ def repository_by_path(spark, sf_dir):
 def annotation_matches(spark, sf_dir):
     """Equal starts and one path ending with the other."""
     rows = adapters.changes(spark, sf_dir)
-    notes = rows.filter("type = 'add'").select("split_id", F.col("change_id").alias("a"), F.concat_ws("/", F.lit("x"), "split_id", "file").alias("file_path"), F.lit("@@ s @@").alias("hunk_header"), "line_start", "line_end").withColumnRenamed("line_start", "start_line").withColumnRenamed("line_end", "end_line")
-    hunks = rows.select(F.col("split_id").alias("h_split"), F.col("change_id").alias("b"), F.concat_ws("/", "split_id", "file").alias("file"), F.col("line_start").alias("old_start"), F.col("line_end").alias("new_start"), F.lit("s").alias("section"))
+    notes = rows.filter("type = 'add'").select("split_id", F.col("change_id").alias("a"), F.concat_ws("/", F.lit("x"), "split_id", "file").alias("file_path"), F.lit("@@ s @@").alias("hunk_header"), F.col("line_start").alias("start_line"), F.col("line_end").alias("end_line"))
+    hunks = rows.select("split_id", F.col("change_id").alias("b"), F.concat_ws("/", "split_id", "file").alias("file"), F.col("line_start").alias("old_start"), F.col("line_end").alias("new_start"), F.lit("s").alias("section"))
     # Ids of the change set are part of the path, as a repository's folder would be.
     return catalog.annotation_matches(notes, hunks).select("split_id", "a", "b")
 
 
-@query(cte("SELECT split_id, patch_id, CASE WHEN size_lines > 40 AND hunks > 1 THEN 2 ELSE 1 END AS parts FROM patches"))
+@query(cte("""
+, o AS (SELECT l.split_id, p.patch_id, p.size_lines, p.hunks, l.change_id, l.lines, row_number() OVER (PARTITION BY l.split_id, l.layer ORDER BY l.change_ord) AS nth FROM layered l JOIN patches p ON p.split_id = l.split_id AND p.layer = l.layer),
+big AS (SELECT split_id, patch_id, row_number() OVER (PARTITION BY split_id ORDER BY patch_id) + (SELECT max(patch_id) FROM patches q WHERE q.split_id = p.split_id) AS fresh FROM patches p WHERE size_lines > 40 AND hunks > 1),
+h AS (SELECT o.split_id, CASE WHEN b.patch_id IS NOT NULL AND nth > hunks // 2 THEN fresh ELSE o.patch_id END AS patch_id, CASE WHEN b.patch_id IS NOT NULL AND nth > hunks // 2 THEN CAST(o.patch_id AS VARCHAR) ELSE '' END AS needs, change_id, lines, nth FROM o LEFT JOIN big b ON b.split_id = o.split_id AND b.patch_id = o.patch_id)
+SELECT split_id, CAST(patch_id AS INT) AS patch_id, needs AS depends_on, string_agg(change_id, ',' ORDER BY nth) AS changes, CAST(sum(lines) AS INT) AS size_lines FROM h GROUP BY split_id, patch_id, needs"""))
 def halved_patches(spark, sf_dir):
-    """A21."""
+    """The halves' changes, sizes and dependency."""
     rows = _layer_parts(spark, sf_dir).withColumn("lines", F.col("added_lines") + F.col("deleted_lines"))
     patches = rows.groupBy("split_id", "patch_id").agg(F.sum("lines").alias("size_lines"), grouping.ordered_ids().alias("changes"), F.array().cast("array<int>").alias("depends_on"))
     out = splitting.halve_large(patches, rows.select("split_id", "change_id", "lines"), 20)
-    home = F.coalesce(F.try_element_at("depends_on", F.lit(1)), F.col("patch_id"))
-    return out.groupBy("split_id", home.alias("patch_id")).agg(F.count(F.lit(1)).cast("int").alias("parts"))
+    return out.select("split_id", "patch_id", joined(F.transform("depends_on", lambda d: d.cast("string"))).alias("depends_on"), joined(F.col("changes")).alias("changes"), "size_lines")
 
 
 @query(cte("""SELECT split_id, CAST(patch_id + CASE WHEN patch_id > 1 THEN 1 ELSE 0 END AS INT) AS patch_id, layer AS name FROM patches WHERE patch_id <> 1
@@ -632,14 +686,14 @@ def name_references(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS split_id, '+' || replace(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10), chr(10) || '+') AS body FROM documents")
 def synthesised_diffs(spark, sf_dir):
-    """S8, S9."""
+    """S9."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("split_id"), F.lit("f.txt").alias("file"), "text")
     return diffs.new_file_diffs(docs).select("split_id", F.regexp_replace(F.regexp_extract("value", r"(?s)@@ -0,0 \+1,\d+ @@\n(.*)$", 1), "\n$", "").alias("body"))
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS split_id, 1 AS hunks, len(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS added, 0 AS deleted, 'add' AS type FROM documents")
 def parsed_diffs(spark, sf_dir):
-    """S1-S4, A1, P2, P4, W1 over diffs made from documents."""
+    """S3, S4, A1 over diffs made from documents: one new file each."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("split_id"), F.lit("f.txt").alias("file"), "text")
     rows = diffs.parse_diffs(diffs.new_file_diffs(docs).select("split_id", "value"))
     return rows.groupBy("split_id").agg(F.count(F.lit(1)).cast("int").alias("hunks"), F.sum("added_lines").alias("added"), F.sum("deleted_lines").cast("int").alias("deleted"), F.first("type").alias("type"))
@@ -655,6 +709,6 @@ def commit_log(spark, sf_dir):
 @query("""
 SELECT file, state FROM (SELECT p_name || p_partkey AS file, unnest(CASE p_partkey % 4 WHEN 0 THEN ['staged'] WHEN 1 THEN ['unstaged'] WHEN 2 THEN ['staged', 'unstaged'] ELSE ['untracked'] END) AS state FROM part)""")
 def working_status(spark, sf_dir):
-    """S13, A32."""
+    """S13."""
     code = F.element_at(F.array(*map(F.lit, ("M  ", " M ", "MM ", "?? "))), (F.col("p_partkey") % 4 + 1).cast("int"))
     return scans.status(table(spark, sf_dir, "part").select(F.concat(code, F.col("p_name"), F.col("p_partkey").cast("string")).alias("value")))

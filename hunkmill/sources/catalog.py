@@ -107,7 +107,8 @@ def read_config(path: str) -> dict:
 
 def current_branch(lines: DataFrame) -> DataFrame:
     """repository, branch of rows (repository, value, failed) of the command that tells it: HEAD where it failed."""
-    return lines.select("repository", F.when(F.coalesce("failed", F.lit(False)) | (F.trim(F.coalesce("value", F.lit(""))) == ""), "HEAD").otherwise(F.trim("value")).alias("branch"))
+    name = F.regexp_replace(F.coalesce("value", F.lit("")), r"^\s+|\s+$", "")
+    return lines.select("repository", F.when(F.coalesce("failed", F.lit(False)) | (name == ""), "HEAD").otherwise(name).alias("branch"))
 
 
 def untracked_files(lines: DataFrame) -> DataFrame:
