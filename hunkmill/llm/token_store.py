@@ -4,17 +4,21 @@ Texts are encoded with a tokenizers file, each document ends with an end id. A r
 cuts a document's stream into chunks (64 to 4096 ids, 512 on average); a chunk is addressed by its 16-byte
 BLAKE2b. The files of a store:
 
-  packs/     one row a document: its recipe (chunk addresses in order), its root and the payloads it owns,
-             little-endian, 2 bytes an id where the vocabulary allows, else 4; every chunk is owned once
-  recipes/   doc_id, start, n_tokens, Merkle root over the chunk addresses, in ascending doc_id order by segment
-  manifest/  a row for each segment: documents, ids, Merkle root over its documents' roots
-
-Reading back takes ids from packs only, checks each payload against its address and each document against its
-root. A chunk that repeats is found by its address, so only documents that share chunks are shuffled with
-payloads; the others are copied and read where they are.
-
-Defined cases: null text is empty and leaves the end id alone; a null doc_id comes last; repeated ids follow
-each other in the order of the rows; a text of any length is encoded whole; an empty table gives empty files.
+  recipes/   in ascending doc_id order by segment: doc_id, n_tokens, the recipe (chunk addresses in order) and its Merkle
+             root; this is the order of the ids
+  packs/     one row a document, apart by whether it shares a chunk: the payloads it owns, little-endian, 2 bytes an id where the tokenizer's largest id
+             allows, else 4; every chunk is owned once, by the first document that has it
+  shared/    addresses that several documents use, with their owner
+  manifest/  a row for each segment: documents, ids, root over its documents' roots, bytes an id
+
+Reading back takes ids from packs only, checks each payload against its address, each document against its root and
+each segment against the manifest; a document that packs lost is not verified, and so are all of its segment. A chunk
+that repeats is found by its address, so only documents that share chunks are shuffled with payloads; the others are
+copied and read where they are.
+
+Defined cases: null text is empty and leaves the end id alone; a null doc_id comes last; repeated ids follow each other
+in the order of the rows; a text of any length is encoded whole, alone in its piece; equal chunks belong to the first
+row that has them; an empty table gives empty files; other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -29,15 +33,17 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bit_set, bits_for, discard, has_bit, pieces, scratch, without_gc, words_of
+from .common import HOT_SHARE, bit_set, bits_for, discard, has_bit, lean, materialise, pieces, scratch, tidy, with_groups, without_gc, words_of
 
 WINDOW, LEAST, MOST, MEAN_BITS = 8, 64, 4096, 9
 #: Distinct words whose ids a worker remembers at most.
 CACHE_WORDS = 600_000
 ROWS_A_SEGMENT = 20_000
+#: Bytes of text encoded at a time: a word is looked up once in each piece.
+PIECE_BYTES = 8_000_000
 #: Byte-level alphabet of the vocabulary: printable Latin-1 stands for itself, other bytes for 256 and on, in order.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -102,25 +108,15 @@ class Encoder:
     def _rows(self, words: pa.Array) -> np.ndarray:
         """Rows in the table of known words, which takes up new ones."""
         known, listed = self.known, words.to_pylist()
-        get = known.get
-        rows = np.fromiter((get(w, -1) for w in listed), np.int64, len(listed))
+        rows = np.fromiter(map(known.get, listed, itertools.repeat(-1)), np.int64, len(listed))
         missing = np.nonzero(rows < 0)[0]
         if len(missing):
             fresh = [listed[i] for i in missing.tolist()]
-            plain, shown, rest = [], [], []
-            for w in fresh:
-                if w.isalpha() and w.islower():
-                    if w.isascii():
-                        plain.append(w)
-                        shown.append(w)
-                        continue
-                    if w.lower() == w and is_normalized("NFC", w):
-                        plain.append(w)
-                        shown.append(w.encode().decode("latin-1").translate(BYTE_CHARS))
-                        continue
-                rest.append(w)
-            tokenize = self.tokenizer.model.tokenize
-            ids = [[t.id for t in tokenize(w)] for w in shown]
+            plain = [w for w in fresh if w.isalpha() and w.islower() and (w.isascii() or (w.lower() == w and is_normalized("NFC", w)))]
+            found = set(plain)
+            rest = [w for w in fresh if w not in found]
+            shown = [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARS) for w in plain]
+            ids = [[t.id for t in found] for found in map(self.tokenizer.model.tokenize, shown)]
             ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size) - size])
@@ -154,18 +150,29 @@ class Encoder:
         first, then = np.empty(len(words), np.int64), np.full(len(words), self._rows(pa.array([""]))[0])
         first[plain], first[stopped] = row[: len(words) - len(stopped)], row[len(words) - len(stopped):]
         then[stopped] = self._rows(stops.dictionary)[stops.indices.to_numpy()]
+        # The ids of each distinct word together, then those of all words.
+        pairs = np.stack([first, then], 1).reshape(-1)
+        upto, pool = _gather(self.pool, self.start[pairs], self.size[pairs])
+        start, size = upto[:-2:2], upto[2::2] - upto[:-2:2]
         code = coded.indices.to_numpy()
-        pairs = np.stack([first, then], 1)[code].reshape(-1)
-        n = self.size[pairs]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        offsets = upto[2 * ends] + np.arange(len(ends))
+        upto, found = _gather(pool, start[code], size[code])
+        offsets = upto[ends] + np.arange(len(ends))
         out = np.full(offsets[-1], end_id, np.uint32)
         place = np.ones(len(out), bool)
         place[offsets[1:] - 1] = False
-        out[place] = self.pool[np.repeat(self.start[pairs] - upto[:-1], n) + np.arange(upto[-1])]
+        out[place] = found
         return offsets, out
 
 
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each slice of pool ends among all (one more than slices), and the slices one after the other."""
+    upto = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=upto[1:])
+    at = np.repeat(start - upto[:-1], size)
+    at += np.arange(upto[-1])
+    return upto, pool[at]
+
+
 STAGED = "doc_id {id}, n_tokens long, recipe array<binary>, payloads array<binary>, root string"
 
 
@@ -179,7 +186,7 @@ def _encode(path: str, end_id: int, width: str):
     def run(batches):
         encode = _encoder(path)
         for batch in batches:
-            for part in pieces(batch, "text"):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 with without_gc():
                     offsets, ids = encode(part.column("text"), end_id)
                 marks = proposals(ids)
@@ -226,11 +233,29 @@ def merkle(leaves: list[bytes]) -> str:
     return hashlib.sha256(level[0]).hexdigest()
 
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, path: str) -> None:
+def width_of(tokenizer: str, end_id: int) -> str:
+    """Bytes of an id in the files, by the tokenizer's own largest id."""
+    from tokenizers import Tokenizer
+
+    top = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if top < 1 << 16 else "<u4"
+
+
+#: Order of documents; the place in the input parts repeated ids.
+ORDER = ("(doc_id is null)", "doc_id", "nth")
+
+
+def _root(name: str) -> Column:
+    """Hash over the roots of a segment's documents in order."""
+    ordered = F.array_sort(F.collect_list(F.struct(*[F.expr(x).alias(f"o{i}") for i, x in enumerate(ORDER)], name)))
+    return F.sha2(F.array_join(F.transform(ordered, lambda r: F.coalesce(r[name], F.lit("lost"))), "").cast("binary"), 256)
+
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Encodes docs (doc_id, text) into a store at `path`, a folder all executors share."""
-    spark, width = docs.sparkSession, "<u2" if vocabulary <= 1 << 16 else "<u4"
+    spark, width = docs.sparkSession, width_of(tokenizer, end_id)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    staged = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, width), STAGED.format(id=kind))
+    staged = docs.select("doc_id", "text").mapInArrow(lean(_encode(tokenizer, end_id, width)), STAGED.format(id=kind))
     staged.withColumn("nth", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(f"{path}/staged")
     staged = spark.read.parquet(f"{path}/staged")
     uses = staged.select("nth", F.posexplode("recipe").alias("seq", "address"))
@@ -238,9 +263,11 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     shared = uses.groupBy("address").agg(F.count(F.lit(1)).alias("uses"), F.min("nth").alias("owner")).filter("uses > 1")
     shared.write.parquet(f"{path}/shared")
     shared = spark.read.parquet(f"{path}/shared")
-    bits = bits_for(staged.count())
+    total = staged.count()
+    bits = bits_for(total)
     place = F.pmod(F.xxhash64("nth"), F.lit(bits))
-    sharing = uses.join(shared.hint("merge"), "address").select("nth", "seq", "address", "owner")
+    # A chunk of many documents, such as the empty text's, is met by broadcast.
+    sharing = with_groups(uses, shared, ["address"], "uses", total).select("nth", "seq", "address", "owner")
     sharing.write.parquet(f"{path}/sharing")
     sharing = spark.read.parquet(f"{path}/sharing")
     marked = bit_set(sharing.select(place.alias("at")).distinct(), "at")
@@ -251,51 +278,70 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, p
     drop = drop.groupBy("nth").agg(F.collect_list("seq").alias("foreign"))
     some = flagged.filter("shares").join(drop.hint("merge"), "nth", "left").withColumn("foreign", F.coalesce("foreign", F.array().cast("array<int>")))
     some = some.withColumn("payloads", F.transform("payloads", lambda p, i: F.when(~F.array_contains("foreign", i), p)))
-    columns = ["nth", "doc_id", "n_tokens", "root", "recipe", "payloads"]
+    columns = ["nth", "recipe", "payloads", "shares"]
     packs = flagged.filter("not shares").select(*columns).unionByName(some.select(*columns))
-    packs.write.option("compression", "zstd").parquet(f"{path}/packs")
+    packs.write.option("compression", "zstd").partitionBy("shares").parquet(f"{path}/packs")
+    # Recipes in ascending doc_id order; positions come from the files' own counts.
+    order = [F.expr(x) for x in ORDER]
+    entries = staged.select("nth", "doc_id", "n_tokens", "root", "recipe").repartitionByRange(max(1, total // ROWS_A_SEGMENT), *order).sortWithinPartitions(*order)
+    entries.withColumn("segment", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     discard(spark, f"{path}/staged")
     discard(spark, f"{path}/sharing")
-    # Recipes in ascending doc_id order; positions come from the files' own counts.
-    packs = spark.read.parquet(f"{path}/packs")
-    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("nth")]
-    entries = packs.select("nth", "doc_id", "n_tokens", "root")
-    entries = entries.repartitionByRange(max(1, packs.count() // ROWS_A_SEGMENT), *order).sortWithinPartitions(*order).withColumn("segment", F.spark_partition_id())
-    entries.write.parquet(f"{path}/recipes")
-    entries = spark.read.parquet(f"{path}/recipes")
-    sums = entries.groupBy("segment").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order[0].alias("a"), order[1].alias("b"), "nth", "root"))), lambda r: r.root), "").cast("binary"), 256).alias("merkle"))
-    before = Window.partitionBy(F.lit(1)).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sums.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))).write.parquet(f"{path}/manifest")
+    sums = spark.read.parquet(f"{path}/recipes").groupBy("segment").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("ids"), _root("root").alias("merkle"))
+    sums.withColumn("width", F.lit(width)).write.parquet(f"{path}/manifest")
 
 
-def read_store(spark: SparkSession, path: str, vocabulary: int) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, chunks, owned, verified, from the files alone."""
-    width = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    packs = spark.read.parquet(f"{path}/packs")
-    missing = F.exists("payloads", lambda p: p.isNull())
+def read_store(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, verified, from the files alone, for every document of the recipes: one whose
+    chunks are lost or altered, or whose segment does not give the manifest's root, is not verified."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    widths = manifest.select("width").distinct().collect()
+    width = widths[0][0] if widths else "<u2"
+    packs = spark.read.schema("nth long, recipe array<binary>, payloads array<binary>, shares boolean").parquet(f"{path}/packs")
+    entries = spark.read.parquet(f"{path}/recipes")
     result = "nth long, fine boolean, read_root string, read_n long, ids_crc32 long"
-    whole = packs.filter(~missing).select("nth", "recipe", "payloads").mapInArrow(_read(width), result)
-    # Documents with foreign chunks: owned ones come along, the others from their owners.
-    parts = packs.filter(missing).select("nth", F.posexplode(F.arrays_zip("recipe", "payloads")).alias("seq", "c")).select("nth", "seq", F.col("c.recipe").alias("address"), F.col("c.payloads").alias("payload"))
-    wanted = spark.read.parquet(f"{path}/shared").select("address", F.col("owner").alias("nth"))
-    owned = packs.select("nth", F.explode(F.arrays_zip("recipe", "payloads")).alias("c")).select("nth", F.col("c.recipe").alias("address"), F.col("c.payloads").alias("payload")).filter("payload is not null")
-    bits = bits_for(packs.count())
-    place = F.pmod(F.xxhash64("address"), F.lit(bits))
-    owned = has_bit(owned.withColumn("at", place), "at", bit_set(wanted.select(place.alias("at")).distinct(), "at"), bits, "maybe").filter("maybe")
-    lent = owned.join(wanted.select("address", F.col("nth").alias("o")).hint("merge"), "address").filter("nth = o").select("address", F.col("payload").alias("lent"))
-    filled = parts.filter("payload is null").drop("payload").join(lent.hint("merge"), "address").select("nth", "seq", "address", F.col("lent").alias("payload"))
+    whole = packs.filter("not shares").select("nth", "recipe", "payloads").mapInArrow(lean(_read(width)), result)
+    # Documents that share chunks: owned ones come along, the others from their owners, which share them too.
+    parts = packs.filter("shares").select("nth", F.posexplode(F.arrays_zip("recipe", "payloads")).alias("seq", "c")).select("nth", "seq", F.col("c.recipe").alias("address"), F.col("c.payloads").alias("payload"))
+    wanted = spark.read.parquet(f"{path}/shared").select("address", "uses", F.col("owner").alias("o"))
+    lent = parts.filter("payload is not null").join(wanted.hint("merge"), "address").filter("nth = o").select("address", "uses", F.col("payload").alias("lent"))
+    lent = materialise(lent, "lent")
+    # At most 1 / HOT_SHARE chunks of MOST ids are broadcast. A chunk whose owner is lost stays null.
+    floor = max(64, int(entries.count() * HOT_SHARE))
+    needed = parts.filter("payload is null").drop("payload")
+    hot = wanted.filter(F.col("uses") >= floor).select("address")
+    hot_rows = needed.join(F.broadcast(hot), "address", "left_semi").join(F.broadcast(lent.filter(F.col("uses") >= floor)), "address", "left")
+    cold_rows = needed.join(F.broadcast(hot), "address", "left_anti").join(lent.filter(F.col("uses") < floor).hint("merge"), "address", "left")
+    filled = hot_rows.unionByName(cold_rows).select("nth", "seq", "address", F.col("lent").alias("payload"))
     filled = parts.filter("payload is not null").select("nth", "seq", "address", "payload").unionByName(filled)
     filled = filled.groupBy("nth").agg(F.array_sort(F.collect_list(F.struct("seq", "address", "payload"))).alias("c"))
-    filled = filled.select("nth", F.col("c.address").alias("recipe"), F.col("c.payload").alias("payloads")).mapInArrow(_read(width), result)
-    entries = spark.read.parquet(f"{path}/recipes")
-    base = F.broadcast(spark.read.parquet(f"{path}/manifest").select("segment", F.col("start").alias("base")))
-    run = F.sum("n_tokens").over(Window.partitionBy("segment").orderBy(F.col("doc_id").isNull(), "doc_id", "nth").rowsBetween(Window.unboundedPreceding, -1))
-    entries = entries.withColumn("run", F.coalesce(run, F.lit(0))).join(base, "segment")
-    out = entries.join(whole.unionByName(filled), "nth")
-    return out.select("doc_id", (F.col("base") + F.col("run")).alias("start"), F.col("read_n").alias("n_tokens"), "ids_crc32", (F.col("fine") & (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_n"))).alias("verified"))
-
-
-def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, vocabulary: int = 49408, path: str | None = None) -> DataFrame:
-    path = path or scratch(docs.sparkSession, "token-store")
-    write_store(docs, tokenizer, end_id, vocabulary, path)
-    return read_store(docs.sparkSession, path, vocabulary)
+    filled = filled.select("nth", F.col("c.address").alias("recipe"), F.col("c.payload").alias("payloads")).mapInArrow(lean(_read(width)), result)
+    out = entries.select("nth", "doc_id", "n_tokens", "root", "segment").join(whole.unionByName(filled).hint("merge"), "nth", "left")
+    out = materialise(out, "read")
+    # Segments as read against the manifest, and where each begins: thousands of segments a step, then the steps.
+    found = out.groupBy("segment").agg(_root("read_root").alias("read_merkle"))
+    upto = lambda *by: Window.partitionBy(*by).orderBy("segment" if by else "step").rowsBetween(Window.unboundedPreceding, -1)
+    starts = manifest.withColumn("step", F.floor(F.col("segment") / 1000))
+    steps = starts.groupBy("step").agg(F.sum("ids").alias("ids"))
+    steps = steps.select("step", F.coalesce(F.sum("ids").over(upto()), F.lit(0)).alias("base"))
+    starts = starts.withColumn("within", F.coalesce(F.sum("ids").over(upto("step")), F.lit(0))).join(steps, "step")
+    starts = starts.join(found, "segment").select("segment", (F.col("base") + F.col("within")).alias("base"), (F.col("merkle") == F.col("read_merkle")).alias("sound"))
+    run = F.sum("n_tokens").over(Window.partitionBy("segment").orderBy(*[F.expr(x) for x in ORDER]).rowsBetween(Window.unboundedPreceding, -1))
+    fine = F.col("fine") & (F.col("root") == F.col("read_root")) & (F.col("n_tokens") == F.col("read_n")) & F.col("sound")
+    out = out.withColumn("run", F.coalesce(run, F.lit(0))).join(starts, "segment")
+    return out.select("doc_id", (F.col("base") + F.col("run")).alias("start"), F.coalesce("read_n", F.lit(0)).alias("n_tokens"), "ids_crc32", F.coalesce(fine, F.lit(False)).alias("verified"))
+
+
+def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+    """Writes a store at `path` and reads it back; without a path the store is deleted once it is read."""
+    if path is None:
+        return _checked(docs, tokenizer, end_id)
+    write_store(docs, tokenizer, end_id, path)
+    return read_store(docs.sparkSession, path)
+
+
+@tidy
+def _checked(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    path = scratch(docs.sparkSession, "token-store")
+    write_store(docs, tokenizer, end_id, path)
+    return read_store(docs.sparkSession, path)

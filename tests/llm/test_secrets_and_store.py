@@ -42,6 +42,23 @@ def test_base_spans_and_ownership(spark):
     assert secrets.digest(secrets.scan_secrets(awkward(spark))).count() == awkward(spark).count()
 
 
+def test_status_counts_owners_and_repositories(spark):
+    rows = [("a", "o1", f"r{i}") for i in range(30)] + [("b", "o1", "r1"), ("b", "o1", "r1")] + [("c", f"o{i}", "r") for i in range(3)] + [("d", "o1", "r"), ("d", "o2", "r")]
+    got = {r.value_hash: (r.repos, r.owners, r.occurrences, r.status) for r in secrets.ownership(spark.createDataFrame(rows, "value_hash string, owner string, repo string")).collect()}
+    assert got == {"a": (30, 1, 30, "example"), "b": (1, 1, 2, "live"), "c": (3, 3, 3, "example"), "d": (2, 2, 2, "shared")}
+
+
+def test_bare_tokens_are_found_in_linear_time():
+    import time
+
+    text = "".join(f"token={'aB3' * 8}{i} xY9{'qW7' * 8}{i:05d} " for i in range(20000))
+    began = time.time()
+    base = secrets.base_spans(text)
+    bare = secrets.bare_spans(text, base)
+    assert len(base) >= 20000 and len(bare) == 20000 and time.time() - began < 5
+    assert all(not any(s < e2 and s2 < e for _, s2, e2, _ in base[max(0, i - 2):i + 3]) for i, (_, s, e, _) in list(enumerate(bare))[:50])
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -76,6 +93,21 @@ def test_store_round_trip(spark, tokenizer, tmp_path):
     assert token_store.store_and_read(docs(spark, []), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_lost_and_altered_chunks_are_reported(spark, tmp_path):
+    rows = [(i, f"words of document {i} " * 30, "en", "s") for i in range(400)] + [(1000 + i, "one text held by many", "en", "s") for i in range(200)]
+    path, tokenizer = f"{tmp_path}/store", tokenizer_path("word_bpe_49k.json")
+    token_store.write_store(docs(spark, rows).repartition(6), tokenizer, 2, path)
+    out = token_store.read_store(spark, path).collect()
+    assert len(out) == 600 and all(r.verified for r in out)
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.start)] == sorted(i for i, *_ in rows)
+    files = sorted(p for p in (tmp_path / "store" / "packs" / "shares=false").glob("*.parquet") if spark.read.parquet(str(p)).count() > 20)
+    files[0].unlink()
+    out = token_store.read_store(spark, path).collect()
+    assert len(out) == 600 and not any(r.verified for r in out)  # all lie in one segment
+    assert {r.doc_id for r in out} == {i for i, *_ in rows} and any(r.n_tokens == 0 for r in out)
+    assert token_store.width_of(tokenizer, 2) == "<u2" and token_store.width_of(tokenizer, 1 << 16) == "<u4"
+
+
 def test_cuts_keep_bounds_and_find_shared_chunks():
     rng = np.random.default_rng(1)
     shared = rng.integers(0, 49000, 20000).astype(np.uint32)
