@@ -2,6 +2,7 @@
 
 import json
 import random
+import subprocess
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,3 +302,102 @@ def test_groups(spark):
     symbols = frame(spark, "split_id string, change_ord int, change_id string, sym_ord int, name string, type string", [("s", 0, "a/x.py:hunk_0", 0, "f", "function"), ("s", 0, "a/x.py:hunk_0", 1, "f", "function"), ("s", 1, "a/x.py:hunk_1", 0, "f", "class")])
     rename = grouping.renames(symbols).first()
     assert (rename.n, rename.change_ids) == (3, ["a/x.py:hunk_0", "a/x.py:hunk_1"])
+
+
+def test_diffs_at_hand_and_of_a_repository(spark, tmp_path):
+    assert diffs.from_text(spark, " \n").count() == 0
+    assert [r.change_id for r in diffs.parse_diffs(diffs.from_text(spark, SIMPLE)).collect()] == ["test.py:hunk_0"]
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    git("init", "-q", "-b", "main")
+    for text, name in (("one\n", "first"), ("one\ntwo\n", "second")):
+        (tmp_path / "f.py").write_text(text)
+        git("add", "f.py")
+        git("commit", "-q", "-m", name)
+    found = diffs.parse_diffs(diffs.between(spark, str(tmp_path), "main~1", "main")).collect()
+    assert [(r.change_id, r.type, r.added_lines) for r in found] == [("f.py:hunk_0", "add", 1)]
+    (tmp_path / "f.py").write_text("three\n")
+    assert diffs.parse_diffs(diffs.between(spark, str(tmp_path), "HEAD")).first().deleted_lines == 2
+    assert diffs.between(spark, str(tmp_path), "main", "main").count() == 0
+    with pytest.raises(ValueError, match="no diff"):
+        diffs.between(spark, str(tmp_path), "main", "nowhere")
+
+
+def test_scans_of_stored_results(spark, tmp_path):
+    def put(name, value):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(value if isinstance(value, str) else json.dumps(value))
+        return str((tmp_path / name).parent)
+
+    at = put("reviews/a.json", {"title": "T", "archived": True, "issues": [{"file": "f"}], "created_at": "2026-01-02T03:04:05Z"})
+    put("reviews/b.json", "{broken")
+    put("reviews/c.json", {"id": "own", "status": "failed"})
+    got = {r.id: (r.title, r.status, r.n_issues) for r in scans.reviews(spark, at).collect()}
+    assert got == {"a": ("T", "archived", 1), "own": ("c", "failed", 0)}
+    at = put("pulls/p.json", [{"number": 4, "title": "x"}, {"number": 5, "owner": "o"}])
+    assert {(r.number, r.title, r.author, r.state) for r in scans.pull_rows(scans.pulls(spark, at)).collect()} == {(4, "x", "unknown", "open"), (5, "", "unknown", "open")}
+    for name, value in (("c.json", {"source": {"repositories": [{"name": "r", "path": "/p"}]}}), ("d.json", {"repositories": [{"name": "r", "path": "/p"}]})):
+        config = scans.read_config(f"{put(name, value)}/{name}")
+        rows = scans.repository_rows(scans.configured_repositories(spark, config)).collect()
+        assert [(r.name, r.path, r.description) for r in rows] == [("r", "/p", "")]
+    at = put("bundle/b.json", {"commits": [{"id": "c1", "message": "m", "metadata": {"goal_summary": "g", "patches": [{"id": 1, "state": "deleted"}, {"id": 2}]}}, {"id": "c2"}], "patches": {"c1/00_a.patch": "text", "x/y/01_b.patch": "more"}})
+    commits, patches = scans.bundle(spark, at)
+    assert {(r.id, r.message, r.goal, r.patches) for r in scans.commit_rows(commits).collect()} == {("c1", "m", "g", 1), ("c2", "", "", 0)}
+    assert {(r.commit_id, r.filename, r.content) for r in patches.collect()} == {("c1", "00_a.patch", "text"), ("x/y", "01_b.patch", "more")}
+
+
+def test_configuration_in_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("source:\n  repositories:\n    - name: r\n      path: /p\n")
+    assert scans.read_config(str(tmp_path / "c.yaml"))["source"]["repositories"] == [{"name": "r", "path": "/p"}]
+
+
+def test_snapshots_are_replaced_by_repository(spark, tmp_path):
+    rows = frame(spark, "repo string, branch string, sha string, at int", [("a", "m", f"s{i}", i) for i in range(60)] + [("b", "m", "t", 1)])
+    assert scans.snapshot(rows, str(tmp_path / "all")).groupBy("repo").count().orderBy("repo").collect()[0]["count"] == 50
+    for repo in ("a", "b", "a"):
+        scans.write_progress(rows, str(tmp_path / "parts"), repo)
+    assert spark.read.parquet(str(tmp_path / "parts")).count() == 61
+
+
+def test_a_stored_split_is_rewritten_alone(spark, tmp_path):
+    schema = "split_id string, patch_id int, name string, depends_on array<int>"
+    every = frame(spark, schema, [("s", 0, "zero", []), ("s", 1, "one", [0]), ("t", 0, "other", [])])
+    path = str(tmp_path / "patches")
+    every.withColumn("filename", sinks.patch_name()).write.partitionBy("split_id").parquet(path)
+    stored = spark.read.parquet(path)
+    own = stored.filter("split_id = 's'").select("split_id", "patch_id", "name", "depends_on")
+    own = spark.createDataFrame(own.collect(), own.schema)
+    parts = frame(spark, schema, [("s", 0, "half", []), ("s", 1, "rest", [0])])
+    sinks.write_resplit(own, 0, parts, path)
+    got = {(r.split_id, r.patch_id, r.filename, tuple(r.depends_on)) for r in spark.read.parquet(path).collect()}
+    assert got == {("s", 0, "00_half.patch", ()), ("s", 1, "01_rest.patch", (0,)), ("s", 2, "02_one.patch", (1,)), ("t", 0, "00_other.patch", ())}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static").lower() == "static"
+
+
+def test_extension_points(spark):
+    """A language, a grouper, suggested groups and a summarizer, each off again afterwards."""
+    extract.register_language("lua", [(r"^\s*function\s+([a-z]+)", "function")])
+    lines = frame(spark, "split_id string, change_ord int, change_id string, file string, language string, row int, line int, code string", [("s", 0, "c", "f.lua", "lua", 0, 1, "function go()")])
+    assert [r.name for r in extract.definitions(lines).collect()] == ["go"]
+    del extract.DEFINITIONS["lua"], extract.USAGES["lua"]
+    changes = changes_of(spark, [("s", i, f"{d}/f.py", "modify", 10) for i, d in enumerate(("a/models", "b/utils", "c/api", "d/core"))])
+    none = spark.createDataFrame([], schemas.SYMBOLS.replace("change_id", "change_ord int, change_id", 1))
+    edges = frame(spark, schemas.DEPS, [])
+    ids = [r.change_id for r in changes.orderBy("change_ord").collect()]
+    # Four layers, so no group in common; three suggested groups, which may overlap, bring two changes together.
+    assert engine.plan(changes, none, edges).patches.count() == 4
+    more = frame(spark, "split_id string, group_id string, change_ids array<string>", [("s", f"llm_{i}", ids[:2]) for i in range(3)])
+    assert sorted(len(r.changes) for r in engine.plan(changes, none, edges, suggested=more).patches.collect()) == [1, 1, 2]
+    pair = lambda c, s: c.groupBy("split_id").agg(F.lit("own").alias("key"), F.min("change_ord").alias("first"), F.array(*map(F.lit, ids[2:])).alias("change_ids")).withColumn("score", F.lit(0.99))
+    splitting.register_grouper(pair)
+    try:
+        kept = engine.plan(changes, none, edges).groups.collect()
+    finally:
+        splitting.GROUPERS.pop()
+    assert "own0_0" in {r.group_id for r in kept}
+
+
+def test_the_mark_of_a_missing_newline_stays(spark):
+    text = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1 +1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n"
+    row = diffs.parse_diffs(texts(spark, text)).first()
+    assert row.content.split("\n")[1:] == ["-a", "\\ No newline at end of file", "+b", "\\ No newline at end of file"] and (row.added_lines, row.deleted_lines) == (1, 1)
