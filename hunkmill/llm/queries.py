@@ -72,7 +72,38 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+#: Letters that op3 lower-cases.
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+def _matches(kind: int, pattern: str, group: int, least: int) -> str:
+    """Spans of one kind: a match starts where the parts between the matches and the matches before it end."""
+    pattern = pattern.replace("'", "''")
+    upto = lambda column, last: f"coalesce(list_sum(list_transform({column}[1:{last}], lambda z: length(z))), 0)"
+    return f"""SELECT doc_id, owner, repo, {kind} AS kind, CAST({upto("parts", "i")} + {upto("found", "i - 1")} AS BIGINT) AS start, length(found[i]) AS size, vals[i] AS value
+        FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *, string_split_regex(s, '{pattern}') AS parts, regexp_extract_all(s, '{pattern}') AS found, regexp_extract_all(s, '{pattern}', {group}) AS vals FROM t)) WHERE length(vals[i]) >= {least}"""
+
+
 ORACLE_SQL = {
+    "op1_secret_scan": f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS s, coalesce(CAST(source AS VARCHAR), '?') AS owner, CAST(doc_id AS VARCHAR) AS repo FROM documents),
+        base AS ({_matches(0, "(?i)" + secrets.ASSIGN, 2, 6)} UNION ALL {_matches(1, secrets.ACCESS, 0, 20)} UNION ALL {_matches(2, "[0-9a-f]{24,}", 0, 24)}),
+        bare AS (SELECT * FROM ({_matches(3, secrets.BARE, 0, 20)}) x WHERE regexp_matches(value, '[0-9]') AND value <> lower(value) AND value <> upper(value)
+                 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start < x.start + x.size AND x.start < b.start + b.size)),
+        every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
+        freq AS (SELECT value, CASE WHEN count(DISTINCT owner) >= 3 OR count(DISTINCT (owner, repo)) >= 20 THEN 'example' WHEN count(DISTINCT owner) = 1 THEN 'live' ELSE 'shared' END AS status FROM every GROUP BY 1),
+        kept AS (SELECT e.*, f.status, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || (start + size) AS shown FROM every e JOIN freq f USING (value) WHERE kind < 3 OR status = 'live'),
+        r AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3) AS b,
+                     string_agg(shown, ',' ORDER BY start, kind) AS spans, count(*) FILTER (status = 'live') AS n_live, count(*) FILTER (status = 'shared') AS n_shared, count(*) FILTER (status = 'example') AS n_example FROM kept GROUP BY 1)
+        SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+               coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(n_example, 0) AS n_example FROM t LEFT JOIN r USING (doc_id)""",
+    "op3_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{SPACE_CLASS}+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+        x AS (SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM s),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common) UNION SELECT b, a FROM pairs WHERE 100 * common >= 80 * (na + nb - common)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+        SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, min(r.b)) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(g)""",
     "op10_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{SPACE_CLASS}', '', 'g') AS norm FROM documents),
         w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
