@@ -163,3 +163,15 @@ IMPORT_LINES = {
 
 #: Fixed: rows of a summary for a prompt, ids shown of an atomic group.
 SUMMARY_ROWS, SUMMARY_IDS = 50, 5
+
+#: Fixed: imports by language; of two groups the first is the name that stands for the path in code, of one it follows from the path.
+IMPORTS = {
+    "go plain": r'^\s*"([^"]+)"',
+    "go alias": r'^\s*([a-z_][a-z0-9_]*)\s+"([^"]+)"',
+    "python import": r"^\s*import\s+([a-zA-Z_][a-zA-Z0-9_.]*)",
+    "python from": r"^\s*from\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s+import\s+(.+)",
+    "script named": r"""^\s*import\s+\{([^}]+)\}\s+from\s+['"]([^'"]+)['"]""",
+    "script default": r"""^\s*import\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+from\s+['"]([^'"]+)['"]""",
+    "script space": r"""^\s*import\s+\*\s+as\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+from\s+['"]([^'"]+)['"]""",
+    "java": r"^\s*import\s+(?:static\s+)?([a-zA-Z_][a-zA-Z0-9_.]*);",
+}

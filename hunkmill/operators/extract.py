@@ -44,12 +44,7 @@ def imports(lines: DataFrame) -> DataFrame:
     pair = lambda alias, path: F.struct(alias.alias("alias"), path.alias("path"))
     last = lambda text, sep: F.element_at(F.split(text, sep), -1)
     when = lambda cond, pairs: F.when(cond, pairs).otherwise(F.array().cast("array<struct<alias:string,path:string>>"))
-    # Fixed: import patterns by language.
-    go_plain, go_alias = r'^\s*"([^"]+)"', r'^\s*([a-z_][a-z0-9_]*)\s+"([^"]+)"'
-    py_import, py_from = r"^\s*import\s+([a-zA-Z_][a-zA-Z0-9_.]*)", r"^\s*from\s+([a-zA-Z_][a-zA-Z0-9_.]*)\s+import\s+(.+)"
-    js_named, js_default = r"""^\s*import\s+\{([^}]+)\}\s+from\s+['"]([^'"]+)['"]""", r"""^\s*import\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+from\s+['"]([^'"]+)['"]"""
-    js_space = r"""^\s*import\s+\*\s+as\s+([a-zA-Z_][a-zA-Z0-9_]*)\s+from\s+['"]([^'"]+)['"]"""
-    java = r"^\s*import\s+(?:static\s+)?([a-zA-Z_][a-zA-Z0-9_.]*);"
+    go_plain, go_alias, py_import, py_from, js_named, js_default, js_space, java = fixed.IMPORTS.values()
     has = lambda pattern: code.rlike(pattern)
     go = F.concat(when(has(go_plain), F.array(pair(last(get(go_plain), "/"), get(go_plain)))), when(has(go_alias), F.array(pair(get(go_alias), get(go_alias, 2)))))
     named = F.filter(F.transform(F.split(get(py_from, 2), ","), lambda x: F.trim(F.element_at(F.split(F.trim(x), " as "), 1))), lambda x: (x != "") & (x != "*"))

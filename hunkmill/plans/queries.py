@@ -341,15 +341,15 @@ def merged_candidates(spark, sf_dir):
     return splitting.merged(_packed(spark, sf_dir), TARGET).select("split_id", "nth", joined(F.col("change_ids")).alias("change_ids"))
 
 
-def _plan(spark, sf_dir) -> engine.Plan:
+def _plan(spark, sf_dir, keep: bool = True) -> engine.Plan:
     changes, symbols = adapters.changes(spark, sf_dir), adapters.symbols(spark, sf_dir)
-    return engine.plan(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)), TARGET)
+    return engine.plan(changes, symbols, deps.dependencies(changes, symbols, adapters.imports(spark, sf_dir)), TARGET, keep=keep)
 
 
 @query(plan_sql.patches(TARGET))
 def split_patches(spark, sf_dir):
     """The whole plan: A11-A16, G11-G12, J8, L2, M4, N6, U2, U3."""
-    p = _plan(spark, sf_dir)
+    p = _plan(spark, sf_dir, keep=False)
     return p.patches.select("split_id", "patch_id", "name", "description", joined(F.col("changes")).alias("changes"), joined(F.transform("depends_on", lambda d: d.cast("string"))).alias("depends_on"), "size_lines", joined(F.col("warnings")).alias("warnings"))
 
 
