@@ -161,6 +161,9 @@ IMPORT_LINES = {
     "cpp": [r'^\s*#include\s*[<"][^>"]+[>"]'],
 }
 
+#: Fixed: strength and reason of a suggested dependency that gives none, and what a malformed repository is told.
+SUGGESTED_STRENGTH, SUGGESTED_REASON, BAD_REPOSITORY = 0.8, "Identified by LLM", "Invalid repo format: "
+
 #: Fixed: rows of a summary for a prompt, ids shown of an atomic group.
 SUMMARY_ROWS, SUMMARY_IDS = 50, 5
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import scalars as S
 
 
@@ -155,7 +156,7 @@ def all_pulls(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     (array of struct with updated_at), one row a repository asked."""
     fine = F.col("slug").rlike("^[^/]+/[^/]+") & F.col("error").isNull()
     pulls = answers.filter(fine).select("slug", F.explode("pulls").alias("p")).select("slug", "p.*").orderBy(F.desc("updated_at"), "slug", "number")
-    told = F.when(~F.col("slug").rlike("^[^/]+/[^/]+"), F.concat(F.lit("Invalid repo format: "), F.col("slug"))).otherwise(F.concat_ws(": ", "slug", "error"))
+    told = F.when(~F.col("slug").rlike("^[^/]+/[^/]+"), F.concat(F.lit(fixed.BAD_REPOSITORY), F.col("slug"))).otherwise(F.concat_ws(": ", "slug", "error"))
     return pulls, answers.filter(~fine).select("slug", told.alias("error"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import scalars as S
 
 
@@ -113,7 +114,7 @@ def with_suggested(deps: DataFrame, suggested: DataFrame) -> DataFrame:
     top = deps.groupBy("split_id").agg(F.max("dep_ord").alias("__top"))
     nth = F.row_number().over(Window.partitionBy("split_id").orderBy("nth"))
     more = suggested.filter(~wild).withColumn("nth", nth).join(top, "split_id", "left")
-    more = more.select("split_id", (F.coalesce("__top", F.lit(-1)) + F.col("nth")).cast("int").alias("dep_ord"), "source", "target", F.lit("call_chain").alias("type"), F.coalesce("strength", F.lit(0.8)).alias("strength"), F.coalesce("reason", F.lit("Identified by LLM")).alias("reason"))
+    more = more.select("split_id", (F.coalesce("__top", F.lit(-1)) + F.col("nth")).cast("int").alias("dep_ord"), "source", "target", F.lit("call_chain").alias("type"), F.coalesce("strength", F.lit(fixed.SUGGESTED_STRENGTH)).alias("strength"), F.coalesce("reason", F.lit(fixed.SUGGESTED_REASON)).alias("reason"))
     return deps.unionByName(more)
 
 
