@@ -81,6 +81,7 @@ def tidy(make):
             if work in _open:
                 del _open[_open.index(work):]
             discard(spark, work)
+            trim()
 
     return run
 
@@ -115,18 +116,23 @@ def arrow_rows(spark: SparkSession, n: int):
         spark.conf.set(key, before)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; allocators would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run):
-    """A mapInArrow function that, at the end of its task, gives freed memory back to the system: workers stay alive
-    between tasks, and what their allocators keep is lost to other stages."""
+    """A mapInArrow function that trims its worker's memory at the end of its task: workers stay alive between tasks, and
+    what their allocators keep is lost to other stages."""
 
     def wrapped(batches):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return wrapped
 

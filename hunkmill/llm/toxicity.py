@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, lean, pieces
+from .common import held_out, lean, pieces, trim
 from .language_id import tokens
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
@@ -38,6 +38,8 @@ MIN_DOCS, SHRINK = 4, 6.0
 BINS, FAR = 64, 64
 #: Buckets of the language guess.
 GUESS = 1 << 14
+#: Bytes of text scored at a time: the responses of its words take some fifty times as much.
+PIECE_BYTES = 500_000
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -54,8 +56,8 @@ def _columns() -> list[tuple[int, int]]:
 
 
 def responses(x: np.ndarray, model: dict) -> np.ndarray:
-    """Words (or distinct words) by all filter columns."""
-    return x @ model["filters"]
+    """Words (or distinct words) by all filter columns, in double precision first: a word's do not depend on its batch."""
+    return (x.astype(np.float64) @ model["filters"].astype(np.float64)).astype(np.float32)
 
 
 def pooled(each: np.ndarray, offsets: np.ndarray, model: dict, want_arg: bool = False):
@@ -162,7 +164,7 @@ def fit(docs: list[tuple[np.ndarray, int]], seed: int = 5, epochs: int = 4, batc
 def logits(x: np.ndarray, code: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
     """x: embeddings of distinct words; code: the words of all documents in order."""
     hidden = pooled(responses(x, model)[code], offsets, model)
-    return hidden @ model["out"] + model["out_bias"]
+    return hidden.astype(np.float64) @ model["out"].astype(np.float64) + model["out_bias"]
 
 
 def guess_language(h: np.ndarray, code: np.ndarray, offsets: np.ndarray, model: dict) -> np.ndarray:
@@ -189,7 +191,7 @@ def calibrate(z: np.ndarray, lang: np.ndarray, clean: np.ndarray, toxic: np.ndar
 
 def _features(batches):
     for batch in batches:
-        for part in pieces(batch, "text", 1_000_000):
+        for part in pieces(batch, "text", PIECE_BYTES):
             offsets, code = tokens(part.column("text"))
             h = hashes(code.dictionary.to_pylist()).astype("<i4")[code.indices.to_numpy()]
             rows = [h[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -238,7 +240,7 @@ def _binned(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            for part in pieces(batch, "text", 1_000_000):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 offsets, code = tokens(part.column("text"))
                 h, at = hashes(code.dictionary.to_pylist()), code.indices.to_numpy()
                 z = logits(_embed(h, m["tables"]), at, offsets, m)
@@ -267,7 +269,7 @@ def _score(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            for part in pieces(batch, "text", 1_000_000):
+            for part in pieces(batch, "text", PIECE_BYTES):
                 offsets, code = tokens(part.column("text"))
                 h, at = hashes(code.dictionary.to_pylist()), code.indices.to_numpy()
                 z = logits(_embed(h, m["tables"]), at, offsets, m) - m["thresholds"][guess_language(h, at, offsets, m)]
@@ -280,6 +282,7 @@ def _score(model):
 def score(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text, lang) by labels (doc_id, toxic)."""
     model = train(docs, labels, per_class)
+    trim()
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     if not model:
         rows = rows.select("doc_id", "held_out", F.lit(0.0).alias("score"))
@@ -304,4 +307,5 @@ def _keep(model):
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 2500) -> DataFrame:
     """The rows of docs that the classifier does not reject, with all their columns."""
     model = train(docs, labels, per_class)
+    trim()
     return docs.mapInArrow(lean(_keep(docs.sparkSession.sparkContext.broadcast(model))), docs.schema) if model else docs
