@@ -31,9 +31,9 @@ MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE_RUNS = 150_000
+CACHE_RUNS = 120_000
 #: Bytes of text encoded at a time: the library's results for new runs take many times their text.
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 500_000
 
 
 def _fields(data: bytes):
