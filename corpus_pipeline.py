@@ -19,7 +19,7 @@ from hunkmill.llm.queries import tokenizer_path
 
 
 #: Rows of an Arrow batch: whole texts are large, and a stage's memory grows with what is under way.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def small_batches(stage):
