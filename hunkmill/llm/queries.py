@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language_id, media, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
+from . import exact_dedup, jaccard_join, language_id, media, merkle, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_store": op9_token_store,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: Letters that op3 lower-cases.
@@ -83,6 +88,17 @@ def _matches(kind: int, pattern: str, group: int, least: int) -> str:
         FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT *, string_split_regex(s, '{pattern}') AS parts, regexp_extract_all(s, '{pattern}') AS found, regexp_extract_all(s, '{pattern}', {group}) AS vals FROM t)) WHERE length(vals[i]) >= {least}"""
 
 
+def _leaf(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _levels(name: str, bottom: str) -> str:
+    """The levels of trees whose bottom is the table `bottom` (tree, pos, n, node)."""
+    return f"""{name} AS (SELECT 0 AS level, tree, pos, n, node FROM {bottom} UNION ALL
+        SELECT any_value(level) + 1, tree, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, pos // 16)"""
+
+
 ORACLE_SQL = {
     "op1_secret_scan": f"""
         WITH t AS (SELECT doc_id, coalesce(text, '') AS s, coalesce(CAST(source AS VARCHAR), '?') AS owner, CAST(doc_id AS VARCHAR) AS repo FROM documents),
@@ -104,6 +120,34 @@ ORACLE_SQL = {
         links AS (SELECT a, b FROM pairs WHERE 100 * common >= 80 * (na + nb - common) UNION SELECT b, a FROM pairs WHERE 100 * common >= 80 * (na + nb - common)),
         reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
         SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, min(r.b)) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(g)""",
+    "op11_merkle_manifest": f"""
+        WITH RECURSIVE low AS (SELECT *, translate(text, '{_UPPER}', '{_UPPER.lower()}') AS lower_text FROM documents),
+        d AS (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("lower_text")} AS lowered, row_number() OVER (ORDER BY doc_id) AS id FROM low),
+        b AS (SELECT *, CAST(dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS BIGINT) AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                     count(*) OVER (PARTITION BY source) AS n FROM d),
+        bottom AS (SELECT tree, pos, n, leaf AS node FROM b),
+        {_levels("own", "bottom")},
+        tops AS (SELECT CAST(0 AS BIGINT) AS tree, tree AS pos, count(*) OVER () AS n, node FROM own WHERE n = 1),
+        {_levels("upper", "tops")},
+        root AS (SELECT node FROM upper WHERE n = 1),
+        crc AS (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+        crcs AS (SELECT list(v ORDER BY i) AS t FROM crc),
+        hit AS (SELECT id, xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS UBIGINT))),
+                       lambda c, x: xor(t[CAST((xor(c, x) & 255) AS BIGINT) + 1], c >> 8)), CAST(4294967295 AS UBIGINT)) % 5 = 0 AS is_hit FROM d, crcs),
+        up(level, tree, pos, n, i, before, after, high) AS (
+            SELECT level, tree, pos, n, pos, coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+                   coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), false FROM own WHERE n > 1
+            UNION ALL
+            SELECT level, tree, pos, n, pos, coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''),
+                   coalesce(string_agg(node, '') OVER (PARTITION BY level, tree, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), ''), true FROM upper WHERE n > 1),
+        steps AS (SELECT b.id, up.high, up.level, before, after FROM b JOIN up ON NOT up.high AND up.tree = b.tree AND up.pos = b.pos // CAST(power(16, up.level) AS BIGINT)
+                  UNION ALL SELECT b.id, up.high, up.level, before, after FROM b JOIN up ON up.high AND up.pos = b.tree // CAST(power(16, up.level) AS BIGINT)),
+        path AS (SELECT id, list({{'before': before, 'after': after}} ORDER BY high, level) AS p, string_agg(before || after, '' ORDER BY high, level) AS joined FROM steps GROUP BY id),
+        start AS (SELECT b.*, coalesce(path.p, []) AS p, coalesce(path.joined, '') AS joined, CASE WHEN coalesce(is_hit, false) THEN lowered ELSE leaf END AS seen FROM b LEFT JOIN path USING (id) LEFT JOIN hit USING (id)),
+        fold AS (SELECT id, 0 AS k, seen AS node FROM start UNION ALL SELECT f.id, k + 1, sha256(s.p[k + 1].before || f.node || s.p[k + 1].after) FROM fold f JOIN start s USING (id) WHERE k < len(s.p)),
+        folded AS (SELECT id, arg_max(node, k) AS folded_root FROM fold GROUP BY id)
+        SELECT doc_id, leaf, tops.node AS subroot, root.node AS root, sha256(joined) AS proof_sha256, folded_root, folded_root = root.node AS verified
+        FROM start JOIN folded USING (id) JOIN tops ON tops.pos = start.tree CROSS JOIN root""",
     "op10_exact_dedup": rf"""
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{SPACE_CLASS}', '', 'g') AS norm FROM documents),
         w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
