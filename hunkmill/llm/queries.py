@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hard_negatives, jaccard_join, language_id, media, merkle, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
+from . import exact_dedup, hard_negatives, jaccard_join, language_id, main_text, media, merkle, mixing, secrets, sentence_pieces, sharding, token_store, toxicity
 from .common import table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -71,6 +71,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_main_text": op13_main_text,
 }
 
 #: Letters that op3 lower-cases.
