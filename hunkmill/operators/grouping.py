@@ -47,12 +47,33 @@ def renames(symbols: DataFrame, pseudo: bool = True) -> DataFrame:
     return out.filter("n >= 3").select("split_id", "key", "n", F.lit(0.95).alias("score"), F.transform("c", lambda x: x.change_id).alias("change_ids"), "first")
 
 
+def _within(stem: Column) -> Column:
+    """All distinct parts of a name, the empty one too."""
+    n = F.char_length(stem)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(stem, i, k))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(n > 0, parts).otherwise(F.array().cast("array<string>"))))
+
+
+def related_files(added: DataFrame, gone: DataFrame) -> DataFrame:
+    """split_id, a_file, d_file: the pairs of files for which S.files_related holds. A name that lies within another is one of
+    its parts, so files meet by equality on parts: the cost is that of the names' lengths, not additions times deletions."""
+
+    def keys(rows: DataFrame, file: str, own: str, parts: str) -> DataFrame:
+        stem = F.element_at(F.split(S.base_name(F.col(file)), r"\."), 1)
+        key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+        found = F.concat(F.array(key("dir", S.directory(F.col(file))), key(own, stem)), F.transform(_within(stem), lambda x: key(parts, x)))
+        return rows.select("split_id", file).distinct().select("split_id", file, F.explode(found).alias("k")).select("split_id", file, "k.kind", F.coalesce("k.value", F.lit("\0")).alias("value"))
+
+    left, right = keys(added, "a_file", "a stem", "d stem"), keys(gone, "d_file", "d stem", "a stem")
+    return left.join(right, ["split_id", "kind", "value"]).select("split_id", "a_file", "d_file").distinct()
+
+
 def extractions(changes: DataFrame, symbols: DataFrame) -> DataFrame:
     """split_id, key (added change), n, score, change_ids: an addition that defines something, and the deletions in the same or related files."""
     defining = symbols.filter(F.col("type").isin("function", "class")).select("split_id", "change_id").distinct()
     added = changes.filter("type = 'add'").join(defining, ["split_id", "change_id"], "left_semi").select("split_id", F.col("change_id").alias("key"), F.col("change_ord").alias("first"), F.col("file").alias("a_file"))
     gone = changes.filter("type = 'delete'").select("split_id", "change_id", "change_ord", F.col("file").alias("d_file"))
-    pairs = added.join(gone, "split_id").filter((F.col("a_file") == F.col("d_file")) | S.files_related(F.col("d_file"), F.col("a_file")))
+    pairs = added.join(related_files(added, gone), ["split_id", "a_file"]).join(gone, ["split_id", "d_file"])
     out = pairs.groupBy("split_id", "key", "first").agg(ordered_ids().alias("gone"))
     return out.select("split_id", "key", (F.size("gone") + 1).alias("n"), F.lit(0.9).alias("score"), F.concat(F.array("key"), "gone").alias("change_ids"), "first")
 

@@ -225,6 +225,11 @@ def merge_candidates(candidates: list[list[str]], sizes: dict[str, int], ring: d
     return out
 
 
+def parts_of(name: str) -> set[str]:
+    """All parts of a name, the empty one too."""
+    return {name[i:j] for i in range(len(name) + 1) for j in range(i, len(name) + 1)}
+
+
 def families(changes: list[dict], symbols: list[dict]) -> list[tuple[str, float, list[str]]]:
     """(id, score, change ids) of all groups of one change set, in their fixed order. changes: ordered, with change_id,
     change_ord, file, type, line_start, line_end, dir, parent (null at the root), stem, group_layer; symbols: ordered, with
@@ -252,12 +257,22 @@ def families(changes: list[dict], symbols: list[dict]) -> list[tuple[str, float,
     first = lambda name: (min(order.get(c, 0) for c in held[name]), name)
     out += [(f"rename_{i}", 0.95, in_order(held[name])) for i, name in enumerate(sorted((n for n, k in times.items() if k >= 3), key=first))]
     gone = [c for c in changes if c["type"] == "delete"]
+    made = [c for c in changes if c["type"] == "add" and kinds[c["change_id"]] & {"function", "class"}]
+    # Deletions by directory, by name, and by each part of their name that is an addition's name.
+    stems = {c["stem"] for c in made}
+    in_dir, named, around = defaultdict(list), defaultdict(list), defaultdict(list)
+    for i, d in enumerate(gone):
+        in_dir[d["parent"]].append(i)
+        named[d["stem"]].append(i)
+        for part in parts_of(d["stem"]) & stems if made else ():
+            around[part].append(i)
     found = []
-    for c in changes:
-        if c["type"] == "add" and kinds[c["change_id"]] & {"function", "class"}:
-            own = [d["change_id"] for d in gone if d["parent"] == c["parent"] or d["stem"] in c["stem"] or c["stem"] in d["stem"]]
-            if own:
-                found.append([c["change_id"], *own])
+    for c in made:
+        own = {*in_dir.get(c["parent"], ()), *around.get(c["stem"], ())}
+        if named:
+            own.update(*(named[part] for part in parts_of(c["stem"]) if part in named))
+        if own:
+            found.append([c["change_id"], *(gone[i]["change_id"] for i in sorted(own))])
     out += [(f"extract_{i}", 0.9, own) for i, own in enumerate(found)]
     names = defaultdict(dict)
     for x in symbols:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from . import versions
 
 
 _SPLIT = ",".join(x.strip().replace(" ", ":", 1) for x in ("goal_summary string", "patches array<struct<id:int,name:string,filename:string,state:string>>"))
@@ -86,10 +87,11 @@ def patch_by_name(patches: DataFrame, split_id: str, filename: str) -> DataFrame
 
 
 def snapshot(commits: DataFrame, path: str, n: int = 50) -> DataFrame:
-    """Writes the newest n commits of each repository and branch as the listing's snapshot and reads it back."""
+    """Makes the newest n commits of each repository and branch the listing's snapshot and reads it back; readers see the
+    rows before or the new ones, never a part."""
     nth = F.row_number().over(Window.partitionBy("repo", "branch").orderBy(F.desc("at"), "sha"))
-    commits.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth").write.mode("overwrite").partitionBy("repo").parquet(path)
-    return commits.sparkSession.read.parquet(path)
+    versions.replace(commits.withColumn("nth", nth).filter(F.col("nth") <= n).drop("nth"), path, "repo", whole=True)
+    return versions.read(commits.sparkSession, path)
 
 
 def read_config(path: str) -> dict:
@@ -141,6 +143,6 @@ def pull_rows(pulls: DataFrame) -> DataFrame:
 
 
 def write_progress(rows: DataFrame, path: str, repository: str) -> None:
-    """Writes one repository's rows of a snapshot by folders, replacing what it had there and nothing else: a run that is
+    """Makes one repository's rows of a snapshot current, in place of what it had there and nothing else: a run that is
     repeated, or ends half-way, leaves whole repositories."""
-    rows.filter(F.col("repo") == repository).drop("repo").write.mode("overwrite").parquet(f"{path}/repo={repository}")
+    versions.replace(rows.filter(F.col("repo") == repository), path, "repo")
