@@ -59,8 +59,9 @@ def dedup_report(docs: DataFrame, filter_bits: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
     seen, bits = _filter(docs, filter_bits)
     norm = docs.select("doc_id", normalised(F.col("text")).alias("norm"), F.coalesce(F.char_length("text"), F.lit(0)).alias("n_code"))
-    norm = possibly_repeated(norm.withColumn("h", F.xxhash64("norm")), seen, bits)
-    rows = materialise(norm.select("doc_id", "n_code", "candidate", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "dedup")
+    # Texts end here: a filter too large to broadcast is met by narrow rows alone.
+    norm = norm.select("doc_id", "n_code", F.xxhash64("norm").alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    rows = materialise(possibly_repeated(norm, seen, bits).drop("h"), "dedup")
     alone = rows.filter(~F.col("candidate")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = rows.filter("candidate").groupBy("text_sha256", "doc_id", "n_code").agg(F.count(F.lit(1)).alias("copies"))
     best = some.groupBy("text_sha256").agg(F.sum("copies").alias("group_size"), F.min(_rank("doc_id", "n_code")).alias("best"))

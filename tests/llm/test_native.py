@@ -154,3 +154,25 @@ def test_words_of_slices():
         ascii_lower = {i: i + 32 for i in range(65, 91)}
         want = [re.findall("[^\x20\x09-\x0D]+", (t or "").translate(ascii_lower)) for t in part.to_pylist()]
         assert [flat.slice(a, b - a).to_pylist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == want
+
+
+def test_no_text_meets_a_filter_too_large_to_broadcast(spark, monkeypatch):
+    """Beyond the broadcast bound the report's shuffles carry ids, lengths and hashes, no text; the result is the same."""
+    from hunkmill.llm import common
+
+    df = awkward(spark)
+    want = sorted(map(str, exact_dedup.dedup_report(df).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BITS", 1)
+    plans = []
+    keep = exact_dedup.materialise
+
+    def seen(out, name):
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return keep(out, name)
+
+    monkeypatch.setattr(exact_dedup, "materialise", seen)
+    assert sorted(map(str, exact_dedup.dedup_report(df).collect())) == want
+    joins = [line for line in plans[0].split("\n") if "Join" in line]
+    assert joins and "text#" not in plans[0].split("Project")[1]
+    top = plans[0][: plans[0].rindex("Join")]
+    assert "norm#" not in top
