@@ -143,6 +143,35 @@ def separable(found: DataFrame, deps: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.select("split_id", "a", "b", (F.col("__strong").isNull() & ~F.coalesce(F.col("__a") == F.col("__b"), F.lit(False))).alias("separable"))
 
 
+def simple_cycles(edges: DataFrame) -> DataFrame:
+    """split_id, nth, nodes of every simple cycle of edges (split_id, source, target), each from its least node, in the order
+    of their nodes. Cycles are made one at a time; their number may be exponential in a change set's edges."""
+    kind = edges.schema["source"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for split, own in zip(pdf.split_id, pdf.edges, strict=True):
+                pairs = [(e["source"], e["target"]) for e in own]
+                found = enumerate(kernels.simple_cycles(sorted({n for p in pairs for n in p}), pairs))
+                while part := list(itertools.islice(found, 10_000)):
+                    yield pd.DataFrame({"split_id": split, "nth": [i for i, _ in part], "nodes": [c for _, c in part]})
+
+    return _packed(edges).mapInPandas(run, f"split_id string, nth long, nodes array<{kind}>")
+
+
+def order_without_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """split_id, node, place, failed for nodes (split_id, node) and edges (split_id, source, target), a source after its
+    targets: of each simple cycle the edge from its last node to its least is cut; where one edge closes two cycles that
+    fails, and nodes are in their own order."""
+    packed = nodes.groupBy("split_id").agg(F.array_sort(F.collect_set("node")).alias("nodes")).join(_packed(edges), "split_id", "left")
+
+    def work(split, own, pairs):
+        order, _, failed = kernels.order_without_cycles(list(own), [] if pairs is None else [(e["source"], e["target"]) for e in pairs])
+        yield from ((split, n, i, failed) for i, n in enumerate(order))
+
+    return _kernel(packed, work, f"split_id string, node {nodes.schema['node'].dataType.simpleString()}, place int, failed boolean")
+
+
 def critical_paths(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     """split_id, path: every simple path of over two changes from one that nothing leads to, to one that leads nowhere.
     Paths are made one at a time; their number may be exponential in a change set's edges."""

@@ -96,15 +96,34 @@ def shared_names(symbols: DataFrame) -> DataFrame:
     return names.join(common, ["split_id", "name"]).groupBy("split_id", "change_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
 
 
+def name_sets(symbols: DataFrame, holders: int = 1) -> DataFrame:
+    """split_id, change_ord, change_id, names: of each change the names that so many changes hold at least, rare ones first."""
+    held = symbols.select("split_id", "name", "change_id", "change_ord").distinct()
+    times = held.groupBy("split_id", "name").agg(F.count(F.lit(1)).alias("holders")).filter(F.col("holders") >= holders)
+    rows = held.join(times, ["split_id", "name"]).groupBy("split_id", "change_ord", "change_id").agg(F.array_sort(F.collect_list(F.struct("holders", "name"))).alias("n"))
+    return rows.select("split_id", "change_ord", "change_id", F.transform("n", lambda x: x["name"]).alias("names"))
+
+
+def similar_keys(sets: DataFrame, over: float) -> DataFrame:
+    """split_id, id, key for sets (split_id, id, names): two sets with a Jaccard over `over` share a key. Keys hold the sizes
+    of both, and of a set only those rare names of which, for the other's size, one at least must be common."""
+    sizes = sets.groupBy("split_id").agg(F.collect_set(F.size("names")).alias("sizes"))
+    rows = sets.join(sizes, "split_id").withColumn("s", F.size("names"))
+    rows = rows.select("split_id", "id", "names", "s", F.explode(F.filter("sizes", lambda p: F.least(p, F.col("s")) > over * F.greatest(p, F.col("s")))).alias("p"))
+    least = F.floor(F.lit(over / (1 + over)) * (F.col("s") + F.col("p")) - 1e-9).cast("int") + 1
+    rows = rows.select("split_id", "id", "s", "p", F.explode(F.slice("names", F.lit(1), F.greatest(F.col("s") - least + 1, F.lit(0)))).alias("name"))
+    return rows.select("split_id", "id", F.struct("name", F.least("s", "p").alias("low"), F.greatest("s", "p").alias("high")).alias("key")).distinct()
+
+
 def similar_pairs(symbols: DataFrame, over: float = 0.3) -> DataFrame:
-    """split_id, a, b, similarity of changes that share a name, with a Jaccard over `over`; a before b. Only pairs with
-    a common name are formed."""
-    names = symbols.select("split_id", "name", "change_id").distinct()
-    size = names.groupBy("split_id", "change_id").agg(F.count(F.lit(1)).alias("size"))
-    left = names.select("split_id", "name", F.col("change_id").alias("a"))
-    common = left.join(names.withColumnRenamed("change_id", "b"), ["split_id", "name"]).filter("a < b").groupBy("split_id", "a", "b").agg(F.count(F.lit(1)).alias("common"))
-    out = common.join(size.select("split_id", F.col("change_id").alias("a"), F.col("size").alias("sa")), ["split_id", "a"]).join(size.select("split_id", F.col("change_id").alias("b"), F.col("size").alias("sb")), ["split_id", "b"])
-    return out.withColumn("similarity", F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))).filter(F.col("similarity") > over).select("split_id", "a", "b", "similarity")
+    """split_id, a, b, similarity of changes with a Jaccard of their names over `over`; a before b. Changes meet by keys of
+    rare names and sizes, so a name that most changes hold pairs only those that it can make similar."""
+    sets = name_sets(symbols).select("split_id", F.col("change_id").alias("id"), "names")
+    keys = similar_keys(sets, over)
+    pairs = keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), ["split_id", "key"]).filter("a < b").select("split_id", "a", "b").distinct()
+    side = lambda c: sets.select("split_id", F.col("id").alias(c), F.col("names").alias(f"{c}_names"))
+    rows = pairs.join(side("a"), ["split_id", "a"]).join(side("b"), ["split_id", "b"]).withColumn("common", F.size(F.array_intersect("a_names", "b_names")))
+    return rows.withColumn("similarity", F.col("common") / (F.size("a_names") + F.size("b_names") - F.col("common"))).filter(F.col("similarity") > over).select("split_id", "a", "b", "similarity")
 
 
 def keep_uncovered(groups: DataFrame) -> DataFrame:

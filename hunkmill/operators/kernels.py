@@ -93,6 +93,65 @@ def prerequisite_order(nodes: list, edges: list[tuple]) -> tuple[list, list[tupl
             cut.append(back)
 
 
+def simple_cycles(nodes: list, edges: list[tuple]):
+    """Every cycle that meets no node twice, one at a time: each from its first node in the order of nodes, cycles in the
+    order of their nodes. A node from which the start was not reached stays closed until one after it is freed."""
+    place = {n: i for i, n in enumerate(nodes)}
+    after = defaultdict(list)
+    for a, b in sorted({e for e in edges if e[0] in place and e[1] in place}, key=lambda e: (place[e[0]], place[e[1]])):
+        after[a].append(b)
+    for start in nodes:
+        if start in after[start]:
+            yield [start]
+        later = [n for n in nodes if place[n] >= place[start]]
+        rings = components(later, [(a, b) for a in later for b in after[a] if place[b] >= place[start]])
+        own = next((set(r) for r in rings if start in r), None)
+        if own is None:
+            continue
+        step = {v: [w for w in after[v] if w in own and w != v] for v in own}
+        closed, waits, reached = {start}, defaultdict(set), set()
+        path, stack = [start], [iter(step[start])]
+        while stack:
+            v = path[-1]
+            for w in stack[-1]:
+                if w == start:
+                    reached.update(path)
+                    yield list(path)
+                elif w not in closed:
+                    path.append(w)
+                    stack.append(iter(step[w]))
+                    closed.add(w)
+                    reached.discard(w)
+                    break
+            else:
+                if v in reached:
+                    free = [v]
+                    while free:
+                        n = free.pop()
+                        if n in closed:
+                            closed.discard(n)
+                            free.extend(waits.pop(n, ()))
+                else:
+                    for w in step[v]:
+                        waits[w].add(v)
+                stack.pop()
+                path.pop()
+
+
+def order_without_cycles(nodes: list, edges: list[tuple]) -> tuple[list, list[tuple], bool]:
+    """Nodes with prerequisites first, for edges (dependent, prerequisite), the edges cut, and whether it failed.
+
+    Of every simple cycle the edge from its last node to its first is cut. Where an edge would be cut twice, the order is
+    that of nodes: so no more cycles are looked at than there are edges.
+    """
+    cut: dict[tuple, None] = {}
+    for ring in simple_cycles(nodes, [e for e in edges if e[0] != e[1]]):
+        if (ring[-1], ring[0]) in cut:
+            return list(nodes), list(cut), True
+        cut[ring[-1], ring[0]] = None
+    return prerequisite_order(nodes, [e for e in edges if e not in cut])[0], list(cut), False
+
+
 def longest_chain(depends_on: dict[int, list[int]]) -> int:
     """Nodes on the longest chain of dependencies; 0 for none. An edge that would close a cycle is not followed."""
     best: dict[int, int] = {}

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import graph, splitting
+from . import graph, grouping, splitting
 
 #: Edges, or names of changes, of a change set that one worker takes.
 MOST = 1_000_000
@@ -162,25 +162,6 @@ def _places(rows: DataFrame, work: _Work) -> DataFrame:
     return dealt.withColumn("part", part).join(sizes, ["split_id", "part"]).select("split_id", "change_id", F.col("level").cast("int").alias("level"), (F.col("at") + F.col("shift")).alias("place"))
 
 
-def _name_sets(symbols: DataFrame) -> DataFrame:
-    """split_id, change_ord, change_id, names: of each change the names that another has too, rare ones first."""
-    held = symbols.select("split_id", "name", "change_id", "change_ord").distinct()
-    common = held.groupBy("split_id", "name").agg(F.count(F.lit(1)).alias("holders")).filter("holders >= 2")
-    rows = held.join(common, ["split_id", "name"]).groupBy("split_id", "change_ord", "change_id").agg(F.array_sort(F.collect_list(F.struct("holders", "name"))).alias("n"))
-    return rows.select("split_id", "change_ord", "change_id", F.transform("n", lambda x: x["name"]).alias("names"))
-
-
-def _keys(sets: DataFrame, over: float) -> DataFrame:
-    """split_id, change_ord, key: two sets with a Jaccard over `over` share a key. Keys hold the sizes of both, and of a set
-    only those rare names of which, for the other's size, one at least must be common."""
-    sizes = sets.groupBy("split_id").agg(F.collect_set(F.size("names")).alias("sizes"))
-    rows = sets.join(sizes, "split_id").withColumn("s", F.size("names"))
-    rows = rows.select("split_id", "change_ord", "names", "s", F.explode(F.filter("sizes", lambda p: F.least(p, F.col("s")) > over * F.greatest(p, F.col("s")))).alias("p"))
-    least = F.floor(F.lit(over / (1 + over)) * (F.col("s") + F.col("p")) - 1e-9).cast("int") + 1
-    rows = rows.select("split_id", "change_ord", "s", "p", F.explode(F.slice("names", F.lit(1), F.greatest(F.col("s") - least + 1, F.lit(0)))).alias("name"))
-    return rows.select("split_id", "change_ord", F.struct("name", F.least("s", "p").alias("low"), F.greatest("s", "p").alias("high")).alias("key")).distinct()
-
-
 def _similar(pairs: DataFrame, sets: DataFrame, over: float) -> DataFrame:
     """pairs (split_id, a, b) whose sets have a Jaccard over `over`."""
     side = lambda c: sets.select("split_id", F.col("change_ord").alias(c), F.col("names").alias(f"{c}_names"))
@@ -201,11 +182,11 @@ def symbol_groups(symbols: DataFrame, over: float = 0.3, most: int = MOST, path:
     if large is None:
         return splitting.symbol_groups(symbols)
     work = _Work(symbols, path)
-    every = work.keep(_name_sets(large))
+    every = work.keep(grouping.name_sets(large, 2))
     first = every.groupBy("split_id", "names").agg(F.min("change_ord").alias("rep"))
     member = work.keep(every.join(first, ["split_id", "names"]).select("split_id", "rep", "change_ord", "change_id"))
     sets = work.keep(first.select("split_id", F.col("rep").alias("change_ord"), "names"))
-    keys = work.keep(_keys(sets, over))
+    keys = work.keep(grouping.similar_keys(sets.withColumnRenamed("change_ord", "id"), over).withColumnRenamed("id", "change_ord"))
     undecided = work.keep(sets.select("split_id", "change_ord"))
     taken = work.keep(undecided.limit(0).select("split_id", F.col("change_ord").alias("a"), F.col("change_ord").alias("b")))
     left, paired = undecided.count(), False

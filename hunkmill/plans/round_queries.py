@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rounds
+from ..operators import graph, rounds, splitting
 from ..sources import catalog as scans
 from ..sources import versions
 from . import adapters, queries
@@ -59,3 +59,48 @@ def replaced_snapshot(spark, sf_dir):
     scans.snapshot(rows, path)
     scans.write_progress(rows, path, "3")
     return versions.read(spark, path).select("repo", "branch", "sha")
+
+
+#: Patches by layer that need each other, with each pair turned round too where the change set is even: graphs with cycles.
+_PATCH_EDGES = queries.ORACLE_SQL["patch_dependencies"]
+_RINGS = f"""
+, e0 AS ({{edges}}),
+e AS (SELECT DISTINCT split_id, patch_id AS source, needs AS target FROM e0 WHERE patch_id <> needs UNION SELECT split_id, needs, patch_id FROM e0 WHERE patch_id <> needs AND CAST(split_id AS BIGINT) % 2 = 0),
+walk AS (SELECT split_id, source AS start, [source, target] AS nodes FROM e WHERE target > source
+         UNION ALL SELECT w.split_id, w.start, list_append(w.nodes, e.target) FROM walk w JOIN e ON e.split_id = w.split_id AND e.source = w.nodes[-1] WHERE e.target > w.start AND NOT list_contains(w.nodes, e.target)),
+rings AS (SELECT w.split_id, w.start, w.nodes FROM walk w JOIN e ON e.split_id = w.split_id AND e.source = w.nodes[-1] AND e.target = w.start)"""
+
+
+def _with_rings(select: str) -> str:
+    """The edges' SQL is one WITH statement: its last SELECT becomes a table, and recursion is allowed."""
+    sql = _PATCH_EDGES.strip()
+    at = sql.rindex("SELECT DISTINCT d.split_id")
+    return sql[:at].replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + _RINGS.format(edges=sql[at:]) + select
+
+
+def _ring_edges(spark, sf_dir):
+    rows = queries.patch_dependencies(spark, sf_dir).filter("patch_id <> needs").select("split_id", F.col("patch_id").alias("source"), F.col("needs").alias("target"))
+    back = rows.filter(F.col("split_id").cast("long") % 2 == 0).select("split_id", F.col("target").alias("source"), F.col("source").alias("target"))
+    return rows.unionByName(back).distinct()
+
+
+@query(_with_rings(" SELECT split_id, row_number() OVER (PARTITION BY split_id ORDER BY nodes) - 1 AS nth, array_to_string(nodes, '>') AS nodes FROM rings"))
+def patch_cycles(spark, sf_dir):
+    """All simple cycles of patch graphs."""
+    found = graph.simple_cycles(_ring_edges(spark, sf_dir))
+    return found.select("split_id", "nth", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("nodes"))
+
+
+@query(_with_rings("""
+, cut AS (SELECT DISTINCT split_id, nodes[-1] AS source, start AS target FROM rings),
+odd AS (SELECT split_id, count(*) > count(DISTINCT (nodes[-1], start)) AS failed FROM rings GROUP BY 1),
+left_ AS (SELECT * FROM e ANTI JOIN cut USING (split_id, source, target)),
+n AS (SELECT split_id, source AS node FROM e UNION SELECT split_id, target FROM e),
+lv AS (SELECT split_id, node, 0 AS level FROM n UNION SELECT l.split_id, l.source, lv.level + 1 FROM lv JOIN left_ l ON l.split_id = lv.split_id AND l.target = lv.node),
+m AS (SELECT split_id, node, max(level) AS level FROM lv GROUP BY 1, 2)
+SELECT m.split_id, node, CAST(row_number() OVER (PARTITION BY m.split_id ORDER BY CASE WHEN coalesce(failed, false) THEN 0 ELSE level END, node) - 1 AS INTEGER) AS place, coalesce(failed, false) AS failed FROM m LEFT JOIN odd USING (split_id)"""))
+def patch_order_without_cycles(spark, sf_dir):
+    """G12 as surveyed: of every cycle the edge from last to first is cut; where that fails, patches keep their order."""
+    edges = _ring_edges(spark, sf_dir)
+    nodes = edges.select("split_id", F.col("source").alias("node")).unionByName(edges.select("split_id", F.col("target").alias("node"))).distinct()
+    return graph.order_without_cycles(nodes, edges)

@@ -1,8 +1,9 @@
+import itertools
 import random
 
 import pytest
 
-from hunkmill.operators import graph, kernels, rounds, splitting
+from hunkmill.operators import graph, grouping, kernels, rounds, splitting
 
 
 @pytest.fixture(scope="module")
@@ -62,9 +63,9 @@ def test_clusters_by_rounds_are_those_of_the_kernel(spark, few, tmp_path, monkey
 def test_keys_meet_for_every_similar_pair(spark):
     """The keys' filter loses none: against all pairs."""
     df = symbols(spark, names(11, changes=60, vocabulary=30, most=8))
-    sets = rounds._name_sets(df).persist()
-    keys = rounds._keys(sets, 0.3)
-    got = {(r.a, r.b) for r in keys.withColumnRenamed("change_ord", "a").join(keys.withColumnRenamed("change_ord", "b"), ["split_id", "key"]).filter("a < b").select("a", "b").distinct().collect()}
+    sets = grouping.name_sets(df, 2).persist()
+    keys = grouping.similar_keys(sets.withColumnRenamed("change_ord", "id"), 0.3)
+    got = {(r.a, r.b) for r in keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), ["split_id", "key"]).filter("a < b").select("a", "b").distinct().collect()}
     own = {r.change_ord: set(r.names) for r in sets.collect()}
     similar = {(a, b) for a in own for b in own if a < b and len(own[a] & own[b]) / len(own[a] | own[b]) > 0.3}
     assert similar <= got and len(got) < len(own) * (len(own) - 1) / 2
@@ -91,3 +92,29 @@ def test_nothing_to_do(spark, tmp_path):
     nodes, deps = tables(spark, [("s0", "n00", "n01", 1.0)])
     assert rounds.cycles(deps.limit(0)).count() == 0 and rounds.cycles(deps, most=0, path=str(tmp_path)).count() == 0
     assert kernels.symbol_clusters({}) == [] and rounds.levels(nodes, deps.limit(0)).count() == 14
+
+
+def test_simple_cycles_are_all_and_in_order():
+    rnd = random.Random(1)
+    for _ in range(200):
+        n = rnd.randint(1, 6)
+        edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randint(0, 14))]
+        want = [list(c) for r in range(1, n + 1) for c in itertools.permutations(range(n), r) if c[0] == min(c) and all((c[i], c[(i + 1) % r]) in edges for i in range(r))]
+        assert list(kernels.simple_cycles(list(range(n)), edges)) == sorted(want)
+
+
+def test_order_without_cycles():
+    assert kernels.order_without_cycles([0, 1, 2], [(0, 1), (1, 2)]) == ([2, 1, 0], [], False)
+    assert kernels.order_without_cycles([0, 1, 2], [(0, 1), (1, 0), (1, 2)]) == ([2, 1, 0], [(1, 0)], False)
+    order, cut, failed = kernels.order_without_cycles([0, 1, 2], [(0, 1), (1, 2), (0, 2), (2, 0)])  # two cycles end in 2 -> 0
+    assert (order, failed) == ([0, 1, 2], True) and cut == [(2, 0)]
+    many = [(a, b) for a in range(40) for b in range(40)]  # more cycles than can be listed; the second closes what is cut
+    assert kernels.order_without_cycles(list(range(40)), many)[2]
+
+
+def test_similar_pairs_are_those_of_all_pairs(spark):
+    rows = names(13, changes=50, vocabulary=20)
+    own = {c: {n for _, _, d, n in rows if d == c} for _, _, c, _ in rows}
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
+    got = {(r.a, r.b): r.similarity for r in grouping.similar_pairs(symbols(spark, rows)).collect()}
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v > 0.3}
