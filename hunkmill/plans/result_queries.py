@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import catalog, deps, graph, quality, splitting
 from ..sources import catalog as scans
 from ..sources import diffs, sinks
-from . import adapters
+from . import adapters, queries
 from .adapters import cte, table
 from .queries import _layer_parts, _layer_patches, _usage_deps, joined, query, r9
 
@@ -409,11 +409,20 @@ def summarised_patches(spark, sf_dir):
         splitting.SUMMARIZERS.pop()
 
 
-@query(cte(", e AS (SELECT split_id, source AS a, target AS b, strength FROM deps) SELECT split_id, a, b, strength < 1 AND NOT EXISTS (SELECT 1 FROM e x WHERE x.split_id = e.split_id AND x.a = e.b AND x.b = e.a) AS separable FROM e WHERE NOT EXISTS (SELECT 1 FROM e y JOIN e z ON z.split_id = y.split_id AND z.a = y.b WHERE y.split_id = e.split_id AND y.a = e.b AND y.b <> e.a)"))
+@query(queries._recursive(queries._REACH_SQL + """
+SELECT d.split_id, d.source AS a, d.target AS b, NOT EXISTS (SELECT 1 FROM reach r WHERE r.split_id = d.split_id AND r.source = d.target AND r.target = d.source)
+       AND NOT EXISTS (SELECT 1 FROM deps s WHERE s.split_id = d.split_id AND s.strength >= 1 AND ((s.source = d.source AND s.target = d.target) OR (s.source = d.target AND s.target = d.source))) AS separable
+FROM (SELECT DISTINCT split_id, source, target FROM deps) d"""))
 def separable_pairs(spark, sf_dir):
-    """May the two changes of an edge be parted? Edges whose target leads on to a third change are left to inseparable_changes."""
+    """May the two changes of an edge be parted? For every edge."""
     edges = _usage_deps(spark, sf_dir)
-    own = edges.select("split_id", F.col("source").alias("a"), F.col("target").alias("b"))
-    onward = own.join(own.select("split_id", F.col("a").alias("b"), F.col("b").alias("c")), ["split_id", "b"]).filter("c <> a").join(own.select("split_id", F.col("a").alias("c")).distinct(), ["split_id", "c"], "left_semi")
-    pairs = own.join(onward.select("split_id", "a", "b").distinct(), ["split_id", "a", "b"], "left_anti")
+    pairs = edges.select("split_id", F.col("source").alias("a"), F.col("target").alias("b")).distinct()
     return graph.separable(graph.cycles(edges), edges, pairs)
+
+
+@query("SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '/r/' || s_name ELSE '' END AS path, CASE WHEN s_suppkey % 3 = 0 THEN 'in ' || s_nationkey ELSE '' END AS description FROM supplier")
+def listed_repositories(spark, sf_dir):
+    """the columns of a listed repository, with their defaults."""
+    rows = table(spark, sf_dir, "supplier")
+    held = lambda n, c: F.when(F.col("s_suppkey") % n == 0, c)
+    return scans.repository_rows(rows.select(F.col("s_name").alias("name"), held(2, F.concat(F.lit("/r/"), F.col("s_name"))).alias("path"), held(3, F.concat(F.lit("in "), F.col("s_nationkey").cast("string"))).alias("description")))
