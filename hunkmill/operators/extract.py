@@ -23,22 +23,26 @@ def added_lines(changes: DataFrame) -> DataFrame:
     return rows.withColumn("row", nth).select("split_id", "change_ord", "change_id", "file", "language", "row", (F.col("line_start") + F.col("row")).cast("int").alias("line"), F.substring("text", 2, 1 << 30).alias("code"))
 
 
-def definitions(lines: DataFrame) -> DataFrame:
-    """One row for each definition on lines (added_lines)."""
-    found = F.array().cast("array<struct<nth:int,name:string,type:string>>")
-    out = F.when(F.lit(False), found)
+def _definitions() -> Column:
+    """The definitions on a line, as (nth, name, type)."""
+    out = F.when(F.lit(False), F.array().cast("array<struct<nth:int,name:string,type:string>>"))
     for language, rules in DEFINITIONS.items():
         each = F.array(*[F.struct(F.lit(i).alias("nth"), F.regexp_extract("code", p, 1).alias("name"), F.lit(t).alias("type")) for i, (p, t) in enumerate(rules)])
         each = F.filter(each, lambda x: x["name"] != "")
         if language == "java":
             each = F.filter(each, lambda x: (x["type"] != "method") | ~x["name"].isin(*fixed.JAVA_WORDS))
         out = out.when(F.col("language") == language, each)
-    rows = lines.withColumn("d", F.explode(out))
+    return out
+
+
+def definitions(lines: DataFrame) -> DataFrame:
+    """One row for each definition on lines (added_lines)."""
+    rows = lines.withColumn("d", F.explode(_definitions()))
     return rows.select(*lines.columns, F.col("d.nth").alias("nth"), F.col("d.name").alias("name"), F.col("d.type").alias("type"))
 
 
-def imports(lines: DataFrame) -> DataFrame:
-    """split_id, change_id, row, alias, path of every import on lines."""
+def _imports() -> Column:
+    """The (alias, path) pairs that a line imports."""
     code = F.col("code")
     get = lambda pattern, i=1: F.regexp_extract(code, pattern, i)
     pair = lambda alias, path: F.struct(alias.alias("alias"), path.alias("path"))
@@ -53,8 +57,12 @@ def imports(lines: DataFrame) -> DataFrame:
     script = F.concat(when(has(js_named), F.transform(listed, lambda x: pair(x, get(js_named, 2)))), when(has(js_default), F.array(pair(get(js_default), get(js_default, 2)))), when(has(js_space), F.array(pair(get(js_space), get(js_space, 2)))))
     java_one = when(has(java) & (last(get(java), r"\.") != "*"), F.array(pair(last(get(java), r"\."), get(java))))
     language = F.col("language")
-    found = F.when(language == "go", go).when(language == "python", python).when(language.isin("javascript", "typescript"), script).when(language == "java", java_one)
-    return lines.withColumn("i", F.explode(found)).select("split_id", "change_id", "row", F.col("i.alias").alias("alias"), F.col("i.path").alias("path"))
+    return F.when(language == "go", go).when(language == "python", python).when(language.isin("javascript", "typescript"), script).when(language == "java", java_one)
+
+
+def imports(lines: DataFrame) -> DataFrame:
+    """split_id, change_id, row, alias, path of every import on lines."""
+    return lines.withColumn("i", F.explode(_imports())).select("split_id", "change_id", "row", F.col("i.alias").alias("alias"), F.col("i.path").alias("path"))
 
 
 def _uses(pairs: Column, nth: int, kind: str | None) -> Column:
@@ -65,8 +73,8 @@ def _uses(pairs: Column, nth: int, kind: str | None) -> Column:
     return F.transform(pairs, one)
 
 
-def usages(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """Uses of names whose alias is imported on the same or an earlier line of the hunk (known: imports)."""
+def _usages() -> Column:
+    """What a line may use, as (nth, at, alias, name, type)."""
     out = F.when(F.lit(False), F.array().cast("array<struct<nth:int,at:int,alias:string,name:string,type:string>>"))
     for language, rules in USAGES.items():
         if not rules:
@@ -76,28 +84,48 @@ def usages(lines: DataFrame, known: DataFrame) -> DataFrame:
             pairs = F.arrays_zip(F.regexp_extract_all("code", F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all("code", F.lit(p), F.lit(2)).alias("n"))
             parts.append(_uses(pairs, i, t))
         out = out.when(F.col("language") == language, F.concat(*parts))
-    rows = lines.withColumn("u", F.explode(out)).select(*lines.columns, "u.*")
-    keys = ["split_id", "change_id", "alias"]
-    seen = known.select(*keys, F.col("row").alias("i_row"), "path")
-    rows = rows.join(seen, keys).filter("i_row <= row")
-    rows = rows.groupBy("split_id", "change_id", "row", "nth", "at", "alias").agg(F.max_by("path", "i_row").alias("path"), *[F.first(c).alias(c) for c in ("change_ord", "file", "language", "line", "name", "type")])
-    java_type = (F.col("language") == "java") & (F.col("nth") == 0)
-    name = F.when(java_type, F.col("alias")).otherwise(F.col("name"))
+    return out
+
+
+_EVENT = "array<struct<part:int,nth:int,at:int,alias:string,name:string,type:string,path:string>>"
+
+
+def found(lines: DataFrame) -> DataFrame:
+    """Rows of lines (added_lines), one for each definition (part 0), use (1) and import (2) on them; a use comes with the path
+    that its alias was last imported from on its line or above, and is left out without one. One pass over the lines."""
+    nothing = F.lit(None).cast("string")
+    event = lambda part, nth, at, alias, name, kind, path: F.struct(F.lit(part).alias("part"), nth.alias("nth"), at.alias("at"), alias.alias("alias"), name.alias("name"), kind.alias("type"), path.alias("path"))
+    zero = F.lit(0)
+    events = [
+        F.transform(_definitions(), lambda d: event(0, d["nth"], zero, nothing, d["name"], d["type"], nothing)),
+        F.transform(_usages(), lambda u: event(1, u["nth"], u["at"], u["alias"], u["name"], u["type"], nothing)),
+        F.transform(_imports(), lambda i: event(2, zero, zero, i["alias"], F.lit("import"), F.lit("import"), i["path"])),
+    ]
+    each = F.explode(F.concat(*[F.coalesce(e.cast(_EVENT), F.array().cast(_EVENT)) for e in events]))
+    rows = lines.select("split_id", "change_ord", "change_id", "file", "language", "row", "line", each.alias("e")).select("split_id", "change_ord", "change_id", "file", "language", "row", "line", "e.*")
+    above = Window.partitionBy("split_id", "change_id", "alias").orderBy("row").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    path = F.max(F.when(F.col("part") == 2, F.struct("row", "path"))).over(above)["path"]
+    rows = rows.withColumn("path", path).filter("part <> 1 or path is not null")
+    java_type = (F.col("part") == 1) & (F.col("language") == "java") & (F.col("nth") == 0)
     parent = F.when(F.contains("path", F.lit(".")), F.regexp_extract("path", r"^(.*)\.[^.]*$", 1))
-    return rows.withColumn("name", name).withColumn("package", F.when(java_type, parent).otherwise(F.col("alias"))).withColumn("qualified_name", F.when(java_type, F.col("path")).otherwise(F.concat_ws(".", "alias", "name")))
+    package = F.when(F.col("part") == 0, S.package_of(F.col("file"))).when(java_type, parent).when(F.col("part") == 1, F.col("alias"))
+    qualified = F.when(java_type, F.col("path")).when(F.col("part") == 1, F.concat_ws(".", "alias", "name"))
+    return rows.withColumn("name", F.when(java_type, F.col("alias")).otherwise(F.col("name"))).withColumn("package", package).withColumn("qualified_name", qualified)
+
+
+def usages(lines: DataFrame) -> DataFrame:
+    """Uses of names whose alias is imported on the same or an earlier line of the hunk."""
+    return found(lines).filter("part = 1")
 
 
 def hunk_symbols(changes: DataFrame) -> DataFrame:
     """Symbols of change rows: definitions, usages, and `import` where a hunk imports anything; the first of each
     (name, type, role, package) stays."""
-    lines = added_lines(changes)
-    known = imports(lines)
-    nothing = F.lit(None).cast("string")
-    defined = definitions(lines).select("split_id", "change_ord", "change_id", "file", "line", "row", F.lit(0).alias("part"), F.lit(0).alias("at"), "nth", "name", "type", F.lit("definition").alias("role"), S.package_of(F.col("file")).alias("package"), nothing.alias("qualified_name"))
-    used = usages(lines, known).select("split_id", "change_ord", "change_id", "file", "line", "row", F.lit(1).alias("part"), "at", "nth", "name", "type", F.lit("usage").alias("role"), "package", "qualified_name")
-    mark = known.select("split_id", "change_id").distinct().join(changes.select("split_id", "change_ord", "change_id", "file", "line_start"), ["split_id", "change_id"])
-    mark = mark.select("split_id", "change_ord", "change_id", "file", F.col("line_start").alias("line"), F.lit(0).alias("row"), F.lit(2).alias("part"), F.lit(0).alias("at"), F.lit(0).alias("nth"), F.lit("import").alias("name"), F.lit("import").alias("type"), F.lit("usage").alias("role"), nothing.alias("package"), nothing.alias("qualified_name"))
-    rows = defined.unionByName(used).unionByName(mark)
+    rows = found(added_lines(changes))
+    mark = F.col("part") == 2  # stands at the hunk's start
+    start = lambda c: F.when(mark, 0).otherwise(F.col(c)).alias(c)
+    role = F.when(F.col("part") == 0, "definition").otherwise("usage")
+    rows = rows.select("split_id", "change_ord", "change_id", "file", F.when(mark, F.col("line") - F.col("row")).otherwise(F.col("line")).cast("int").alias("line"), start("row"), "part", "at", "nth", "name", "type", role.alias("role"), "package", "qualified_name")
     order = [F.col("part"), F.col("row"), F.col("nth"), F.col("at")]
     same = Window.partitionBy("split_id", "change_id", "name", "type", "role", "package").orderBy(*order)
     rows = rows.withColumn("again", F.row_number().over(same)).filter("again = 1")

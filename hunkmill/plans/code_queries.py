@@ -131,7 +131,7 @@ def symbol_imports(spark, sf_dir):
 def symbol_usages(spark, sf_dir):
     """Usages of what was imported before."""
     lines = extract.added_lines(_changes(spark, sf_dir))
-    return extract.usages(lines, extract.imports(lines)).select("split_id", "row", "nth", F.col("at").alias("pos"), "name", "type", "package", "qualified_name")
+    return extract.usages(lines).select("split_id", "row", "nth", F.col("at").alias("pos"), "name", "type", "package", "qualified_name")
 
 
 @query(_CODE_SQL + _DEFINED + _USED + """
