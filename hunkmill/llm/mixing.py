@@ -133,4 +133,5 @@ def repeat_documents(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, w
         rows = with_groups(rows, cuts.withColumnRenamed("s_source", "source"), ["source"], "n_rows", cuts.agg(F.sum("n_rows")).first()[0])
     once_more = F.coalesce(F.struct("order", "doc_id", "size") <= F.col("last"), F.lit(False))
     times = F.when(F.col("size") == 0, 1).otherwise(F.col("whole") + once_more.cast("int")).cast("int")
-    return rows.filter(times > 0).select(F.explode(F.array_repeat("row", times)).alias("row")).select("row.*")
+    # One copy at a time: an array of copies would hold a long text several times.
+    return rows.filter(times > 0).select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
