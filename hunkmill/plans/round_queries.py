@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, rounds, splitting
+from ..operators import graph, rounds
 from ..sources import catalog as scans
 from ..sources import versions
 from . import adapters, queries
