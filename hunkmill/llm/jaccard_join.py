@@ -177,9 +177,9 @@ def _sets(batches):
             yield pa.RecordBatch.from_arrays([pa.array([_class(values[a:b]) for a, b in pairwise(offsets)], pa.int64()), pa.array(blobs, pa.binary())], names=["class", "shingles"])
 
 
-def join_region(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what the exact join of the sets connects. left: members of the ball, which are connected
-    already; then only links between them and the others count."""
+def join_region(sets: list[np.ndarray], left: np.ndarray | None = None, ball: bool = True) -> list[tuple[int, int]]:
+    """Links that connect what the exact join of the sets connects. left: one of two sides; then only links between the
+    sides count. With `ball` that side is connected already, so one link of each other member with it is enough."""
     m = len(sets)
     size = np.fromiter(map(len, sets), np.int64, m)
     _, local = np.unique(np.concatenate(sets), return_inverse=True)
@@ -198,10 +198,22 @@ def join_region(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[
         return 9 * shared >= 4 * (size + size[i])
 
     links: list[tuple[int, int]] = []
+    parent, waiting = np.arange(m), np.ones(m, bool)
+
+    def connect(i: int, others: np.ndarray) -> None:
+        for j in others.tolist():
+            a, b = parent[i], parent[j]
+            if a != b:
+                links.append((i, j))
+                parent[parent == b] = a
+
     if left is not None:
         few = left if left.sum() <= m - left.sum() else ~left
         done = np.zeros(m, bool)
         for i in np.nonzero(few)[0].tolist():
+            if not ball:
+                connect(i, np.nonzero(near(i, common(i)) & ~few & (parent != parent[i]))[0])
+                continue
             found = np.nonzero(near(i, common(i)) & (few != few[i]) & ~done)[0].tolist()
             if left[i]:
                 links += [(i, j) for j in found]
@@ -209,15 +221,6 @@ def join_region(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[
             elif found:
                 links.append((i, found[0]))
         return links
-    parent, waiting = np.arange(m), np.ones(m, bool)
-
-    def connect(i: int, others: np.ndarray) -> None:
-        for j in others.tolist():
-            a, b = parent[i], parent[j]
-            if a != b:
-                links.append((i, j))
-                parent[parent == b] = a
-
     for pivot in range(m):
         if not waiting[pivot]:
             continue
@@ -225,14 +228,14 @@ def join_region(sets: list[np.ndarray], left: np.ndarray | None = None) -> list[
         distance = 1 - shared / (size + size[pivot] - shared)
         linked = near(pivot, shared)
         connect(pivot, np.nonzero(linked)[0])
-        ball, shell = linked & waiting, ~linked & waiting & (distance <= 2 * RADIUS + 1e-9)
-        ball[pivot] = False
-        for i in np.nonzero(ball)[0].tolist() if shell.any() else ():
+        own, shell = linked & waiting, ~linked & waiting & (distance <= 2 * RADIUS + 1e-9)
+        own[pivot] = False
+        for i in np.nonzero(own)[0].tolist() if shell.any() else ():
             room = shell & (distance <= distance[i] + RADIUS + 1e-9) & (5 * size >= 4 * size[i]) & (4 * size <= 5 * size[i]) & (parent != parent[i])
             if room.any():
                 connect(i, np.nonzero(room & near(i, common(i)))[0])
         # All links of the ball are known; the rest is joined without it.
-        waiting[ball] = waiting[pivot] = False
+        waiting[own] = waiting[pivot] = False
     return links
 
 
@@ -256,6 +259,8 @@ def _groups(batches, keys: tuple[str, ...]):
 
 
 REGION = ("region", "low", "high")
+#: Blocks of a boundary are told from those of a ball, or of a cell, by their numbers.
+EDGE = 1 << 20
 
 
 def _once(rows: pa.Table):
@@ -345,7 +350,8 @@ MEASURED = "cell long, class long, n int, home long, distance double, near array
 def _join_regions(batches):
     for rows in _groups(batches, REGION):
         classes, once, left = _once(rows)
-        links = join_region([_set(rows, i) for i in once], left) if len(classes) > 1 else []
+        # Two blocks of a cell are not connected beforehand, as a ball is.
+        links = join_region([_set(rows, i) for i in once], left, rows.column("high")[0].as_py() >= EDGE) if len(classes) > 1 else []
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(classes[[x for x, _ in links]]), pa.array(classes[[y for _, y in links]])], names=["a", "b"])
 
@@ -449,12 +455,11 @@ def _regions(found: DataFrame, cell: int, total: int) -> DataFrame:
     sizes = ball.groupBy("pivot").agg(F.count(F.lit(1)).alias("inner"), F.sum("n").alias("inner_n")).join(nearest, "pivot")
     sizes = materialise(sizes.withColumn("rows", F.col("inner") + F.col("outer")), "region-sizes")
     inner, outer = _parts("inner", "inner_n", cell), _parts("outer", "outer_n", cell)
-    base = 1 << 20  # blocks of the boundary are told from those of the ball by their numbers
     ball = with_groups(ball, sizes, ["pivot"], "rows", total).filter(F.col("distance") >= F.col("least") - RADIUS - 1e-9)
     mine = F.pmod(F.xxhash64("class"), inner).cast("int")
-    ball = ball.select(F.col("pivot").alias("region"), mine.alias("low"), F.explode(F.sequence(F.lit(base), outer + base - 1)).alias("high"), "class", mine.alias("block"))
+    ball = ball.select(F.col("pivot").alias("region"), mine.alias("low"), F.explode(F.sequence(F.lit(EDGE), outer + EDGE - 1)).alias("high"), "class", mine.alias("block"))
     edge = with_groups(edge, sizes, ["pivot"], "rows", total)
-    mine = (F.pmod(F.xxhash64("class"), outer) + base).cast("int")
+    mine = (F.pmod(F.xxhash64("class"), outer) + EDGE).cast("int")
     edge = edge.select(F.col("pivot").alias("region"), F.explode(F.sequence(F.lit(0), inner - 1)).alias("low"), mine.alias("high"), "class", mine.alias("block"))
     return ball.unionByName(edge)
 

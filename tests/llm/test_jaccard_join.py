@@ -3,6 +3,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 
 from hunkmill.llm import jaccard_join
 
@@ -98,6 +99,22 @@ def test_join_region_connects_what_brute_force_connects():
         assert close(jaccard_join.join_region(sets, ball), start) == close(want, start)
 
 
+def test_blocks_of_a_cell_are_not_connected_beforehand():
+    """Every link between two blocks of a cell counts: members of the lower one need not be connected."""
+    base = np.arange(40, dtype=np.int64)
+    # a - x - b: a and b lie in the lower block and are far apart, x links with both
+    a, x, b = base, np.concatenate([base[4:], 100 + base[:4]]), np.concatenate([base[8:], 100 + base[:8]])
+    sets, low = [a, b, np.sort(x), base + 1000, base + 2000, base + 3000], np.array([True, True, False, False, False, False])
+    sets = [np.sort(s) for s in sets]
+    assert linked(a, x) and linked(x, b) and not linked(a, b)
+    rows = pa.Table.from_pylist([{"region": 1, "low": 0, "high": 1, "class": i, "block": int(not low[i]), "shingles": s.tobytes()} for i, s in enumerate(sets)])
+    rows = rows.cast(pa.schema([("region", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("class", pa.int64()), ("block", pa.int32()), ("shingles", pa.binary())]))
+    found = [tuple(r.values()) for batch in jaccard_join._join_regions(rows.to_batches()) for r in batch.to_pylist()]
+    assert close(found, list(range(6))) == [0, 0, 0, 3, 4, 5]
+    assert close(jaccard_join.join_region(sets, low, ball=False), list(range(6))) == [0, 0, 0, 3, 4, 5]
+    assert close(jaccard_join.join_region(sets, ~low, ball=False), list(range(6))) == [0, 0, 0, 3, 4, 5]
+
+
 def test_a_large_family_takes_linear_time(spark):
     """Distinct near copies of one text: one component, found by a turn of balls and no blocks of pairs."""
     words = [f"w{i}" for i in range(60)]
