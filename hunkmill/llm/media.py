@@ -11,9 +11,10 @@ contrast leaves as they are. Images then meet in these steps:
 2. Two images that met by two keys or more are compared: descriptors that are each other's nearest and differ in at most
    MOST bits match, and each match proposes a turn, scale and shift. The images link when the best proposal puts VOTES
    matches and SHARE of the smaller image's corners where it should. A logo that many pictures share does not suffice.
-3. Where more than FEW images share a key with its further bits, holders that these links do not connect with the largest
-   component among them meet all the others; pairs with two keys in common are compared. So no holder of a crowded key
-   is left out, copies cost nothing more, and only unlike images that share a key's 47 bits cost the square of their number.
+3. Where more than FEW images share a key, holders that these links do not connect with the largest component among
+   them meet all the others, whatever their further bits; pairs with two keys in common, crowded or not, are compared.
+   So no pair of a crowded key is left out, copies cost nothing more, and unlike images that share a key cost the square
+   of their number.
 
 A table may miss copies whose descriptors share no two keys; recall is measured against the comparison of all pairs in
 the tests. Images with the same pixels form a class before any of this. Defined cases: null, empty or wrongly sized
@@ -190,8 +191,8 @@ def _pairs(held: list[int]):
 
 
 def _meet(batches):
-    """Rows sorted by key and value: pairs a, b of images with a key; of crowded keys also their holders a by sub (the key
-    with its further bits), without b."""
+    """Rows sorted by key and value: pairs a, b of images with a key; of crowded keys, told by sub, also all holders a,
+    without b."""
     mask = (1 << NUMBER) - 1
     held: list[int] = []  # the first holders of the present key with their further bits; all of a crowded one pass by parts
     out: list[tuple] = []
@@ -199,27 +200,23 @@ def _meet(batches):
     crowded = False
     run: list[int] = []  # numbers of the present part of a crowded key, FEW + 1 at most; the first is the least
 
-    def place(k: int, x: int) -> int:
-        return xxhash.xxh3_64_intdigest(f"{k}:{x}") >> 1
-
     def shift(value: int) -> None:
         nonlocal part, run
         num, x = value & mask, value >> NUMBER
         if x != part:
             close()
             part, run = x, []
+        out.append((num, None, key))
         if len(run) <= FEW:
             run.append(num)
             if len(run) == FEW + 1:
-                out.extend((n, None, place(key, x)) for n in run)
-                out.extend((run[0], n, None) for n in run[1:])
+                out.extend((run[0], n, key) for n in run[1:])
         else:
-            out.append((num, None, place(key, x)))
-            out.append((run[0], num, None))
+            out.append((run[0], num, key))
 
     def close() -> None:
         if part is not None and len(run) <= FEW:
-            out.extend((a, b, None) for a, b in _pairs(sorted(run)))
+            out.extend((a, b, key) for a, b in _pairs(sorted(run)))
 
     def end() -> None:
         nonlocal held, part, run, crowded
@@ -336,17 +333,21 @@ def links(images: DataFrame) -> DataFrame:
     """a, b: numbers of images (num, corners) that are copies; what is connected by all links is connected by these."""
     keys = images.select("num", "corners").mapInArrow(lean(_keys), "key long, value long")
     met = materialise(keys.repartition("key").sortWithinPartitions("key", "value").mapInArrow(lean(_meet), "a long, b long, sub long"), "met")
-    found = spanning(met_twice(met.filter("b is not null and a <> b").select("a", "b")), images, None)
+    once = met.filter("b is not null and a <> b")
+    found = spanning(met_twice(once.select("a", "b")), images, None)
     # Of a crowded key, holders that are not connected with its largest component meet all the others.
     label = components(found).toDF("num", "label")
-    left = materialise(met.filter("sub is not null").select("sub", F.col("a").alias("num")).join(label, "num", "left").withColumn("label", F.coalesce("label", "num")), "crowded")
+    left = materialise(met.filter("b is null").select("sub", F.col("a").alias("num")).join(label, "num", "left").withColumn("label", F.coalesce("label", "num")), "crowded")
     parts = left.groupBy("sub", "label").agg(F.count(F.lit(1)).alias("m"))
     keys = parts.groupBy("sub").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     keys = materialise(keys.select("sub", "main", "n"), "split-keys")
     left = materialise(with_groups(left, keys, ["sub"], "n", left.count()).select("sub", "num", "label", "main"), "split-holders")
     apart = left.filter("label <> main").select("sub", F.col("num").alias("other"), F.col("label").alias("other_label"))
     pairs = left.join(apart, "sub").filter("label <> other_label and (label = main or num < other)")
-    pairs = met_twice(pairs.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")))
+    pairs = pairs.groupBy(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")).agg(F.count(F.lit(1)).alias("crowded"))
+    # Keys that are not crowded count too.
+    plain = once.filter("sub is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("plain"))
+    pairs = pairs.join(plain, ["a", "b"], "left").filter("crowded + coalesce(plain, 0) > 1")
     return found.unionByName(verified(pairs, images))
 
 

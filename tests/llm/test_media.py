@@ -105,6 +105,36 @@ def test_links_connect_what_all_pairs_connect(spark, monkeypatch, few):
     assert len(set(want)) == 12
 
 
+def test_holders_of_a_crowded_key_meet_whatever_their_further_bits(spark):
+    """Two copies share two keys alone, both crowded by unlike images, and differ in the further bits of each."""
+    rng = np.random.default_rng(12)
+
+    def made(n):
+        x = np.zeros(n, media.CORNER)
+        x["bits"] = rng.integers(-(2**63), 2**63, (n, media.BITS // 64))
+        x["x"], x["y"] = rng.integers(0, 500, (2, n))
+        return x
+
+    def raw(x):
+        return x["bits"].view(np.uint8).reshape(len(x), -1)
+
+    one = made(12)
+    two = one.copy()
+    step = media.WIDTH // 8
+    for t in range(media.TABLES):
+        raw(two)[:, t * step] ^= 0x80  # no key is left in common ...
+    for t in (0, 4):
+        raw(two)[0, t * step] ^= 0x80  # ... but two of the first corner's, whose further bits still differ
+    others = [made(12) for _ in range(2 * media.FEW)]
+    for x in others:
+        for t in (0, 4):
+            raw(x)[t, t * step:(t + 1) * step] = raw(one)[0, t * step:(t + 1) * step]
+    images = [one, *others, two]
+    assert media.copied(one, two) and not any(media.copied(a, b) for a, b in combinations(images[:-1], 2))
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(images)], "num long, corners binary")
+    assert {(r.a, r.b) for r in media.links(df).collect()} == {(0, len(images) - 1)}
+
+
 def test_query_finds_edited_copies(spark):
     rng = np.random.default_rng(11)
     rows = [(i, [float(x) for x in rng.normal(0, 0.125, 64)]) for i in range(300)]
