@@ -401,3 +401,28 @@ def test_the_mark_of_a_missing_newline_stays(spark):
     text = "diff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1 +1 @@\n-a\n\\ No newline at end of file\n+b\n\\ No newline at end of file\n"
     row = diffs.parse_diffs(texts(spark, text)).first()
     assert row.content.split("\n")[1:] == ["-a", "\\ No newline at end of file", "+b", "\\ No newline at end of file"] and (row.added_lines, row.deleted_lines) == (1, 1)
+
+
+def test_hunks_are_cut_by_the_rules_of_body_lines(spark):
+    """hunks_of() against the line by line form, on random texts of the lines that matter."""
+    import random
+
+    rng = random.Random(5)
+    kinds = ["@@ -1,2 +1,3 @@", "@@ -1 +1 @@ def f", "@@ -0,0 +1 @@", "@@ -3,0 +4,0 @@", "@@ x", "--- a/x", "+++ b/y\tnow", "+++ /dev/null", "--- a", "-- x", "++ y", "+", "-", " ", "", "+a", "-b", " c\r", "\\ No newline", "diff --git a/x b/y"]
+    texts_of = ["", "\n", "\n\n", "@@ -1 +1 @@\n+a\n\n", *["\n".join(rng.choice(kinds) for _ in range(rng.randrange(40))) for _ in range(300)]]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts_of)], "split_id string, value string")
+    cut = diffs.body_lines(diffs.lines(rows)).filter("hunk_no > 0").collect()
+    want = {}
+    for r in sorted(cut, key=lambda r: (r.split_id, r.pos)):
+        if r.is_header:
+            want[r.split_id, r.hunk_no] = [r.line, [], r.old_path, r.new_path]
+        elif r.in_body:
+            want[r.split_id, r.hunk_no][1].append(r.line)
+    plain = rows.select("split_id", diffs._plain("value").alias("value")).collect()
+    got = {(r.split_id, h[0]): [h[1], h[2], h[3], h[4]] for r in plain for h in diffs.hunks_of(r.value)}
+    assert got == want and len(want) > 300
+    rows = diffs.parse_diffs(rows).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        body = want[r.split_id, r.change_ord + 1][1]
+        assert r.content.split("\n")[1:] == body and (r.added_lines, r.deleted_lines) == (sum(x[:1] == "+" for x in body), sum(x[:1] == "-" for x in body))
