@@ -174,8 +174,7 @@ SELECT split_id, array_to_string(path, ',') AS path FROM walk WHERE len(path) >
 def critical_paths(spark, sf_dir):
     """G10 over edges that point to later changes."""
     places = adapters.changes(spark, sf_dir).select("split_id", "change_id", "change_ord")
-    a, b = places.toDF("split_id", "source", "s_ord"), places.toDF("split_id", "target", "t_ord")
-    edges = _usage_deps(spark, sf_dir).join(a, ["split_id", "source"]).join(b, ["split_id", "target"]).filter("s_ord < t_ord")
+    edges = deps.with_ends(deps.usage_edges(adapters.symbols(spark, sf_dir)).select("split_id", "source", "target"), places, "change_ord").filter("s.change_ord < t.change_ord")
     return graph.critical_paths(places, edges).withColumn("path", joined(F.col("path")))
 
 
