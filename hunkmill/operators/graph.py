@@ -6,7 +6,7 @@ import itertools
 import uuid
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +14,9 @@ from ..functions import fixed
 from ..functions import scalars as S
 from . import kernels
 
+#: Rows of a batch of paths or cycles.
+ROWS = 10_000
+
 
 def distinct_edges(deps: DataFrame) -> DataFrame:
     """Parallel edges collapse, the last one's attributes stay."""
@@ -27,14 +30,13 @@ def _packed(deps: DataFrame) -> DataFrame:
 
 def _kernel(rows: DataFrame, work, schema: str) -> DataFrame:
     """work(split_id, edges, ...) yields the rows of one change set; change sets come in Arrow batches, many a call."""
-    columns = [x.split()[0] for x in schema.split(", ")]
+    kinds = {name: kernels.ARROW[kind] for name, kind in (x.split() for x in schema.split(", "))}
 
     def run(batches):
-        for pdf in batches:
-            out = [x for row in pdf.itertuples(index=False) for x in work(*row)]
-            yield pd.DataFrame(out, columns=columns)
+        for batch in batches:
+            yield kernels.batch_of([x for row in zip(*map(kernels.plain, batch.columns), strict=True) for x in work(*row)], kinds)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def reach(deps: DataFrame) -> DataFrame:
@@ -148,15 +150,24 @@ def simple_cycles(edges: DataFrame) -> DataFrame:
     of their nodes. Cycles are made one at a time; their number may be exponential in a change set's edges."""
     kind = edges.schema["source"].dataType.simpleString()
 
+    def found(split, own):
+        pairs = [(e["source"], e["target"]) for e in own]
+        return ((split, i, c) for i, c in enumerate(kernels.simple_cycles(sorted({n for p in pairs for n in p}), pairs)))
+
+    kinds = {"split_id": pa.string(), "nth": pa.int64(), "nodes": pa.list_(kernels.ARROW[kind])}
+    return _packed(edges).mapInArrow(_streamed(found, kinds, "split_id", "edges"), f"split_id string, nth long, nodes array<{kind}>")
+
+
+def _streamed(work, kinds: dict, *columns: str):
+    """A mapInArrow function that gives the rows of work(these columns) of all change sets, ROWS a batch, none held longer."""
+
     def run(batches):
-        for pdf in batches:
-            for split, own in zip(pdf.split_id, pdf.edges, strict=True):
-                pairs = [(e["source"], e["target"]) for e in own]
-                found = enumerate(kernels.simple_cycles(sorted({n for p in pairs for n in p}), pairs))
-                while part := list(itertools.islice(found, 10_000)):
-                    yield pd.DataFrame({"split_id": split, "nth": [i for i, _ in part], "nodes": [c for _, c in part]})
+        for batch in batches:
+            rows = (x for row in zip(*(kernels.plain(batch.column(c)) for c in columns), strict=True) for x in work(*row))
+            while part := list(itertools.islice(rows, ROWS)):
+                yield kernels.batch_of(part, kinds)
 
-    return _packed(edges).mapInPandas(run, f"split_id string, nth long, nodes array<{kind}>")
+    return run
 
 
 def order_without_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -177,14 +188,10 @@ def critical_paths(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     Paths are made one at a time; their number may be exponential in a change set's edges."""
     packed = nodes.groupBy("split_id").agg(F.array_sort(F.collect_list(F.struct("change_ord", "change_id"))).alias("nodes")).join(_packed(deps), "split_id")
 
-    def run(batches):
-        for pdf in batches:
-            for split, names, edges in zip(pdf.split_id, pdf.nodes, pdf.edges, strict=True):
-                found = kernels.critical_paths([n["change_id"] for n in names], sorted((e["source"], e["target"]) for e in edges))
-                while part := list(itertools.islice(found, 10_000)):
-                    yield pd.DataFrame({"split_id": split, "path": part})
+    def found(split, names, edges):
+        return ((split, path) for path in kernels.critical_paths([n["change_id"] for n in names], sorted((e["source"], e["target"]) for e in edges)))
 
-    return packed.mapInPandas(run, "split_id string, path array<string>")
+    return packed.mapInArrow(_streamed(found, {"split_id": pa.string(), "path": pa.list_(pa.string())}, "split_id", "nodes", "edges"), "split_id string, path array<string>")
 
 
 def file_order(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Plans over the test tables shuffle rows of change sets once a scan: a change set's joins are windows and groups in place."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hunkmill.operators import deps
+from hunkmill.functions import fixed, scalars
+from hunkmill.operators import deps, kernels
 from hunkmill.plans import queries, result_queries
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,21 @@ def test_ends_of_edges(spark):
     edges = spark.createDataFrame([("s", "a", "b", 7), ("s", "b", "a", 8), ("s", "a", "gone", 9), ("t", "a", "b", 7)], "split_id string, source string, target string, n int")
     got = deps.with_ends(edges, changes, "type", "change_ord").select("split_id", "source", "target", "n", F.col("s.type"), F.col("t.change_ord"))
     assert sorted(map(tuple, got.collect())) == [("s", "a", "b", 7, "add", 2), ("s", "a", "gone", 9, "add", None), ("s", "b", "a", 8, "modify", 1), ("t", "a", "b", 7, "add", None)]
+
+
+def test_facts_of_paths_are_those_of_the_expressions(spark):
+    paths = ["", "a", "a.py", "x/y.Z.py", "X\\y/Utils/b.go", "m/Models/helper.go", "api/handler/a_controller.py", "pkg/result.py", "a/", "/a", "src/routes/x.ts", "pkg/types.ts", "UTİLS/utils.GO", "ö/common/ä.d.ts"]
+    paths += [f"p/{x}q" for x in (*fixed.PACK_INTERFACES, *fixed.UTILITIES, *fixed.CONTROLLERS)]
+    f = F.col("file")
+    stem = F.element_at(F.split(scalars.base_name(f), r"\."), 1)
+    rows = spark.createDataFrame([(x,) for x in paths], "file string").select("file", scalars.directory(f).alias("parent"), F.coalesce(scalars.directory(f), F.lit("root")).alias("dir"), stem.alias("stem"), scalars.group_layer(f).alias("group_layer"), scalars.pack_layer(f).alias("pack_layer"))
+    for r in rows.collect():
+        assert kernels.facts_of(r.file) == {k: v for k, v in r.asDict().items() if k != "file"}
+
+
+def test_plain_reads_nested_columns_as_pyarrow_does():
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.string()), ("c", pa.list_(pa.string())), ("d", pa.float64())]))
+    rows = [[{"a": 1, "b": None, "c": ["x", None], "d": 0.5}, None, {"a": None, "b": "y", "c": None, "d": None}], None, [], [{"a": 2, "b": "", "c": [], "d": 1.0}]]
+    column = pa.array(rows * 3, kind)
+    for part in (column, column.slice(1, 5), column.slice(5), column.slice(2, 1), column.slice(0, 0)):
+        assert kernels.plain(part) == part.to_pylist()
