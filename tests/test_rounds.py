@@ -117,3 +117,13 @@ def test_similar_pairs_are_those_of_all_pairs(spark):
     want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in own for b in own if a < b}
     got = {(r.a, r.b): r.similarity for r in grouping.similar_pairs(symbols(spark, rows)).collect()}
     assert got == {k: pytest.approx(v) for k, v in want.items() if v > 0.3}
+
+
+def test_tables_of_past_rounds_are_deleted(spark, tmp_path):
+    n = 5
+    nodes = spark.createDataFrame([("s", i, f"c{i}") for i in range(n)] + [("alone", 0, "c0")], "split_id string, change_ord int, change_id string")
+    chain = spark.createDataFrame([("s", f"c{i + 1}", f"c{i}") for i in range(n - 1)], "split_id string, source string, target string")
+    got = rounds.levels(nodes, chain, most=0, path=str(tmp_path))
+    assert rows_of(got) == rows_of(graph.levels(nodes, chain))
+    # The edges, those that are left, the order, and what each round settled.
+    assert len(list(tmp_path.glob("rounds-*/*/_SUCCESS"))) <= 3 + n - 1
