@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hunkmill.functions import fixed, scalars
-from hunkmill.operators import deps, kernels
+from hunkmill.operators import deps, grouping, kernels
 from hunkmill.plans import queries, result_queries
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def exchanges(df) -> int:
 
 
 @pytest.mark.parametrize("make, most", [
-    (queries.usage_dependencies, 2), (queries.import_dependencies, 2), (queries.prerequisite_order, 3), (result_queries.critical_paths, 3), (queries.split_candidates, 6), (queries.kept_groups, 6), (queries.split_patches, 7),
+    (queries.usage_dependencies, 2), (queries.import_dependencies, 2), (queries.prerequisite_order, 3), (result_queries.critical_paths, 3), (queries.split_candidates, 6), (queries.kept_groups, 6), (queries.split_patches, 7), (queries.api_change_groups, 2), (queries.symbol_clusters, 1), (queries.group_by_file, 1), (queries.uncovered_groups, 16),
 ])
 def test_one_shuffle_a_scan(spark, make, most):
     assert exchanges(make(spark, SF)) <= most
@@ -46,3 +46,10 @@ def test_plain_reads_nested_columns_as_pyarrow_does():
     column = pa.array(rows * 3, kind)
     for part in (column, column.slice(1, 5), column.slice(5), column.slice(2, 1), column.slice(0, 0)):
         assert kernels.plain(part) == part.to_pylist()
+
+
+def test_kept_groups_in_one_pass(spark):
+    rows = [("s", 0, "g", 0.9, ["a", "b"]), ("s", 1, "h", 0.8, ["b", "c"]), ("s", 2, "i", 0.7, ["c", "d", "b"]), ("t", 0, "g", 0.1, ["a"])]
+    groups = spark.createDataFrame(rows, "split_id string, group_ord int, group_id string, score double, change_ids array<string>")
+    kept = grouping.keep_uncovered(groups)
+    assert sorted(map(tuple, kept.select(groups.columns).collect())) == [rows[0], rows[2], rows[3]] and exchanges(kept) == 1
