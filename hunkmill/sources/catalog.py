@@ -2,22 +2,64 @@
 
 from __future__ import annotations
 
+import fnmatch
+import itertools
 import json
+import re
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from . import versions
+from .gitstore import _open, entries
 
 
 _SPLIT = ",".join(x.strip().replace(" ", ":", 1) for x in ("goal_summary string", "patches array<struct<id:int,name:string,filename:string,state:string>>"))
 
 
+def files_below(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """file_path, text of the files below path whose names match pattern, listed and read in tasks, level by level: the
+    driver holds neither names nor texts. Listings are written below spark.checkpoint.dir, or beside path."""
+    glob = re.compile(fnmatch.translate(pattern))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or path.rstrip("/") + ".listed"
+    base = f"{base.rstrip('/')}/listed-{uuid.uuid4().hex}"
+
+    def listed(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                names = (x for x in entries(folder) if x[1] or glob.match(x[0].rpartition("/")[2]))
+                while part := list(itertools.islice(names, 10_000)):
+                    yield pa.record_batch({"path": pa.array([x[0] for x in part], pa.string()), "folder": pa.array([x[1] for x in part], pa.bool_())})
+
+    def read(batches):
+        for batch in batches:
+            for paths in (batch.column("path").slice(i, 64).to_pylist() for i in range(0, len(batch), 64)):
+                texts = []
+                for p in paths:
+                    system, name = _open(p)
+                    with system.open_input_stream(name) as f:
+                        texts.append(f.read())
+                yield pa.record_batch({"file_path": pa.array(paths, pa.string()), "text": pa.array(texts, pa.binary())})
+
+    levels, folders = [], spark.createDataFrame([(path.rstrip("/"),)], "path string")
+    while folders.head(1):
+        levels.append(f"{base}/{len(levels)}")
+        # One name a row, dealt anew: a wide folder's children are read by many tasks.
+        folders.mapInArrow(listed, "path string, folder boolean").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))).write.parquet(levels[-1])
+        folders = spark.read.schema("path string, folder boolean").parquet(levels[-1]).filter("folder").select("path")
+    found = spark.read.schema("path string, folder boolean").parquet(*levels).filter("not folder").select("path")
+    return found.mapInArrow(read, "file_path string, text binary").withColumn("text", F.col("text").cast("string"))
+
+
 def split_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row for each folder below path: its first metadata_*.json; unreadable files are left out."""
-    raw = spark.read.schema(f"{schemas.SPLIT_METADATA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata_*.json").json(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("file_path")).filter("_corrupt is null").drop("_corrupt")
+    raw = files_below(spark, path, "metadata_*.json")
+    schema = StructType.fromDDL(f"{schemas.SPLIT_METADATA}, _corrupt string")
+    rows = raw.select("file_path", F.from_json("text", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("m")).select("file_path", "m.*").filter("_corrupt is null").drop("_corrupt")
     rows = rows.withColumn("split_id", F.regexp_extract("file_path", r"([^/]+)/[^/]+$", 1))
     nth = F.row_number().over(Window.partitionBy("split_id").orderBy("file_path"))
     return rows.withColumn("nth", nth).filter("nth = 1").drop("nth", "file_path")

@@ -8,6 +8,7 @@ joins the trees of both sides level by level, following only entries that differ
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -36,6 +37,21 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def entries(folder: str):
+    """(path, is a folder) of what lies in a folder, hidden names left out; a local folder is read name by name."""
+    system, name = _open(folder)
+    prefix = folder.rstrip("/") + "/"
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(name) as found:
+            for x in found:
+                if not x.name.startswith((".", "_")):
+                    yield prefix + x.name, x.is_dir()
+    else:
+        for x in system.get_file_info(fs.FileSelector(name)):
+            if not x.base_name.startswith((".", "_")):
+                yield prefix + x.base_name, x.type == fs.FileType.Directory
+
+
 def _names(system: fs.FileSystem, folder: str) -> list[str]:
     found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
     return sorted(f.base_name for f in found)
