@@ -53,3 +53,17 @@ def test_kept_groups_in_one_pass(spark):
     groups = spark.createDataFrame(rows, "split_id string, group_ord int, group_id string, score double, change_ids array<string>")
     kept = grouping.keep_uncovered(groups)
     assert sorted(map(tuple, kept.select(groups.columns).collect())) == [rows[0], rows[2], rows[3]] and exchanges(kept) == 1
+
+
+def test_words_of_documents_are_cut_once(spark, tmp_path):
+    from hunkmill.plans import code_queries
+
+    texts = [None, "", "  ", "123 --- 45", "One", "a1b c\nd  é 7 É2x, (y) z w", "\tfoo\U0001f600bar\n\nbaz Qux\x00q", "x" * 3000 + " b", "é" * 5000, "a 1 2 3 b 4 c 5 6 d 7 e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    whole = F.filter(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", "")), " "), lambda x: x != "")
+    want = {(str(r.doc_id), *((r.w + ["w"] * 4)[:4])) for r in rows.select("doc_id", whole.alias("w")).collect()}
+    got = code_queries._words(spark, str(tmp_path))
+    assert {tuple(r) for r in got.select("split_id", *"abcd").collect()} == want
+    plan = code_queries.diffs_by_language(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("A-Za-z ]+") == 1
