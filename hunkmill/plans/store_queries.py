@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import diffs, gitstore
-from .adapters import table
+from .adapters import letters, table
 from .queries import query
 
 #: Files of a folder.
@@ -49,6 +49,42 @@ def _put(root: str, kind: str):
     return run
 
 
+#: Bytes of the objects of a pack.
+PACKED = 32 << 20
+
+
+def _pack(root: str, kind: str):
+    """Like _put(), but in packs: the number of files grows with the bytes, not with the objects."""
+
+    def write(held: list) -> None:
+        name, pack, index = gitstore.pack(held)
+        system, base = gitstore._open(f"{root}/objects/pack")
+        system.create_dir(base, recursive=True)
+        for end, data in (("pack", pack), ("idx", index)):  # readers list indexes, so those come last
+            own = f"{base}/{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(own) as f:
+                f.write(data)
+            system.move(own, f"{base}/pack-{name}.{end}")
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            ids = []
+            for data in batch.column("data").to_pylist():
+                ids.append(gitstore.oid_of(kind, data))
+                held.append((kind, data))
+                size += len(data)
+                if size > PACKED:
+                    write(held)
+                    held, size = [], 0
+            kept = [c for c in batch.schema.names if c != "data"]
+            yield pa.record_batch({**{c: batch.column(c) for c in kept}, "oid": pa.array(ids, pa.string())})
+        if held:
+            write(held)
+
+    return run
+
+
 def _tree(entries: DataFrame, root: str, *keys: str) -> DataFrame:
     """The tree objects of entries (keys, mode, name, oid), one for each of the keys."""
     part = F.concat(F.concat_ws(" ", "mode", "name").cast("binary"), F.unhex(F.lit("00")), F.unhex("oid"))
@@ -60,7 +96,7 @@ def _tree(entries: DataFrame, root: str, *keys: str) -> DataFrame:
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, side (old or new), text: a word a line. By doc_id mod 5: a line at the top, gone, new, a line at the end, the same."""
-    words = F.filter(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]+", ""), " "), lambda x: x != "")
+    words = F.filter(F.split(letters(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.pmod("doc_id", F.lit(5)).alias("way"), F.explode(F.array(words)).alias("w"))
     new = F.when(F.col("way") == 0, F.concat(F.array(F.lit("0 first")), "w")).when(F.col("way") == 3, F.concat("w", F.array(F.lit("0 extra")))).otherwise(F.col("w"))
     both = F.array(F.struct(F.lit("old").alias("side"), F.col("w").alias("lines")), F.struct(F.lit("new").alias("side"), new.alias("lines")))
@@ -76,13 +112,13 @@ SELECT 'd' || doc_id // {PER_FOLDER} || '/f' || doc_id || '.txt' AS path, CASE w
 def ref_diffs(spark, sf_dir):
     """The diff of two trees of an object store, a file for each document."""
     root = shared_folder(spark)
-    blobs = _versions(spark, sf_dir).select("doc_id", "side", F.col("text").cast("binary").alias("data")).mapInArrow(_put(root, "blob"), "doc_id long, side string, oid string")
+    blobs = _versions(spark, sf_dir).select("doc_id", "side", F.col("text").cast("binary").alias("data")).mapInArrow(_pack(root, "blob"), "doc_id long, side string, oid string")
     folder = F.concat(F.lit("d"), F.expr(f"doc_id div {PER_FOLDER}").cast("string"))
     files = blobs.select("side", folder.alias("folder"), F.lit("100644").alias("mode"), F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "oid")
     folders = _tree(files, root, "side", "folder").select("side", F.lit(gitstore.FOLDER).alias("mode"), F.col("folder").alias("name"), "oid")
     tops = {r.side: r.oid for r in _tree(folders, root, "side").collect()}
     pairs = spark.createDataFrame([("s", tops["old"], tops["new"])] if len(tops) == 2 else [], "split_id string, base string, head string")
-    store = gitstore.objects(spark, root)
+    store = gitstore.stored(gitstore.objects(spark, root), f"{root}/work")
     found = gitstore.changed_files(store, pairs, f"{root}/work")
     name = F.col("path").cast("string")
     status = F.when(F.col("new_oid").isNull(), "deleted").when(F.col("old_oid").isNull(), "added").otherwise("modified")

@@ -12,7 +12,7 @@ import os
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 
 import pyarrow as pa
@@ -179,10 +179,10 @@ class _Reader(DataSourceReader):
         self.path, self.per = options["path"].rstrip("/"), int(options.get("objectspertask", 50_000))
 
     def partitions(self):
-        """Loose objects by sixteen of their folders, packs by entries; of an index only its count is read here."""
+        """Loose objects by four of their 256 folders, packs by entries; of an index only its count is read here."""
         system, root = _open(self.path)
         fans = [n for n in _names(system, f"{root}/objects") if len(n) == 2]
-        parts = [_Part(None, folders=tuple(fans[i:i + 16])) for i in range(0, len(fans), 16)]
+        parts = [_Part(None, folders=tuple(fans[i:i + 4])) for i in range(0, len(fans), 4)]
         for name in _names(system, f"{root}/objects/pack"):
             if name.endswith(".idx"):
                 with system.open_input_file(f"{root}/objects/pack/{name}") as f:
@@ -279,6 +279,14 @@ def _cut(df: DataFrame, work: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(store: DataFrame, work: str) -> DataFrame:
+    """The rows of objects(), read once and kept in a new folder below work by kind: of what is asked of them after that only
+    the kind in question is read, and no object is opened or unpacked again."""
+    path = f"{work}/{uuid.uuid4().hex}"
+    store.write.partitionBy("kind").parquet(path)
+    return store.sparkSession.read.schema(SCHEMA).parquet(path).select("oid", "kind", "size", "data")
+
+
 def changed_files(store: DataFrame, pairs: DataFrame, work: str) -> DataFrame:
     """split_id, path (binary), old_mode, old_oid, new_mode, new_oid of the files that differ between base and head, object
     ids of commits or trees in pairs (split_id, base, head). work: a shared folder for the rows of each level."""
@@ -340,6 +348,7 @@ def ref_diffs(store: DataFrame, names: DataFrame, pairs: DataFrame, work: str) -
     oid = lambda side: F.coalesce(F.col(f"{side}_oid"), F.col(side)).alias(side)
     of = lambda side: names.select(F.col("ref").alias(side), F.col("oid").alias(f"{side}_oid"))
     known = pairs.join(of("base"), "base", "left").join(of("head"), "head", "left").select("split_id", oid("base"), oid("head"))
+    store = stored(store, work)
     here = store.filter("kind in ('commit', 'tree')").select("oid").distinct()
     for side in ("base", "head"):
         known = known.join(here.withColumnRenamed("oid", side), side, "left_semi")
@@ -348,7 +357,41 @@ def ref_diffs(store: DataFrame, names: DataFrame, pairs: DataFrame, work: str) -
     return each.groupBy("split_id").agg(F.array_join(F.transform(ordered, lambda x: x["diff"]), "").alias("value"))
 
 
+def oid_of(kind: str, data: bytes) -> str:
+    return hashlib.sha1(kind.encode() + b" %d\0" % len(data) + data).hexdigest()
+
+
 def loose(kind: str, data: bytes) -> tuple[str, bytes]:
     """The id and the file of an object that is stored by itself."""
     whole = kind.encode() + b" %d\0" % len(data) + data
     return hashlib.sha1(whole).hexdigest(), zlib.compress(whole)
+
+
+def pack(objects: list[tuple[str, bytes]]) -> tuple[str, bytes, bytes]:
+    """The name of a pack of whole objects (kind, data), the pack and its index of version 2; each object lies there once."""
+    code, entries = {kind: i for i, kind in KINDS.items()}, {}
+    parts, at = [b"PACK" + struct.pack(">II", 2, 0)], 12
+    for kind, data in objects:
+        oid = bytes.fromhex(oid_of(kind, data))
+        if oid in entries:
+            continue
+        size, head = len(data) >> 4, [code[kind] << 4 | len(data) & 15]
+        while size:
+            head[-1] |= 128
+            head.append(size & 127)
+            size >>= 7
+        part = bytes(head) + zlib.compress(data)
+        entries[oid] = (zlib.crc32(part), at)
+        parts.append(part)
+        at += len(part)
+    parts[0] = b"PACK" + struct.pack(">II", 2, len(entries))
+    whole = b"".join(parts)
+    whole += hashlib.sha1(whole).digest()
+    ids = sorted(entries)
+    fans = struct.pack(">256I", *(bisect_right(ids, bytes([i]) + b"\xff" * 20) for i in range(256)))
+    large = [entries[oid][1] for oid in ids if entries[oid][1] >= 1 << 31]
+    nth = {x: i for i, x in enumerate(large)}
+    places = [(1 << 31) + nth[x] if x in nth else x for x in (entries[oid][1] for oid in ids)]
+    crcs = struct.pack(f">{len(ids)}I", *(entries[oid][0] for oid in ids))
+    index = b"\xfftOc\x00\x00\x00\x02" + fans + b"".join(ids) + crcs + struct.pack(f">{len(ids)}I", *places) + struct.pack(f">{len(large)}Q", *large) + whole[-20:]
+    return whole[-20:].hex(), whole, index + hashlib.sha1(index).digest()

@@ -131,3 +131,23 @@ def test_any_two_versions_give_a_diff_that_applies(monkeypatch):
             assert apply(a, linediff.hunks(a, b)) == b
             gone, come = linediff.marks(old, new)
             assert [x for x, g in zip(old, gone, strict=True) if not g] == [y for y, c in zip(new, come, strict=True) if not c]
+
+
+def test_packs_are_those_of_git(spark, tmp_path):
+    objects = [("blob", b""), ("blob", b"x" * 15), ("blob", b"y" * 16), ("blob", bytes(range(256)) * 900), ("blob", b"x" * 15), *[("blob", b"%d\n" % i) for i in range(300)]]
+    name, pack, index = gitstore.pack(objects)
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    folder = tmp_path / ".git/objects/pack"
+    (folder / f"pack-{name}.pack").write_bytes(pack)
+    made = subprocess.run(["git", "index-pack", str(folder / f"pack-{name}.pack")], check=True, capture_output=True, text=True).stdout
+    assert name in made and (folder / f"pack-{name}.idx").read_bytes() == index
+    got = sorted((r.kind, bytes(r.data)) for r in gitstore.objects(spark, str(tmp_path / ".git"), 100).collect())
+    assert got == sorted(set(objects))
+
+
+def test_objects_are_read_once(spark, repository, tmp_path):
+    folder = f"{repository[0]}/.git"
+    pairs = spark.createDataFrame([("p", "v1", "main")], "split_id string, base string, head string")
+    got = gitstore.ref_diffs(gitstore.objects(spark, folder), gitstore.refs(spark, folder), pairs, str(tmp_path))
+    assert got.count() == 1
+    assert "git_objects" not in got._jdf.queryExecution().executedPlan().toString()
