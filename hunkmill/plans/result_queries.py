@@ -100,7 +100,8 @@ def split_metadata(spark, sf_dir):
     p = _patches(spark, sf_dir)
     made = sinks.metadata(p, p.select("split_id", "patch_id", F.lit("other").alias("category")), 7, {"name": "r"}, "model")
     schema = "generated_at int, total_patches int, goal_summary string, repository struct<name:string>, mental_model string, patches array<struct<id:int,name:string,priority:int,files:array<string>,dependencies:array<int>,filename:string>>"
-    rows = made.select("split_id", F.from_json("json", schema).alias("m")).filter("m.generated_at = 7 and m.mental_model = 'model'").select("split_id", "m.*", F.explode("m.patches").alias("p"))
+    # Through explode a file is read once; a plain column is read again for each field and for the filter.
+    rows = made.select("split_id", F.explode(F.array(F.from_json("json", schema))).alias("m")).filter("m.generated_at = 7 and m.mental_model = 'model'").select("split_id", "m.*", F.explode("m.patches").alias("p"))
     own = rows.select("split_id", F.col("p.id").alias("patch_id"), F.col("p.name").alias("name"), F.col("p.priority").alias("priority"), F.array_join(F.transform("p.dependencies", lambda d: d.cast("string")), ", ").alias("dependencies"), F.col("p.filename").alias("filename"), F.col("total_patches").alias("total"), F.col("goal_summary").alias("goal"), F.col("repository.name").alias("repository"))
     files = sinks.patch_files(p, adapters.changes(spark, sf_dir)).select("split_id", "patch_id", joined(F.col("files")).alias("files"))
     return own.join(files, ["split_id", "patch_id"])

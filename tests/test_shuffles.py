@@ -67,3 +67,15 @@ def test_words_of_documents_are_cut_once(spark, tmp_path):
     assert {tuple(r) for r in got.select("split_id", *"abcd").collect()} == want
     plan = code_queries.diffs_by_language(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("A-Za-z ]+") == 1
+
+
+def test_parts_are_sought_where_they_may_begin(spark):
+    parts = ("/model/", "/m", "_types.py", ".d.ts", "a", "]x", "^y", "-z", "\\w")
+    texts = ["", "/m", "x/model/", "q_types.py", "_types_py", "d.ts", "x.d.ts", "xdd.ts", "b]x", "]", "^y", "^", "-z", "z-", "\\w", "w", "ä/ü", "bab"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("got", scalars._has_any(F.col("t"), parts)).collect()
+    assert [r.got for r in rows] == [any(p in t for p in parts) for t in texts]
+
+
+def test_metadata_files_are_read_once(spark):
+    plan = result_queries.split_metadata(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 1
