@@ -8,15 +8,16 @@ contrast leaves as they are. Images then meet in these steps:
    of their bits share a table's key with a chance of 0.2. Up to FEW images with a key are paired; more are told apart
    by MORE further bits, again all pairs up to FEW, else each with the least. An image has a key once, so no key holds
    more than one row an image, a small part of all rows.
-2. Two images that met by two keys or more are compared: descriptors that are each other's nearest and differ in at most
-   MOST bits match, and each match proposes a turn, scale and shift. The images link when the best proposal puts VOTES
+2. Two images that met by two keys or more are compared, where those are two only if the turn, scale and shift between the
+   corners that hold them are the same (one corner of each may hold both): keys that unlike images share by chance lie
+   anywhere. To compare: descriptors that are each other's nearest and differ in at most MOST bits match, and each match proposes a turn, scale and shift. The images link when the best proposal puts VOTES
    matches and SHARE of the smaller image's corners where it should. A logo that many pictures share does not suffice.
 3. Where more than FEW images share a key, holders that these links do not connect with the largest component among
-   them meet all the others, whatever their further bits; pairs with two keys in common, crowded or not, are compared.
-   So no pair of a crowded key is left out, copies cost nothing more, and unlike images that share a key cost the square
-   of their number.
+   them meet all the others, whatever their further bits; pairs with two keys in common, crowded or not, are compared by
+   the same rule. So no pair of a crowded key is left out, copies cost nothing more, and unlike images that share a key
+   cost the square of their number: a narrow row a pair, and a comparison for the few whose keys agree.
 
-A table may miss copies whose descriptors share no two keys; recall is measured against the comparison of all pairs in
+A table may miss copies whose descriptors share no two keys, or two that do not agree; recall is measured against the comparison of all pairs in
 the tests. Images with the same pixels form a class before any of this. Defined cases: null, empty or wrongly sized
 pixels have no corners and are their own component, as are images without texture or too small for a patch; images of
 any size are described, large ones alone in their piece; repeated rows and equal pixels are one component; ties in
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bit_set, bits_for, has_bit, lean, materialise, pieces, tidy, with_groups
@@ -44,6 +45,8 @@ PIXELS, CORNERS = 170, 24
 TABLES, WIDTH, MORE, FEW = 8, 32, 15, 4
 #: Bits of an image's number beside the further bits of a key.
 NUMBER = 48
+#: Bits of a coordinate as keys carry it, and of one that is compared; corners farther out agree with all.
+PLACE, NEAR = 23, 12
 #: Bits in which a match may differ, matches a link needs, and their share of the smaller image's corners.
 MOST, VOTES, SHARE = 64, 4, 0.15
 #: A match's place may be off by SLACK pixels and LEAN of its distance from the proposing one, its angle by BEND.
@@ -163,12 +166,16 @@ def _describe(batches):
 
 
 def _keys(batches):
-    """For each image its distinct keys (table and WIDTH bits), each with MORE further bits above the image's number."""
+    """For each image its distinct keys (table and WIDTH bits), each with MORE further bits above the image's number, and the
+    spot (place, angle and level) of a corner that holds it."""
     step = WIDTH // 8
     for batch in batches:
-        keys, values = [], []
+        keys, values, spots = [], [], []
         for num, blob in zip(batch.column("num").to_pylist(), batch.column("corners").to_pylist(), strict=True):
-            bits = np.frombuffer(blob, CORNER)["bits"]
+            corners = np.frombuffer(blob, CORNER)
+            bits = corners["bits"]
+            x, y = (np.minimum(corners[c], (1 << PLACE) - 1).astype(np.int64) for c in ("x", "y"))
+            spot = (((x << PLACE | y) << 16 | corners["angle"]) << 2) | corners["level"]
             raw = np.ascontiguousarray(bits).view(np.uint8).reshape(len(bits), BITS // 8).astype(np.int64)
             own = []
             for t in range(TABLES):
@@ -176,77 +183,80 @@ def _keys(batches):
                 for k in range(step):
                     key = (key << 8) | raw[:, (t * step + k) % (BITS // 8)]
                 further = (raw[:, (t * step + step) % (BITS // 8)] << 8) | raw[:, (t * step + step + 1) % (BITS // 8)]
-                own.append(np.stack([key, further >> (16 - MORE)], 1))
+                own.append(np.stack([key, further >> (16 - MORE), spot], 1))
             own = np.concatenate(own)
-            own = own[np.lexsort((own[:, 1], own[:, 0]))]
+            own = own[np.lexsort((own[:, 2], own[:, 1], own[:, 0]))]
             own = own[np.concatenate([[True], own[1:, 0] != own[:-1, 0]])] if len(own) else own
             keys.append(own[:, 0])
             values.append((own[:, 1] << NUMBER) | num)
+            spots.append(own[:, 2])
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.concatenate(values), pa.int64())], names=["key", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (keys, values, spots)], names=["key", "value", "spot"])
 
 
-def _pairs(held: list[int]):
-    return [(a, b) for i, a in enumerate(held) for b in held[i + 1:]]
+def _pairs(held: list[tuple[int, int]], key: int | None):
+    """a, b, key and both spots of all pairs of holders (number, spot)."""
+    held = sorted(held)
+    return [(a, b, key, s, t) for i, (a, s) in enumerate(held) for b, t in held[i + 1:]]
 
 
 def _meet(batches):
-    """Rows sorted by key and value: pairs a, b of images with a key; of crowded keys, told by sub, also all holders a,
-    without b."""
+    """Rows sorted by key and value: pairs a, b of images with a key, and the spots of both; of crowded keys, told by sub,
+    also all holders a, without b."""
     mask = (1 << NUMBER) - 1
-    held: list[int] = []  # the first holders of the present key with their further bits; all of a crowded one pass by parts
+    held: list[tuple[int, int]] = []  # value and spot of the first holders of the present key with their further bits; all of a crowded one pass by parts
     out: list[tuple] = []
     key = part = None
     crowded = False
-    run: list[int] = []  # numbers of the present part of a crowded key, FEW + 1 at most; the first is the least
+    run: list[tuple[int, int]] = []  # number and spot in the present part of a crowded key, FEW + 1 at most; the first is the least
 
-    def shift(value: int) -> None:
+    def shift(value: int, spot: int) -> None:
         nonlocal part, run
         num, x = value & mask, value >> NUMBER
         if x != part:
             close()
             part, run = x, []
-        out.append((num, None, key))
+        out.append((num, None, key, spot, None))
         if len(run) <= FEW:
-            run.append(num)
+            run.append((num, spot))
             if len(run) == FEW + 1:
-                out.extend((run[0], n, key) for n in run[1:])
+                out.extend((run[0][0], n, key, run[0][1], s) for n, s in run[1:])
         else:
-            out.append((run[0], num, key))
+            out.append((run[0][0], num, key, run[0][1], spot))
 
     def close() -> None:
         if part is not None and len(run) <= FEW:
-            out.extend((a, b, key) for a, b in _pairs(sorted(run)))
+            out.extend(_pairs(run, key))
 
     def end() -> None:
         nonlocal held, part, run, crowded
         if crowded:
             close()
         else:
-            out.extend((min(a, b), max(a, b), None) for a, b in _pairs([v & mask for v in held]))
+            out.extend(_pairs([(v & mask, s) for v, s in held], None))
         held, part, run, crowded = [], None, [], False
 
     for batch in batches:
-        keys, values = batch.column("key").to_numpy(), batch.column("value").to_numpy()
+        keys, values, spots = (batch.column(c).to_numpy() for c in ("key", "value", "spot"))
         # Keys of one image make nothing; only runs are looked at, and the batch's ends.
         same = np.concatenate([[True], keys[1:] == keys[:-1]]) if len(keys) else np.zeros(0, bool)
         look = same.copy()
         look[:-1] |= same[1:]
         if len(look):
             look[-1] = True
-        for k, value in zip(keys[look].tolist(), values[look].tolist(), strict=True):
+        for k, value, spot in zip(keys[look].tolist(), values[look].tolist(), spots[look].tolist(), strict=True):
             if k != key:
                 end()
                 key = k
             if crowded:
-                shift(value)
+                shift(value, spot)
                 continue
-            held.append(value)
+            held.append((value, spot))
             if len(held) > FEW:
                 crowded, early = True, held
                 held = []
                 for v in early:
-                    shift(v)
+                    shift(*v)
         if len(out) > 100_000:
             yield _met(out)
             out = []
@@ -256,7 +266,7 @@ def _meet(batches):
 
 
 def _met(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "sub"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "sub", "spot", "other"])
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> int:
@@ -292,9 +302,49 @@ def _agree(batches):
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
+def pose(spot: str, other: str) -> Column:
+    """How a corner of image a lies to the one of image b with the same key: both places, the turn and the difference of
+    levels, in one number; -1 where a place is beyond NEAR bits."""
+    part = lambda c, at, bits: F.shiftright(F.col(c), at).bitwiseAND(F.lit((1 << bits) - 1))
+    places = [part(c, at, PLACE) for c in (spot, other) for at in (18 + PLACE, 18)]
+    turn = F.shiftright(F.pmod(part(other, 2, 16) - part(spot, 2, 16), F.lit(1 << 16)), 16 - NEAR)
+    out = (part(other, 0, 2) - part(spot, 0, 2) + LEVELS - 1) * (1 << NEAR) + turn
+    for p in places:
+        out = out * (1 << NEAR) + p
+    return F.when(F.greatest(*places) < 1 << NEAR, out).otherwise(F.lit(-1)).cast("long")
+
+
+def agree(one: str, two: str) -> Column:
+    """Whether one of two poses puts the other's corner where it is, by the bounds of agreement()."""
+    def fields(c):
+        part = lambda n, bits: F.shiftright(F.col(c), n * NEAR).bitwiseAND(F.lit((1 << bits) - 1)).cast("double")
+        return [part(n, NEAR) for n in (3, 2, 1, 0)], part(4, NEAR) * (2 * np.pi / (1 << NEAR)), part(5, 3) - (LEVELS - 1)
+
+    def puts(first, second):
+        ((px, py, qx, qy), turn, level), ((rx, ry, sx, sy), bend, other) = fields(first), fields(second)
+        scale, dx, dy = F.pow(F.lit(2.0), level), rx - px, ry - py
+        cos, sin = scale * F.cos(turn), scale * F.sin(turn)
+        off = F.hypot(qx + cos * dx - sin * dy - sx, qy + sin * dx + cos * dy - sy)
+        bent = F.abs(F.pmod(bend - turn + np.pi, F.lit(2 * np.pi)) - np.pi)
+        return (level == other) & (off <= F.greatest(F.lit(1.0), scale) * SLACK + LEAN * scale * F.hypot(dx, dy)) & (bent <= BEND + 2 * np.pi / (1 << NEAR))
+
+    return (F.least(one, two) < 0) | puts(one, two) | puts(two, one)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """a, b, met, low, high: how often a pair met (a, b, pose each time), and its least and greatest pose: both of them
+    where it met twice."""
+    return rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("pose").alias("low"), F.max("pose").alias("high"))
+
+
+def agreeing() -> Column:
+    """Whether a pair of meetings() goes on to be compared: three keys in common, or two that agree."""
+    return (F.col("met") > 2) | ((F.col("met") == 2) & agree("low", "high"))
+
+
 def met_twice(pairs: DataFrame) -> DataFrame:
-    """a, b, met of the pairs of image numbers that met twice or more (a row each time)."""
-    return materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")).filter("met > 1"), "pairs")
+    """a, b, met of the pairs of image numbers that met by keys that agree (a row and its pose each time)."""
+    return materialise(meetings(pairs).filter(agreeing()).select("a", "b", "met"), "pairs")
 
 
 def verified(pairs: DataFrame, images: DataFrame) -> DataFrame:
@@ -331,24 +381,27 @@ def spanning(pairs: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame
 
 def links(images: DataFrame) -> DataFrame:
     """a, b: numbers of images (num, corners) that are copies; what is connected by all links is connected by these."""
-    keys = images.select("num", "corners").mapInArrow(lean(_keys), "key long, value long")
-    met = materialise(keys.repartition("key").sortWithinPartitions("key", "value").mapInArrow(lean(_meet), "a long, b long, sub long"), "met")
-    once = met.filter("b is not null and a <> b")
-    found = spanning(met_twice(once.select("a", "b")), images, None)
+    keys = images.select("num", "corners").mapInArrow(lean(_keys), "key long, value long, spot long")
+    met = materialise(keys.repartition("key").sortWithinPartitions("key", "value").mapInArrow(lean(_meet), "a long, b long, sub long, spot long, other long"), "met")
+    once = met.filter("b is not null and a <> b").select("a", "b", "sub", pose("spot", "other").alias("pose"))
+    found = spanning(met_twice(once), images, None)
     # Of a crowded key, holders that are not connected with its largest component meet all the others.
     label = components(found).toDF("num", "label")
-    left = materialise(met.filter("b is null").select("sub", F.col("a").alias("num")).join(label, "num", "left").withColumn("label", F.coalesce("label", "num")), "crowded")
+    left = materialise(met.filter("b is null").select("sub", F.col("a").alias("num"), "spot").join(label, "num", "left").withColumn("label", F.coalesce("label", "num")), "crowded")
     parts = left.groupBy("sub", "label").agg(F.count(F.lit(1)).alias("m"))
     keys = parts.groupBy("sub").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     keys = materialise(keys.select("sub", "main", "n"), "split-keys")
-    left = materialise(with_groups(left, keys, ["sub"], "n", left.count()).select("sub", "num", "label", "main"), "split-holders")
-    apart = left.filter("label <> main").select("sub", F.col("num").alias("other"), F.col("label").alias("other_label"))
+    left = materialise(with_groups(left, keys, ["sub"], "n", left.count()).select("sub", "num", "spot", "label", "main"), "split-holders")
+    apart = left.filter("label <> main").select("sub", F.col("num").alias("other"), F.col("spot").alias("other_spot"), F.col("label").alias("other_label"))
     pairs = left.join(apart, "sub").filter("label <> other_label and (label = main or num < other)")
-    pairs = pairs.groupBy(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b")).agg(F.count(F.lit(1)).alias("crowded"))
+    least = F.col("num") < F.col("other")
+    spots = (F.when(least, F.col("spot")).otherwise(F.col("other_spot")).alias("spot"), F.when(least, F.col("other_spot")).otherwise(F.col("spot")).alias("other"))
+    pairs = pairs.select(F.least("num", "other").alias("a"), F.greatest("num", "other").alias("b"), *spots)
+    pairs = meetings(pairs.select("a", "b", pose("spot", "other").alias("pose")))
     # Keys that are not crowded count too.
-    plain = once.filter("sub is null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("plain"))
-    pairs = pairs.join(plain, ["a", "b"], "left").filter("crowded + coalesce(plain, 0) > 1")
-    return found.unionByName(verified(pairs, images))
+    plain = meetings(once.filter("sub is null")).toDF("a", "b", "more", "lower", "higher")
+    pairs = pairs.join(plain, ["a", "b"], "left").select("a", "b", (F.col("met") + F.coalesce("more", F.lit(0))).alias("met"), F.least("low", "lower").alias("low"), F.greatest("high", "higher").alias("high"))
+    return found.unionByName(verified(pairs.filter(agreeing()), images))
 
 
 def copies(images: DataFrame) -> DataFrame:
