@@ -79,3 +79,24 @@ def test_parts_are_sought_where_they_may_begin(spark):
 def test_metadata_files_are_read_once(spark):
     plan = result_queries.split_metadata(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") <= 1
+
+
+def test_metrics_and_suggestions_meet_in_one_shuffle(spark):
+    from hunkmill.operators import quality
+
+    size = (10, 600, 30, 700, 5, 90, 900)
+    rows = [("s", i, n, [f"f{i}.py:1", "g.py:2"], list(range(i)), ["w"] if n > 500 else []) for i, n in enumerate(size)] + [("t", 0, 1, ["a.py:1"], [], [])]
+    patches = spark.createDataFrame(rows, "split_id string, patch_id int, size_lines int, changes array<string>, depends_on array<int>, warnings array<string>")
+    found = quality.metrics(patches)
+    want = found.join(quality.suggestions(found, patches), "split_id")
+    got = quality.metrics_and_suggestions(patches)
+    assert exchanges(got) == 1 and set(got.columns) == set(want.columns)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+
+
+def test_split_metrics_works_out_changes_once(spark):
+    spark.catalog.clearCache()
+    out = queries.split_metrics(spark, SF)
+    scans = out._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" in scans and queries._plan(spark, SF).changes.is_cached
+    spark.catalog.clearCache()
